@@ -1,0 +1 @@
+"""Every report reads one closed period as a batch, so there is no streaming operator to offer."""
