@@ -1,19 +1,17 @@
 """Code to label decoding."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from soquy.functions.nulls import constant
 from soquy.operators.shape import CLASS_LABELS
 
 
-def decode_classes(df: DataFrame) -> DataFrame:
-    """Class codes as labels; an unknown code stays as its own text, null stays null."""
+def label_of(column: str) -> str:
+    """Label of a class code; an unknown code stays as its own text, null stays null."""
+    cases = " ".join(f"WHEN {code} THEN {constant(t)}" for code, t in CLASS_LABELS[column].items())
+    return f"CASE {column} {cases} ELSE CAST({column} AS STRING) END"
 
-    def decoded(column, labels):
-        code = F.col(column)
-        cases = reduce(lambda w, kv: w.when(code == kv[0], kv[1]), labels.items(), F)
-        return cases.otherwise(code.cast("string"))
 
-    return df.withColumns({c: decoded(c, labels) for c, labels in CLASS_LABELS.items()})
+def decode_classes(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.expr(label_of(c)) for c in CLASS_LABELS})

@@ -4,40 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from soquy.operators.shape import NULL_INVOICE
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def constant(value) -> str:
+    """A fixed value as a SQL literal."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
 
 
-def ne_keep_null(col: Column | str, value) -> Column:
+def ne_keep_null(col: str, value) -> str:
     """``col != value`` that is true for null, where ``<>`` would be null."""
-    return ~_col(col).eqNullSafe(F.lit(value))
+    return f"NOT ({col} <=> {constant(value)})"
 
 
-def or_zero(col: Column | str) -> Column:
-    return F.coalesce(_col(col), F.lit(0))
+def or_zero(col: str) -> str:
+    return f"coalesce({col}, 0)"
 
 
-def invoice_key(col: Column | str) -> Column:
+def invoice_key(col: str) -> str:
     """Invoice as key text. Null invoices stay together as one group instead of being dropped."""
-    return F.coalesce(_col(col).cast("string"), F.lit(NULL_INVOICE))
+    return f"coalesce(CAST({col} AS STRING), {constant(NULL_INVOICE)})"
 
 
-def fill_text(col: Column | str, label: str) -> Column:
-    return F.coalesce(_col(col), F.lit(label))
+def fill_text(col: str, label: str) -> str:
+    return f"coalesce({col}, {constant(label)})"
 
 
-def is_blank(col: Column | str) -> Column:
+def is_blank(col: str) -> str:
     """Null, empty or only spaces."""
-    return F.trim(F.coalesce(_col(col), F.lit(""))) == ""
+    return f"trim(coalesce({col}, '')) = ''"
 
 
 def ensure_columns(df: DataFrame, columns: Mapping[str, str], default=None) -> DataFrame:
     """Add the columns that ``df`` lacks, as ``default`` cast to the given type."""
-    missing = {c: F.lit(default).cast(t) for c, t in columns.items() if c not in df.columns}
-    return df.withColumns(missing) if missing else df
+    missing = {c: t for c, t in columns.items() if c not in df.columns}
+    if not missing:
+        return df
+    added = [f"CAST({constant(default)} AS {t}) AS {c}" for c, t in missing.items()]
+    return df.selectExpr("*", *added)

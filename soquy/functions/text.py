@@ -2,40 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from soquy.functions.nulls import or_zero
 
-from soquy.functions.nulls import _col
 
-
-def date_text(col: Column | str, fmt: str = "dd-MM-yyyy") -> Column:
+def date_text(col: str, fmt: str = "dd-MM-yyyy") -> str:
     """Date text in ``fmt``; text that is no date becomes null."""
-    return F.date_format(F.try_to_timestamp(_col(col)), fmt)
+    return f"date_format(try_to_timestamp({col}), '{fmt}')"
 
 
-def date_text_strict(col: Column | str, fmt: str = "dd/MM/yyyy") -> Column:
+def date_text_strict(col: str, fmt: str = "dd/MM/yyyy") -> str:
     """Date text in ``fmt``; text that is no date fails the query."""
-    return F.date_format(F.to_timestamp(_col(col)), fmt)
+    return f"date_format(to_timestamp({col}), '{fmt}')"
 
 
-def to_int_or_null(col: Column | str) -> Column:
+def to_int_or_null(col: str) -> str:
     """Whole number in a text (``12``, ``12.0``) as bigint; anything else is null."""
-    number = _col(col).try_cast("decimal(38,6)")
-    return F.when(number == F.floor(number), number.try_cast("bigint"))
+    number = f"try_cast({col} AS DECIMAL(38,6))"
+    return f"CASE WHEN {number} = floor({number}) THEN try_cast({number} AS BIGINT) END"
 
 
-def dot_thousands(col: Column | str, null_as_zero: bool = False) -> Column:
+def dot_thousands(col: str, null_as_zero: bool = False) -> str:
     """Number text without decimals and with ``.`` between thousands.
 
     Rounds half to even and keeps null; with ``null_as_zero`` null is ``0`` and decimals are cut.
     """
-    number = _col(col)
     if null_as_zero:
-        number = F.coalesce(number, F.lit(0))
-        number = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number))
-    return F.translate(F.format_number(number, 0), ",", ".")
+        n = or_zero(col)
+        col = f"CASE WHEN {n} < 0 THEN ceil({n}) ELSE floor({n}) END"
+    return f"translate(format_number({col}, 0), ',', '.')"
 
 
-def comma_thousands(col: Column | str) -> Column:
+def comma_thousands(col: str) -> str:
     """Number text without decimals, rounded half up, with ``,`` between thousands."""
-    return F.format_number(F.round(_col(col), 0), 0)
+    return f"format_number(round({col}, 0), 0)"

@@ -3,56 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import add
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from soquy.functions.nulls import or_zero
 
-
-def split_paid() -> dict[str, Column]:
-    """Parts of a receivable: paid by the patient, paid by others, waived.
-
-    Nulls count as 0 in each term, as they do in a sum, so summing the differences equals the
-    difference of the sums.
-    """
-    return {
-        "patpaid": or_zero("patpaid") - or_zero("freeamount"),
-        "otherpaid": or_zero("revenue") - or_zero("patpaid"),
-        "exempt": or_zero("freeamount"),
-    }
-
-
-def insured() -> Column:
-    return or_zero("insurance") + or_zero("bqp")
+# Parts of a receivable: paid by the patient, paid by others, waived. Nulls count as 0 in each
+# term, as they do in a sum, so summing the differences equals the difference of the sums.
+SPLIT_PAID = {
+    "patpaid": f"{or_zero('patpaid')} - {or_zero('freeamount')}",
+    "otherpaid": f"{or_zero('revenue')} - {or_zero('patpaid')}",
+    "exempt": or_zero("freeamount"),
+}
+INSURED = f"{or_zero('insurance')} + {or_zero('bqp')}"
 
 
 def row_total(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
     """Add the sum of the columns within a row; null counts as 0."""
-    return df.withColumn(name, reduce(add, [or_zero(c) for c in columns]))
+    return row_totals(df, {name: columns})
 
 
 def row_totals(df: DataFrame, totals: Mapping[str, Sequence[str]]) -> DataFrame:
-    return reduce(lambda d, kv: row_total(d, kv[1], kv[0]), totals.items(), df)
+    sums = [f"{' + '.join(map(or_zero, columns))} AS {name}" for name, columns in totals.items()]
+    return df.selectExpr("*", *sums)
 
 
-def within(a: Column, b: Column, tolerance) -> Column:
-    return F.abs(a - b) <= F.lit(tolerance)
+def within(a: str, b: str, tolerance: int) -> str:
+    return f"abs(({a}) - ({b})) <= {tolerance}"
 
 
-def reconcile_checks(df: DataFrame, tolerance) -> DataFrame:
+def reconcile_checks(df: DataFrame, tolerance: int) -> DataFrame:
     """The three agreement checks of a reconciliation and their conjunction."""
-    c = F.col
-    checks = {
-        "comparison_criteria_1": c("invoice_receipt_amount") == c("revenue_by_receipt_patpaid"),
-        "comparison_criteria_2": c("refund_deduction_amount") == c("deduction"),
-        "comparison_criteria_3": within(
-            c("refund_after_payment_amount") - c("invoice_advance_payment_amount"),
-            c("advance_payment") - c("revenue_by_refund_patpaid"),
+    checks = [
+        "invoice_receipt_amount = revenue_by_receipt_patpaid",
+        "refund_deduction_amount = deduction",
+        within(
+            "refund_after_payment_amount - invoice_advance_payment_amount",
+            "advance_payment - revenue_by_refund_patpaid",
             tolerance,
         ),
-    }
-    checked = df.withColumns(checks)
-    return checked.withColumn("comparison_criteria_4", reduce(lambda a, b: a & b, map(c, checks)))
+    ]
+    checks.append(" AND ".join(f"({c})" for c in checks))
+    named = [f"{c} AS comparison_criteria_{i}" for i, c in enumerate(checks, 1)]
+    return df.selectExpr("*", *named)

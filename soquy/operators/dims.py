@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from soquy.functions.nulls import is_blank
 from soquy.operators.joins import missing_members
@@ -18,10 +17,7 @@ def upsert_members(dim: DataFrame, values: DataFrame) -> DataFrame:
 
 def upsert_storage(dim: DataFrame, pairs: DataFrame) -> DataFrame:
     """New storages inserted and blank names filled; a name that is set is never replaced."""
-    old, new = F.col("storage_name"), F.col("new_name")
-    known = F.col("known")
-    merged = dim.withColumn("known", F.lit(True)).join(
-        pairs.withColumnRenamed("storage_name", "new_name"), "storage_id", "full"
-    )
-    fill = known.isNull() | (is_blank(old) & new.isNotNull() & (new != ""))
-    return merged.select("storage_id", F.when(fill, new).otherwise(old).alias("storage_name"))
+    stored = dim.selectExpr("storage_id", "storage_name AS old", "true AS known")
+    merged = stored.join(pairs.withColumnRenamed("storage_name", "new"), "storage_id", "full")
+    fill = f"known IS NULL OR ({is_blank('old')} AND new <> '')"
+    return merged.selectExpr("storage_id", f"if({fill}, new, old) AS storage_name")

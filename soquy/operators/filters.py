@@ -3,24 +3,18 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(and_, conditions)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(or_, conditions)
-
-
 def filter_optional(df: DataFrame, **equals) -> DataFrame:
     """Conjunction of the equalities whose value was given."""
     given = {c: v for c, v in equals.items() if v is not None and v != ""}
-    return df.where(all_of([F.col(c) == F.lit(v) for c, v in given.items()])) if given else df
+    if not given:
+        return df
+    return df.where(reduce(and_, [F.col(c) == F.lit(v) for c, v in given.items()]))
 
 
 def filter_dept(df: DataFrame, order: str | None = None, perform: str | None = None) -> DataFrame:
@@ -34,11 +28,11 @@ def split_eq(df: DataFrame, column: str, value) -> DataFrame:
 
 
 def having_any_positive(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.where(any_of([F.col(c) > 0 for c in columns]))
+    return df.where(" OR ".join(f"{c} > 0" for c in columns))
 
 
 def search_rows(df: DataFrame, text: str, columns: list[str] | None = None) -> DataFrame:
     """Rows in which every word of ``text`` occurs in some column, in any letter case."""
-    row = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns or df.columns]))
+    row = F.expr(f"lower(concat_ws(' ', {', '.join(columns or df.columns)}))")
     words = text.lower().split()
-    return df.where(all_of([F.contains(row, F.lit(w)) for w in words])) if words else df
+    return df.where(reduce(and_, [F.contains(row, F.lit(w)) for w in words])) if words else df

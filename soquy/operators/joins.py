@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from soquy.functions.nulls import or_zero
-from soquy.operators.checks import insured
-from soquy.operators.filters import all_of
+from soquy.operators.checks import INSURED
 from soquy.operators.setops import union_padded
 from soquy.operators.shape import CATEGORIES
-from soquy.operators.sums import category_measures, is_category, resum, total
+from soquy.operators.sums import (
+    ANY_CATEGORY_KIND,
+    KIND,
+    Source,
+    aggregate,
+    category_measures,
+    kind_rows,
+    kinds_as_columns,
+    resum,
+    sum_kinds,
+)
 
 
 def attach_coarse(
@@ -29,15 +36,15 @@ def attach_coarse(
     if mode == "compat":
         owners = fine.distinct()
     elif mode == "exact":
-        first = F.min(F.struct(*rest)).alias("first")
-        owners = fine.groupBy(*keys).agg(first).select(*keys, "first.*")
+        smallest = aggregate(fine, keys, [f"min(struct({', '.join(rest)})) AS smallest"])
+        owners = smallest.select(*keys, "smallest.*")
     else:
         raise ValueError("mode must be compat or exact")
     return coarse.join(owners, list(keys), "left")
 
 
 def join_totals(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Full outer join of two totals at the same key, 0 where a side has no row.
+    """Two totals at the same key side by side, 0 where a side has no row.
 
     For totals that are at hand already, such as two written reports; the reports themselves sum
     both sides in one aggregate.
@@ -53,30 +60,29 @@ def receivable_sums(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     (payer 1) and by the second fund (payer 2) are attached to every line of their key, so a key
     with two lines carries them twice. Keys with a null belong to payer 3 alone.
     """
-    payer = F.col("receipt_object")
-    keyed = all_of([F.col(k).isNotNull() for k in keys])
-    rows = rows.where((payer == 3) | (payer.isin(1, 2) & keyed))
-    lines = {n: F.max(F.when(payer == n, 1).otherwise(0)) for n in (1, 3)}
-
-    def owed(n: int, amount: Column) -> Column:
-        return or_zero(F.sum(F.when(payer == n, or_zero(amount))))
-
-    sums = rows.groupBy(*keys).agg(
-        (lines[1] + lines[3]).alias("lines"),
-        owed(1, F.col("insurance")).alias("hn"),
-        owed(2, insured()).alias("bqp"),
-        (owed(1, F.col("bqp")) + owed(3, insured())).alias("cuctaichinh"),
+    keyed = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    rows = rows.where(f"receipt_object = 3 OR (receipt_object IN (1, 2) AND {keyed})")
+
+    def owed(payer: int, amount: str) -> str:
+        return f"CASE WHEN receipt_object = {payer} THEN {amount} END"
+
+    lines = " + ".join(f"max(if(receipt_object = {n}, 1, 0))" for n in (1, 3))
+    payable = f"coalesce({owed(1, 'coalesce(bqp, 0)')}, {owed(3, INSURED)})"
+    sums = aggregate(
+        rows,
+        keys,
+        [
+            f"{lines} AS lines",
+            f"coalesce(sum({owed(1, 'insurance')}), 0) AS hn",
+            f"coalesce(sum({owed(2, INSURED)}), 0) AS bqp",
+            f"coalesce(sum({payable}), 0) AS cuctaichinh",
+        ],
     )
-    twice = F.col("lines") == 2
-
-    def repeated(name: str) -> Column:
-        return F.when(twice, F.col(name) * 2).otherwise(F.col(name))
-
-    return sums.select(
+    return sums.selectExpr(
         *keys,
-        repeated("hn").alias("insurance_hn_receivable"),
-        repeated("bqp").alias("insurance_bqp_receivable"),
-        F.col("cuctaichinh").alias("cuctaichinh_bqp_receivable"),
+        "if(lines = 2, hn * 2, hn) AS insurance_hn_receivable",
+        "if(lines = 2, bqp * 2, bqp) AS insurance_bqp_receivable",
+        "cuctaichinh AS cuctaichinh_bqp_receivable",
     )
 
 
@@ -84,16 +90,19 @@ def cogs_with_pivot(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cost of goods for every key, null keys included, beside the category pivot.
 
     The pivot knows neither null keys nor unknown codes; where it has no line its columns are
-    null, not 0. One aggregate decides both.
+    null, not 0. The same aggregate decides both.
     """
-    coded = F.count(F.when(is_category(), 1)).alias("coded")
-    sums = rows.select(
-        *keys, "hft_id2", "cogs_drug_retail", *[m.column() for m in category_measures("revenue")]
+    amounts = {"revenue": "revenue", "cogs_drug_retail": "cogs_drug_retail"}
+    lines = kind_rows([Source(rows, ANY_CATEGORY_KIND, amounts)], keys, keep_null_keys=True)
+    columns = [m.sql() for m in category_measures("revenue")]
+    coded = f"count_if({KIND} <> '') AS coded"
+    cogs = "coalesce(sum(cogs_drug_retail), 0) AS cogs_drug_retail"
+    sums = kinds_as_columns(
+        sum_kinds(lines, keys, list(amounts)), keys, [cogs, coded, *columns]
     )
-    sums = sums.groupBy(*keys).agg(total("cogs_drug_retail"), coded, *map(total, CATEGORIES))
-    has_line = all_of([F.col(k).isNotNull() for k in keys] + [F.col("coded") > 0])
-    pivot = [F.when(has_line, F.col(c)).alias(c) for c in CATEGORIES]
-    return sums.select(*keys, "cogs_drug_retail", *pivot)
+    has_line = " AND ".join([*(f"{k} IS NOT NULL" for k in keys), "coded > 0"])
+    cells = [f"CASE WHEN {has_line} THEN {c} END AS {c}" for c in CATEGORIES]
+    return sums.selectExpr(*keys, "cogs_drug_retail", *cells)
 
 
 def missing_members(new: DataFrame, dim: DataFrame, key: str) -> DataFrame:

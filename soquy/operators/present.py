@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from soquy.functions.nulls import or_zero
+from soquy.functions.nulls import constant
 from soquy.functions.text import dot_thousands
 from soquy.operators.setops import union_padded
 from soquy.operators.shape import TOTAL_LABEL
+from soquy.operators.sums import total
 
 TOTAL_FLAG = "is_total"
 
@@ -18,7 +19,7 @@ TOTAL_FLAG = "is_total"
 def order_report(df: DataFrame, columns: Sequence[str], ordered: bool = True) -> DataFrame:
     """Ascending, nulls last. A caller that sums, filters or stores the rows passes
     ``ordered=False`` and saves the range shuffle."""
-    return df.orderBy(*[F.col(c).asc_nulls_last() for c in columns]) if ordered else df
+    return df.orderBy(*[F.asc_nulls_last(c) for c in columns]) if ordered else df
 
 
 def page(df: DataFrame, order: str, number: int, size: int) -> DataFrame:
@@ -35,16 +36,15 @@ def with_grand_total(
     The rows and the total come from the same aggregate, whose shuffle is computed once. With
     ``flag`` the total row is marked, to keep it last in an order.
     """
-    first = df.columns[0]
-    sums = df.agg(*[or_zero(F.sum(m)).alias(m) for m in measures])
-    last = sums.withColumn(first, F.lit(label))
+    label = f"{constant(label)} AS {df.columns[0]}"
+    last = df.agg(*[F.expr(total(m)) for m in measures]).selectExpr(label, "*")
     if flag:
-        df, last = df.withColumn(TOTAL_FLAG, F.lit(0)), last.withColumn(TOTAL_FLAG, F.lit(1))
-    return union_padded(df, last).select(*df.columns)
+        df, last = df.selectExpr("*", f"0 AS {TOTAL_FLAG}"), last.selectExpr("*", f"1 AS {TOTAL_FLAG}")
+    return union_padded(df, last)
 
 
 def number_texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: dot_thousands(c) for c in columns})
+    return df.withColumns({c: F.expr(dot_thousands(c)) for c in columns})
 
 
 def option_list(dim: DataFrame, column: str) -> DataFrame:

@@ -1,58 +1,63 @@
-"""Grouped sums. All of them are one partial-then-final hash aggregate, so a key that holds a
-large share of the rows is reduced on every mapper before the shuffle."""
+"""Grouped sums.
+
+Every sum is a partial-then-final aggregate, so a key that holds a large share of the rows is
+reduced on each mapper before it is shuffled. A report with many measures first gives each row a
+kind (its category, its cash movement) and sums by key and kind: one or few running sums per row
+instead of one per measure, and narrow rows in the shuffle. What is left, at most one row per key
+and kind, then becomes columns.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from soquy.functions.nulls import or_zero
-from soquy.operators.filters import any_of
-from soquy.operators.setops import union_padded
+from soquy.functions.nulls import constant, or_zero
 from soquy.operators.shape import CATEGORY_COLUMNS
-from soquy.sources.schemas import MONEY
 
+KIND = "kind"
 
-@dataclass(frozen=True)
-class Measure:
-    """A named amount: ``value`` on the rows where ``when`` holds, or on all of them."""
 
-    name: str
-    value: Column
-    when: Column | None = None
+@dataclass(frozen=True)
+class Source:
+    """Rows, the kind of each as SQL (null: the row takes no part) and the amounts it brings."""
 
-    def column(self) -> Column:
-        chosen = self.value if self.when is None else F.when(self.when, self.value)
-        return chosen.cast(MONEY).alias(self.name)
+    df: DataFrame
+    kind: str
+    amounts: Mapping[str, str]
 
 
 @dataclass(frozen=True)
-class Source:
-    """Rows that feed measures. ``rows`` tells which rows make a group; by default those on
-    which some measure holds."""
+class Measure:
+    """Sum of an amount over the rows of some kinds, or of every kind."""
 
-    df: DataFrame
-    measures: Sequence[Measure]
-    rows: Column | None = None
+    name: str
+    amount: str
+    kinds: tuple[str, ...] = ()
 
-    def contributing(self) -> DataFrame:
-        if self.rows is not None:
-            return self.df.where(self.rows)
-        if any(m.when is None for m in self.measures):
-            return self.df
-        return self.df.where(any_of([m.when for m in self.measures]))
+    def sql(self) -> str:
+        value = self.amount
+        if self.kinds:
+            kinds = ", ".join(map(constant, self.kinds))
+            value = f"CASE WHEN {KIND} IN ({kinds}) THEN {value} END"
+        return f"coalesce(sum({value}), 0) AS {self.name}"
 
 
 def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(keys))
+    return df.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
 
 
-def total(column: str) -> Column:
+def total(column: str) -> str:
     """Sum that is 0 where there is nothing to add."""
-    return or_zero(F.sum(column)).alias(column)
+    return f"{or_zero(f'sum({column})')} AS {column}"
+
+
+def aggregate(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*map(F.expr, columns))
 
 
 def sum_by(
@@ -60,7 +65,7 @@ def sum_by(
 ) -> DataFrame:
     """Sums by key; rows with a null key are dropped unless kept on purpose."""
     rows = df if keep_null_keys else drop_null_keys(df, keys)
-    return rows.groupBy(*keys).agg(*[total(c) for c in columns])
+    return aggregate(rows, keys, [total(c) for c in columns])
 
 
 def resum(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -68,68 +73,92 @@ def resum(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFra
     return sum_by(df, keys, columns, keep_null_keys=True)
 
 
-def measure_rows(
+def kind_rows(
     sources: Sequence[Source], keys: Sequence[str], keep_null_keys: bool = False
 ) -> DataFrame:
-    """One row per contributing source row: the keys and all measures, null where not its own."""
+    """Keys, kind and amounts of the rows that take part, from all sources."""
+    names = list(dict.fromkeys(a for s in sources for a in s.amounts))
     parts = []
-    for source in sources:
-        rows = source.contributing()
-        if not keep_null_keys:
-            rows = drop_null_keys(rows, keys)
-        parts.append(rows.select(*keys, *[m.column() for m in source.measures]))
-    return union_padded(*parts)
+    for s in sources:
+        amounts = [f"CAST({s.amounts.get(a, 'NULL')} AS DECIMAL(18,2)) AS {a}" for a in names]
+        rows = s.df.selectExpr(*keys, f"{s.kind} AS {KIND}", *amounts)
+        parts.append(drop_null_keys(rows, [KIND, *([] if keep_null_keys else keys)]))
+    return reduce(DataFrame.union, parts)
+
+
+def sum_kinds(rows: DataFrame, keys: Sequence[str], amounts: Sequence[str]) -> DataFrame:
+    """One row per key and kind."""
+    return aggregate(rows, [*keys, KIND], [f"sum({a}) AS {a}" for a in amounts])
+
+
+def kinds_as_columns(
+    sums: DataFrame, keys: Sequence[str], columns: Sequence[str]
+) -> DataFrame:
+    """Kinds side by side. Rows are brought together by key before the wide aggregate, so what
+    is shuffled is one narrow row per key and kind."""
+    return aggregate(sums.repartition(*keys), keys, columns)
 
 
 def sum_sources(
-    sources: Sequence[Source], keys: Sequence[str], keep_null_keys: bool = False
+    sources: Sequence[Source],
+    keys: Sequence[str],
+    measures: Sequence[Measure],
+    keep_null_keys: bool = False,
+    fine: bool = False,
 ) -> DataFrame:
     """Measures of several sources side by side at one key.
 
-    Takes the place of a chain of full outer joins of pre-summed tables with the same key: a
-    union of the rows and one aggregate, with one shuffle whatever the number of sources.
+    Takes the place of a chain of full outer joins between tables summed at that key: a union of
+    the rows, whatever the number of sources, and no join. ``fine`` is for keys nearly as many as
+    the rows, where summing by kind first would not make them fewer.
     """
-    names = [m.name for s in sources for m in s.measures]
-    return resum(measure_rows(sources, keys, keep_null_keys), keys, names)
+    rows = kind_rows(sources, keys, keep_null_keys)
+    columns = [m.sql() for m in measures]
+    if fine:
+        return aggregate(rows, keys, columns)
+    amounts = list(dict.fromkeys(m.amount for m in measures))
+    return kinds_as_columns(sum_kinds(rows, keys, amounts), keys, columns)
+
+
+# ---- categories -----------------------------------------------------------------------------
 
+RETAIL = "retail"
+_CODES = ", ".join(map(constant, CATEGORY_COLUMNS))
 
-def is_category() -> Column:
-    return F.col("hft_id2").isin(list(CATEGORY_COLUMNS))
+# Kind of a line by category alone, by category or retail, and with a kind for every other line.
+CATEGORY_KIND = f"CASE WHEN hft_id2 IN ({_CODES}) THEN hft_id2 END"
+CATEGORY_OR_RETAIL_KIND = (
+    f"CASE WHEN drug_retail = 'Y' THEN '{RETAIL}' "
+    f"WHEN drug_retail = 'N' AND hft_id2 IN ({_CODES}) THEN hft_id2 END"
+)
+ANY_CATEGORY_KIND = f"coalesce({CATEGORY_KIND}, '')"
+ANY_CATEGORY_OR_RETAIL_KIND = f"coalesce({CATEGORY_OR_RETAIL_KIND}, '')"
 
 
-def category_measures(value: str, retail: str | None = None) -> list[Measure]:
-    """One measure per category code, on the rows with the given retail flag or on all."""
+def category_measures(amount: str) -> list[Measure]:
+    return [Measure(name, amount, (code,)) for code, name in CATEGORY_COLUMNS.items()]
 
-    def holds(code: str) -> Column:
-        same = F.col("hft_id2") == code
-        return same if retail is None else same & (F.col("drug_retail") == retail)
 
-    return [Measure(name, F.col(value), holds(code)) for code, name in CATEGORY_COLUMNS.items()]
+def retail_measure(amount: str) -> Measure:
+    return Measure("drug_retail", amount, (RETAIL,))
 
 
 def category_pivot(
     df: DataFrame, keys: Sequence[str], value: str = "revenue", keep_null_keys: bool = False
 ) -> DataFrame:
-    """Category codes as columns, in one pass; rows with an unknown code make no group."""
-    pivot = Source(df, category_measures(value), rows=is_category())
-    return sum_sources([pivot], keys, keep_null_keys)
+    """Category codes as columns; lines with an unknown code make no group."""
+    source = Source(df, CATEGORY_KIND, {value: value})
+    return sum_sources([source], keys, category_measures(value), keep_null_keys)
 
 
-def category_and_retail(df: DataFrame, value: str = "revenue") -> Source:
-    """Categories of the non-retail rows, and all retail rows as one more column."""
-    sold = F.col("drug_retail") == "Y"
-    return Source(
-        df,
-        category_measures(value, retail="N") + [Measure("drug_retail", F.col(value), sold)],
-        rows=sold | ((F.col("drug_retail") == "N") & is_category()),
-    )
+# ---- members --------------------------------------------------------------------------------
 
 
 def distinct_members(df: DataFrame, column: str) -> DataFrame:
-    return df.select(column).dropna().distinct()
+    return drop_null_keys(df.select(column), [column]).distinct()
 
 
 def pairs_by_id(df: DataFrame, id_column: str, name_column: str) -> DataFrame:
     """One name per id. A table has no last row, so the largest name is taken."""
-    pairs = df.select(id_column, name_column).dropna()
-    return pairs.groupBy(id_column).agg(F.max(name_column).alias(name_column))
+    pairs = drop_null_keys(df.select(id_column, name_column), [id_column, name_column])
+    return aggregate(pairs, [id_column], [f"max({name_column}) AS {name_column}"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from soquy.functions.text import date_text, to_int_or_null
 
@@ -19,8 +20,8 @@ def _movements(
     numbers: list[str],
 ) -> DataFrame:
     rows = tables.fact(fact, from_date, to_date, storage_ids=storage_ids)
-    texts = {c: date_text(c) for c in dates}
-    return rows.withColumns({**texts, **{c: to_int_or_null(c) for c in numbers}})
+    texts = {c: F.expr(date_text(c)) for c in dates}
+    return rows.withColumns({**texts, **{c: F.expr(to_int_or_null(c)) for c in numbers}})
 
 
 def inventory_import(

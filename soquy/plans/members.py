@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from soquy.operators.dims import upsert_members, upsert_storage
 from soquy.operators.shape import CLASS_KEYS
-from soquy.operators.sums import distinct_members, drop_null_keys, is_category, pairs_by_id
+from soquy.operators.sums import CATEGORY_KIND, distinct_members, drop_null_keys, pairs_by_id
 from soquy.plans.reconcile import ledger_keys
 from soquy.plans.revenue import ORDER_DEPT, PERFORM_DEPT
 
@@ -31,8 +30,9 @@ def upsert_order_departments(tables, from_date: str, to_date: str, dim: DataFram
     """Ordering departments of the non-retail revenue report added to ``dim(dept, dept_name)``."""
     columns = [*CLASS_KEYS, "hft_id2", "drug_retail", ORDER_DEPT]
     rows = tables.fact("revenue", from_date, to_date, columns=columns)
-    rows = drop_null_keys(rows.where((F.col("drug_retail") == "N") & is_category()), CLASS_KEYS)
-    return upsert_members(dim, distinct_members(rows, ORDER_DEPT).withColumnsRenamed({ORDER_DEPT: "dept"}))
+    rows = rows.where(f"drug_retail = 'N' AND ({CATEGORY_KIND}) IS NOT NULL")
+    seen = distinct_members(drop_null_keys(rows, CLASS_KEYS), ORDER_DEPT)
+    return upsert_members(dim, seen.withColumnRenamed(ORDER_DEPT, "dept"))
 
 
 def upsert_perform_departments(

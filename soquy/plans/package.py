@@ -10,7 +10,14 @@ from soquy.functions.nulls import fill_text
 from soquy.operators.filters import filter_dept
 from soquy.operators.present import order_report
 from soquy.operators.shape import CLASS_KEYS, UNKNOWN_DEPARTMENT
-from soquy.operators.sums import Measure, Source, category_measures, sum_sources
+from soquy.operators.sums import (
+    ANY_CATEGORY_OR_RETAIL_KIND,
+    Measure,
+    Source,
+    category_measures,
+    retail_measure,
+    sum_sources,
+)
 from soquy.plans.revenue import PERFORM_DEPT
 
 
@@ -21,13 +28,14 @@ def package_cost_by_dept(
     group, whatever its code, flag or null class."""
     columns = [*CLASS_KEYS, "hft_id2", "drug_retail", "revenue", "cost_in_package", PERFORM_DEPT]
     rows = tables.fact("revenue", from_date, to_date, columns=columns)
-    rows = rows.withColumn(PERFORM_DEPT, fill_text(PERFORM_DEPT, UNKNOWN_DEPARTMENT))
-    revenue = F.col("revenue")
+    rows = rows.withColumn(PERFORM_DEPT, F.expr(fill_text(PERFORM_DEPT, UNKNOWN_DEPARTMENT)))
+    amounts = {"revenue": "revenue", "cost_in_package": "cost_in_package"}
+    source = Source(filter_dept(rows, perform=dept), ANY_CATEGORY_OR_RETAIL_KIND, amounts)
     measures = [
-        *category_measures("cost_in_package", retail="N"),
-        Measure("drug_retail", revenue, F.col("drug_retail") == "Y"),
-        Measure("revenue", revenue),
+        *category_measures("cost_in_package"),
+        retail_measure("revenue"),
+        Measure("revenue", "revenue"),
     ]
     keys = [*CLASS_KEYS, PERFORM_DEPT]
-    source = Source(filter_dept(rows, perform=dept), measures)
-    return decode_classes(order_report(sum_sources([source], keys, True), keys, ordered))
+    sums = sum_sources([source], keys, measures, keep_null_keys=True)
+    return decode_classes(order_report(sums, keys, ordered))

@@ -10,7 +10,7 @@ from soquy.operators.filters import filter_optional, having_any_positive, split_
 from soquy.operators.joins import receivable_sums
 from soquy.operators.present import order_report
 from soquy.operators.sums import Source, resum, sum_by, sum_sources
-from soquy.plans.reconcile import receivable_measures
+from soquy.plans import reconcile
 
 _DOCUMENT = ["hfe_docno_1", "hfe_invoiceno", "thungan", "hfe_payment_method"]
 
@@ -38,7 +38,8 @@ RECEIVABLE_TOTALS = {"total": RECEIVABLE_MEASURES}
 def detail_exemption(tables, from_date: str, to_date: str, ordered: bool = True) -> DataFrame:
     """Documents with a waived amount; adjustments count here too."""
     ar = tables.fact("ar", from_date, to_date)
-    sums = sum_sources([Source(ar, receivable_measures(outside_adjustments=False))], _DOCUMENT)
+    source = Source(ar, reconcile.RECEIVABLE_KIND, reconcile.RECEIVABLE_AMOUNTS)
+    sums = sum_sources([source], _DOCUMENT, reconcile.RECEIVABLE_MEASURES, fine=True)
     waived = having_any_positive(
         sums, ["revenue_exemption_by_receipt_patpaid", "revenue_exemption_by_refund_patpaid"]
     )
@@ -74,8 +75,8 @@ def account_receivables(tables, from_date: str, to_date: str, ordered: bool = Tr
     rows = resum(sums, coarser, RECEIVABLE_MEASURES)
     rows = rows.withColumns(
         {
-            "receivable_date": F.to_timestamp("hfe_date").cast("date"),
-            "hfe_date": date_text_strict("hfe_date"),
+            "receivable_date": F.expr("CAST(to_timestamp(hfe_date) AS DATE)"),
+            "hfe_date": F.expr(date_text_strict("hfe_date")),
         }
     )
     return order_report(rows, ["hfe_date", "hfe_payment_method", "thungan"], ordered)

@@ -8,13 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soquy.functions.nulls import invoice_key, ne_keep_null
-from soquy.operators.checks import reconcile_checks, split_paid
+from soquy.operators.checks import SPLIT_PAID, reconcile_checks
 from soquy.operators.filters import filter_optional
 from soquy.operators.joins import attach_coarse
 from soquy.operators.present import TOTAL_FLAG, number_texts, order_report, with_grand_total
 from soquy.operators.setops import union_padded
-from soquy.operators.sums import Measure, Source, drop_null_keys, resum, sum_by
-from soquy.operators.sums import measure_rows as rows_of
+from soquy.operators.sums import (
+    KIND,
+    Measure,
+    Source,
+    kind_rows,
+    kinds_as_columns,
+    sum_by,
+    sum_kinds,
+)
 
 # The measures in report order.
 LEDGER_MEASURES = [
@@ -49,70 +56,80 @@ SUMMARY_TOLERANCE = 300
 DETAIL_TOLERANCE = 100
 
 
-def receivable_measures(outside_adjustments: bool = True) -> list[Measure]:
-    """Receivables without and with a deposit, as paid, paid by others and waived.
+# Amounts of a receivable; the part paid by the patient is its main amount.
+RECEIVABLE_AMOUNTS = {
+    "amount": SPLIT_PAID["patpaid"],
+    "otherpaid": SPLIT_PAID["otherpaid"],
+    "exempt": SPLIT_PAID["exempt"],
+    "advance": "deposit",
+}
 
-    ``outside_adjustments`` leaves out those settled by adjustment.
-    """
-    parts = split_paid()
-    billed, prepaid = F.col("deposit") == 0, F.col("deposit") > 0
-    if outside_adjustments:
-        other = ne_keep_null("hfe_payment_method", "RC")
-        billed, prepaid = billed & other, prepaid & other
-    measures = []
-    for how, when in (("receipt", billed), ("refund", prepaid)):
-        measures += [
-            Measure(f"revenue_by_{how}_patpaid", parts["patpaid"], when),
-            Measure(f"revenue_by_{how}_otherpaid", parts["otherpaid"], when),
-            Measure(f"revenue_exemption_by_{how}_patpaid", parts["exempt"], when),
-        ]
-    return [*measures, Measure("advance_payment", F.col("deposit"), prepaid)]
-
-
-def _cash_measures() -> dict[str, list[Measure]]:
-    parts = split_paid()
-    paid, amount, kind = F.col("hfe_payment"), F.col("hfe_amount"), F.col("refund_type")
-    by_machine = F.col("hfe_payment_calc_mode") == "M"
-    adjusted = F.col("hfe_payment_method") == "RC"
-    return {
-        "receipt": [
-            Measure("invoice_receipt_amount", paid, F.col("hfe_deposit") == 0),
-            Measure("invoice_advance_payment_amount", paid, ne_keep_null("hfe_deposit", 0)),
-        ],
-        "deposit": [Measure("deposit_amount", amount)],
-        "refund": [
-            Measure("refund_deduction_amount", amount, kind == 1),
-            Measure(
-                "refund_after_payment_amount",
-                amount,
-                (kind == 2) & ne_keep_null("hfe_payment_calc_mode", "M"),
-            ),
-            Measure("return_amount", amount, kind == 3),
-            Measure("other_paid_amount", amount, kind == 4),
-            Measure("adjust_paid_amount", amount, (kind == 5) | ((kind == 2) & by_machine)),
-        ],
-        "ar": [
-            *receivable_measures(),
-            Measure("revenue_by_adjust_patpaid", parts["patpaid"], adjusted),
-            Measure("revenue_by_adjust_otherpaid", parts["otherpaid"], adjusted),
-        ],
-    }
+# Receivables without and with a deposit; those settled by adjustment are told apart or not.
+BILLED, PREPAID, ADJUSTED = "billed", "prepaid", "adjusted"
+RECEIVABLE_KIND = f"CASE WHEN deposit = 0 THEN '{BILLED}' WHEN deposit > 0 THEN '{PREPAID}' END"
+LEDGER_RECEIVABLE_KIND = (
+    f"CASE WHEN hfe_payment_method = 'RC' THEN '{ADJUSTED}' ELSE {RECEIVABLE_KIND} END"
+)
 
 
-def ledger_sources(tables, from_date: str, to_date: str) -> list[Source]:
-    """Receipts, deposits, refunds and receivables with the measures each feeds."""
+def _paid_measures(name: str, kind: str) -> list[Measure]:
+    return [
+        Measure(f"revenue_by_{name}_patpaid", "amount", (kind,)),
+        Measure(f"revenue_by_{name}_otherpaid", "otherpaid", (kind,)),
+        Measure(f"revenue_exemption_by_{name}_patpaid", "exempt", (kind,)),
+    ]
+
+
+RECEIVABLE_MEASURES = [
+    *_paid_measures("receipt", BILLED),
+    *_paid_measures("refund", PREPAID),
+    Measure("advance_payment", "advance", (PREPAID,)),
+]
+
+# source: (kind of a row, its amounts); the kind of a cash row is the measure it feeds
+_LEDGER = {
+    "receipt": (
+        f"CASE WHEN {ne_keep_null('hfe_deposit', 0)} THEN 'invoice_advance_payment_amount' "
+        "ELSE 'invoice_receipt_amount' END",
+        {"amount": "hfe_payment"},
+    ),
+    "deposit": ("'deposit_amount'", {"amount": "hfe_amount"}),
+    "refund": (
+        "CASE WHEN refund_type = 1 THEN 'refund_deduction_amount' "
+        f"WHEN refund_type = 2 AND {ne_keep_null('hfe_payment_calc_mode', 'M')} "
+        "THEN 'refund_after_payment_amount' "
+        "WHEN refund_type = 3 THEN 'return_amount' "
+        "WHEN refund_type = 4 THEN 'other_paid_amount' "
+        "WHEN refund_type IN (2, 5) THEN 'adjust_paid_amount' END",
+        {"amount": "hfe_amount"},
+    ),
+    "ar": (LEDGER_RECEIVABLE_KIND, RECEIVABLE_AMOUNTS),
+}
+
+_MEASURES = [
+    *[Measure(name, "amount", (name,)) for name in LEDGER_MEASURES[0:8]],
+    *RECEIVABLE_MEASURES[0:6],
+    *_paid_measures("adjust", ADJUSTED)[0:2],
+    RECEIVABLE_MEASURES[6],
+    Measure("deduction", "amount", ("deduction",)),
+]
 
-    def keyed(name: str) -> DataFrame:
-        fact = tables.fact(name, from_date, to_date)
-        return fact.withColumn("hfe_invoiceno", invoice_key("hfe_invoiceno"))
 
-    return [Source(keyed(name), measures) for name, measures in _cash_measures().items()]
+def _keyed(df: DataFrame) -> DataFrame:
+    return df.withColumn("hfe_invoiceno", F.expr(invoice_key("hfe_invoiceno")))
+
+
+def ledger_sources(tables, from_date: str, to_date: str) -> list[Source]:
+    """Receipts, deposits, refunds and receivables with the amounts each brings."""
+    return [
+        Source(_keyed(tables.fact(name, from_date, to_date)), kind, amounts)
+        for name, (kind, amounts) in _LEDGER.items()
+    ]
 
 
 def ledger_keys(tables, from_date: str, to_date: str, keys: Sequence[str]) -> DataFrame:
     """Keys of the rows that feed any measure."""
-    parts = [s.contributing().select(*keys) for s in ledger_sources(tables, from_date, to_date)]
-    return drop_null_keys(union_padded(*parts), keys)
+    return kind_rows(ledger_sources(tables, from_date, to_date), keys).select(*keys)
 
 
 def _reconcile(
@@ -127,17 +144,21 @@ def _reconcile(
     """Ledger measures and deductions at ``keys``.
 
     The measures are plain sums, so they go to ``keys`` at once. Only the deductions need the
-    invoice: they are summed at ``coarse`` and attached to the distinct ``fine`` keys, then join
-    the measures in the same aggregate. The wide rows are shuffled once, after partial sums.
+    invoice: they are summed at ``coarse``, attached to the distinct ``fine`` keys and summed to
+    ``keys``, then take their place beside the other kinds. No row with all measures is shuffled.
     """
-    ledger = rows_of(ledger_sources(tables, from_date, to_date), fine)
+    sources = ledger_sources(tables, from_date, to_date)
     wanted = [*coarse, "revenue"]
-    deduction = tables.fact("deduction", from_date, to_date, columns=wanted).select(*wanted)
-    deduction = deduction.withColumn("hfe_invoiceno", invoice_key("hfe_invoiceno"))
-    deduction = sum_by(deduction, coarse, ["revenue"]).withColumnRenamed("revenue", "deduction")
-    owners = ledger_keys(tables, from_date, to_date, fine)
-    attached = attach_coarse(owners, deduction, coarse, mode)
-    return resum(union_padded(ledger, attached), keys, LEDGER_MEASURES)
+    deduction = _keyed(tables.fact("deduction", from_date, to_date, columns=wanted))
+    per_invoice = sum_by(deduction, coarse, ["revenue"])
+    owners = kind_rows(sources, fine).select(*fine)
+    attached = attach_coarse(owners, per_invoice, coarse, mode)
+    deducted = attached.selectExpr(*keys, f"'deduction' AS {KIND}", "revenue AS amount")
+    sums = union_padded(
+        sum_kinds(kind_rows(sources, keys), keys, list(RECEIVABLE_AMOUNTS)),
+        sum_kinds(deducted, keys, ["amount"]),
+    )
+    return kinds_as_columns(sums, keys, [m.sql() for m in _MEASURES])
 
 
 def summary_reconciliation(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from soquy.functions.labels import decode_classes
 from soquy.functions.nulls import ensure_columns
@@ -27,7 +26,7 @@ def _retail(
     )
     sums = cogs_with_pivot(rows, CLASS_KEYS) if cogs else category_pivot(rows, CLASS_KEYS)
     amounts = [c for c in sums.columns if c not in CLASS_KEYS]
-    flagged = sums.select(*CLASS_KEYS, F.lit("Y").alias("drug_retail"), *amounts)
+    flagged = sums.selectExpr(*CLASS_KEYS, "'Y' AS drug_retail", *amounts)
     return decode_classes(order_report(flagged, CLASS_KEYS, ordered))
 
 

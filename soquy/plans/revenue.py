@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from soquy.functions.labels import decode_classes
 from soquy.operators.checks import within
 from soquy.operators.filters import filter_dept, filter_optional
 from soquy.operators.present import order_report
-from soquy.operators.shape import CATEGORIES, CLASS_KEYS
+from soquy.operators.shape import CATEGORIES, CATEGORY_COLUMNS, CLASS_KEYS
 from soquy.operators.sums import (
+    ANY_CATEGORY_KIND,
+    CATEGORY_OR_RETAIL_KIND,
     Measure,
     Source,
-    category_and_retail,
     category_measures,
     resum,
+    retail_measure,
     sum_sources,
 )
 
@@ -31,8 +32,16 @@ CATEGORY_RETAIL_TOTALS = {"total": [*CATEGORIES, "drug_retail"]}
 _PIVOT = [*CLASS_KEYS, "hft_id2", "drug_retail", "revenue"]
 
 
-def _revenue_of_invoices() -> Measure:
-    return Measure("revenue", F.col("revenue"))
+_REVENUE = {"revenue": "revenue"}
+_RETAIL_MEASURES = [*category_measures("revenue"), retail_measure("revenue")]
+
+# Receivables beside revenue lines: a kind of their own.
+_INVOICED = "invoiced"
+_INVOICED_REVENUE = Measure("revenue", "revenue", (_INVOICED,))
+
+
+def _invoiced(ar: DataFrame) -> Source:
+    return Source(ar, f"'{_INVOICED}'", _REVENUE)
 
 
 def pivot_by(
@@ -47,7 +56,8 @@ def pivot_by(
     """Categories and retail of a fact by class and department columns."""
     rows = tables.fact(fact, from_date, to_date, columns=[*_PIVOT, *depts])
     keys = [*depts, *CLASS_KEYS]
-    sums = sum_sources([category_and_retail(filter_dept(rows, order=order))], keys)
+    source = Source(filter_dept(rows, order=order), CATEGORY_OR_RETAIL_KIND, _REVENUE)
+    sums = sum_sources([source], keys, _RETAIL_MEASURES)
     return decode_classes(order_report(sums, keys, ordered))
 
 
@@ -55,9 +65,8 @@ def summary_revenue(tables, from_date: str, to_date: str, ordered: bool = True)
     """By class, beside the revenue of the receivables."""
     rows = tables.fact("revenue", from_date, to_date, columns=_PIVOT)
     ar = tables.fact("ar", from_date, to_date, columns=[*CLASS_KEYS, "revenue"])
-    sums = sum_sources(
-        [category_and_retail(rows), Source(ar, [_revenue_of_invoices()])], CLASS_KEYS
-    )
+    sources = [Source(rows, CATEGORY_OR_RETAIL_KIND, _REVENUE), _invoiced(ar)]
+    sums = sum_sources(sources, CLASS_KEYS, [*_RETAIL_MEASURES, _INVOICED_REVENUE])
     return decode_classes(order_report(sums, CLASS_KEYS, ordered))
 
 
@@ -105,9 +114,13 @@ def revenue_reconciliation(
     columns = ["hfe_docno_1", "hft_id2", "revenue"]
     rows = tables.fact("revenue", from_date, to_date, columns=columns)
     ar = tables.fact("ar", from_date, to_date, columns=["hfe_docno_1", "revenue"])
-    lines = [*category_measures("revenue"), Measure("revenue_by_detail", F.col("revenue"))]
+    by_detail = Measure("revenue_by_detail", "revenue", ("", *CATEGORY_COLUMNS))
     keys = ["hfe_docno_1"]
-    sums = sum_sources([Source(rows, lines), Source(ar, [_revenue_of_invoices()])], keys)
-    agrees = within(F.col("revenue_by_detail"), F.col("revenue"), REVENUE_TOLERANCE)
-    checked = sums.withColumn("comparison_criteria", agrees)
+    sums = sum_sources(
+        [Source(rows, ANY_CATEGORY_KIND, _REVENUE), _invoiced(ar)],
+        keys,
+        [*category_measures("revenue"), by_detail, _INVOICED_REVENUE],
+    )
+    agrees = within("revenue_by_detail", "revenue", REVENUE_TOLERANCE)
+    checked = sums.selectExpr("*", f"{agrees} AS comparison_criteria")
     return order_report(filter_optional(checked, comparison_criteria=status), keys, ordered)

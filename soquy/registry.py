@@ -47,7 +47,8 @@ class Query:
 def as_double(df: DataFrame) -> DataFrame:
     """Exact decimals as doubles, at the very end."""
     money = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)]
-    return df.withColumns({c: F.col(c).cast("double") for c in money}) if money else df
+    casts = {c: F.expr(f"CAST({c} AS DOUBLE)") for c in money}
+    return df.withColumns(casts) if money else df
 
 
 def report(plan, oracle: str, period: tuple[str, str] = ALWAYS, **filters) -> Query:
@@ -168,26 +169,25 @@ def _appended(spark: SparkSession, folder: str) -> DataFrame:
 
 def _number_texts(t: StarTables) -> DataFrame:
     rows = t.fact("ar", *ALWAYS, columns=["hfe_invoiceno", "deposit", "insurance"])
-    half = (F.col("insurance") / 8).cast("decimal(20,3)")
-    return rows.select(
+    rows = rows.selectExpr("*", "CAST(insurance / 8 AS DECIMAL(20,3)) AS half")
+    return rows.selectExpr(
         "hfe_invoiceno",
-        dot_thousands(half).alias("even"),
-        dot_thousands(-half, null_as_zero=True).alias("cut"),
-        dot_thousands("deposit", null_as_zero=True).alias("deposit_or_zero"),
-        comma_thousands(half).alias("half_up"),
+        f"{dot_thousands('half')} AS even",
+        f"{dot_thousands('-half', null_as_zero=True)} AS cut",
+        f"{dot_thousands('deposit', null_as_zero=True)} AS deposit_or_zero",
+        f"{comma_thousands('half')} AS half_up",
     )
 
 
 def _text_parsing(t: StarTables) -> DataFrame:
     columns = ["documentno", "orderno", "transaction_date", "expdate", "docno", "stock_name"]
-    rows = t.fact("inv_export", *ALWAYS, columns=columns)
-    return rows.select(
+    return t.fact("inv_export", *ALWAYS, columns=columns).selectExpr(
         "documentno",
         "orderno",
-        date_text("transaction_date").alias("lenient"),
-        date_text_strict("expdate").alias("strict"),
-        to_int_or_null("docno").alias("docno"),
-        is_blank("stock_name").alias("nameless"),
+        f"{date_text('transaction_date')} AS lenient",
+        f"{date_text_strict('expdate')} AS strict",
+        f"{to_int_or_null('docno')} AS docno",
+        f"{is_blank('stock_name')} AS nameless",
     )
 
 

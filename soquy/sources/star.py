@@ -14,6 +14,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from soquy.sources.schemas import FACTS
 from soquy.sources.tables import narrow, parse_period
@@ -173,6 +174,10 @@ WHERE paid
 _CASH_FACTS = {"receipt": _RECEIPT, "deposit": _DEPOSIT, "refund": _REFUND}
 
 
+# Schemas found so far, so that a table's footers are looked at once.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 class StarTables:
     """Facts over ``<root>/<table>.parquet``. The period is the day of shipment for lines and the
     day of the order for receivables and cash."""
@@ -184,7 +189,12 @@ class StarTables:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._read:
-            self._read[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+            path = f"{self.root}/{name}.parquet"
+            reader = self.spark.read
+            if path in _SCHEMAS:
+                reader = reader.schema(_SCHEMAS[path])
+            self._read[name] = reader.parquet(path)
+            _SCHEMAS[path] = self._read[name].schema
         return self._read[name]
 
     def fact(
@@ -221,8 +231,9 @@ class StarTables:
         for field in FACTS[name].fields:
             if field.name in wanted:
                 expression = defined[field.name][0] if field.name in defined else "'-'"
-                columns.append(F.expr(expression).cast(field.dataType).alias(field.name))
-        return narrow(df.select(*columns), name, category, storage_ids)
+                kind = field.dataType.simpleString()
+                columns.append(f"CAST({expression} AS {kind}) AS {field.name}")
+        return narrow(df.selectExpr(*columns), name, category, storage_ids)
 
     def _receivables(self, from_date: str, to_date: str) -> DataFrame:
         orders = _by_day(self.table("orders"), "o_orderdate", from_date, to_date)
@@ -230,16 +241,17 @@ class StarTables:
 
     @cached_property
     def _invoices(self) -> DataFrame:
-        price = F.col("l_extendedprice").cast("decimal(18,2)")
-        returned = F.when(F.col("l_returnflag") == "R", price).otherwise(0)
-        return (
-            self.table("lineitem")
-            .groupBy(F.col("l_orderkey").alias("inv_key"))
-            .agg(F.sum(price).alias("amt"), F.sum(returned).alias("ded"))
+        # Prices are whole cents; the lines of one invoice add up well within a bigint.
+        cents = "CAST(round(l_extendedprice * 100) AS BIGINT)"
+        sums = [f"sum({cents}) AS amt", f"sum(if(l_returnflag = 'R', {cents}, 0L)) AS ded"]
+        grouped = self.table("lineitem").groupBy("l_orderkey").agg(*map(F.expr, sums))
+        money = "CAST(CAST({0} AS DECIMAL(20,0)) / 100 AS DECIMAL(18,2)) AS {0}"
+        return grouped.selectExpr(
+            "l_orderkey AS inv_key", money.format("amt"), money.format("ded")
         )
 
 
 def _by_day(df: DataFrame, column: str, from_date: str, to_date: str) -> DataFrame:
     first, last = parse_period(from_date, to_date)
-    day = F.col(column)
-    return df.where((day >= F.lit(first)) & (day < F.lit(last + dt.timedelta(days=1))))
+    after = last + dt.timedelta(days=1)
+    return df.where(f"{column} >= DATE'{first}' AND {column} < DATE'{after}'")

@@ -40,7 +40,7 @@ def check_category(category: str) -> str:
 
 def in_period(df: DataFrame, from_date: str, to_date: str, column: str = PERIOD_COLUMN) -> DataFrame:
     first, last = parse_period(from_date, to_date)
-    return df.where(F.col(column).between(F.lit(first), F.lit(last)))
+    return df.where(f"{column} BETWEEN DATE'{first}' AND DATE'{last}'")
 
 
 def narrow(
