@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from soquy.functions.nulls import or_zero
 from soquy.operators.checks import INSURED
 from soquy.operators.setops import union_padded
 from soquy.operators.shape import CATEGORIES
@@ -63,19 +64,19 @@ def receivable_sums(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     keyed = " AND ".join(f"{k} IS NOT NULL" for k in keys)
     rows = rows.where(f"receipt_object = 3 OR (receipt_object IN (1, 2) AND {keyed})")
 
-    def owed(payer: int, amount: str) -> str:
-        return f"CASE WHEN receipt_object = {payer} THEN {amount} END"
+    def owed(payer: int, amount: str, other: str = "0") -> str:
+        return f"if(receipt_object = {payer}, {amount}, {other})"
 
-    lines = " + ".join(f"max(if(receipt_object = {n}, 1, 0))" for n in (1, 3))
-    payable = f"coalesce({owed(1, 'coalesce(bqp, 0)')}, {owed(3, INSURED)})"
+    lines = " + ".join(f"max({owed(n, '1')})" for n in (1, 3))
+    payable = owed(1, or_zero("bqp"), owed(3, INSURED))
     sums = aggregate(
         rows,
         keys,
         [
             f"{lines} AS lines",
-            f"coalesce(sum({owed(1, 'insurance')}), 0) AS hn",
-            f"coalesce(sum({owed(2, INSURED)}), 0) AS bqp",
-            f"coalesce(sum({payable}), 0) AS cuctaichinh",
+            f"sum({owed(1, or_zero('insurance'))}) AS hn",
+            f"sum({owed(2, INSURED)}) AS bqp",
+            f"sum({payable}) AS cuctaichinh",
         ],
     )
     return sums.selectExpr(

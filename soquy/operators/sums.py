@@ -52,8 +52,12 @@ def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def total(column: str) -> str:
-    """Sum that is 0 where there is nothing to add."""
-    return f"{or_zero(f'sum({column})')} AS {column}"
+    """Sum that is 0 where there is nothing to add.
+
+    The addend is made non-null as well: the engine would otherwise evaluate it a second time to
+    see whether it is null.
+    """
+    return f"{or_zero(f'sum({or_zero(column)})')} AS {column}"
 
 
 def aggregate(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -73,6 +77,10 @@ def resum(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFra
     return sum_by(df, keys, columns, keep_null_keys=True)
 
 
+def _money(amount: str) -> str:
+    return f"CAST({amount} AS DECIMAL(18,2))"
+
+
 def kind_rows(
     sources: Sequence[Source], keys: Sequence[str], keep_null_keys: bool = False
 ) -> DataFrame:
@@ -80,7 +88,10 @@ def kind_rows(
     names = list(dict.fromkeys(a for s in sources for a in s.amounts))
     parts = []
     for s in sources:
-        amounts = [f"CAST({s.amounts.get(a, 'NULL')} AS DECIMAL(18,2)) AS {a}" for a in names]
+        amounts = [
+            f"{or_zero(_money(s.amounts[a]))} AS {a}" if a in s.amounts else f"{_money('NULL')} AS {a}"
+            for a in names
+        ]
         rows = s.df.selectExpr(*keys, f"{s.kind} AS {KIND}", *amounts)
         parts.append(drop_null_keys(rows, [KIND, *([] if keep_null_keys else keys)]))
     return reduce(DataFrame.union, parts)
