@@ -33,14 +33,13 @@ def attach_coarse(
     stays, with nulls. Only keys are shuffled: the caller adds the result to its own measures as
     one more source, so no wide row takes part in the join.
     """
-    rest = [c for c in fine.columns if c not in keys]
-    if mode == "compat":
-        owners = fine.distinct()
-    elif mode == "exact":
-        smallest = aggregate(fine, keys, [f"min(struct({', '.join(rest)})) AS smallest"])
-        owners = smallest.select(*keys, "smallest.*")
-    else:
+    if mode not in ("compat", "exact"):
         raise ValueError("mode must be compat or exact")
+    owners = fine.distinct()
+    if mode == "exact":
+        rest = [c for c in fine.columns if c not in keys]
+        smallest = aggregate(owners, keys, [f"min(struct({', '.join(rest)})) AS smallest"])
+        owners = smallest.select(*keys, "smallest.*")
     return coarse.join(owners, list(keys), "left")
 
 

@@ -170,6 +170,10 @@ def distinct_members(df: DataFrame, column: str) -> DataFrame:
 
 
 def pairs_by_id(df: DataFrame, id_column: str, name_column: str) -> DataFrame:
-    """One name per id. A table has no last row, so the largest name is taken."""
+    """One name per id. A table has no last row, so the largest name is taken.
+
+    The largest text needs a sort aggregate; distinct pairs come first, by hash, so that few rows
+    are sorted.
+    """
     pairs = drop_null_keys(df.select(id_column, name_column), [id_column, name_column])
-    return aggregate(pairs, [id_column], [f"max({name_column}) AS {name_column}"])
+    return aggregate(pairs.distinct(), [id_column], [f"max({name_column}) AS {name_column}"])

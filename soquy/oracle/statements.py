@@ -220,7 +220,7 @@ def receivables(ar: str = "ar") -> str:
     return (
         "SELECT hfe_docno_1, thungan, hfe_payment_method, hd_cardno, "
         "strftime(CAST(hfe_date AS DATE), '%d/%m/%Y') AS hfe_date, "
-        "CAST(hfe_date AS DATE) AS receivable_date, "
+        "CAST(CAST(hfe_date AS DATE) AS VARCHAR) AS receivable_date, "
         f"{dbl(RECEIVABLES, 'coalesce(sum({0}), 0)')} FROM {chain(keys, [union, h, q])} GROUP BY ALL"
     )
 

@@ -44,23 +44,27 @@ class Query:
     oracle: str | None = None
 
 
-def as_double(df: DataFrame) -> DataFrame:
-    """Exact decimals as doubles, at the very end."""
-    money = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)]
-    casts = {c: F.expr(f"CAST({c} AS DOUBLE)") for c in money}
-    return df.withColumns(casts) if money else df
+def as_plain(df: DataFrame) -> DataFrame:
+    """Exact decimals as doubles and days as text, at the very end."""
+    shown = {T.DecimalType: "DOUBLE", T.DateType: "STRING"}
+    casts = {
+        f.name: F.expr(f"CAST({f.name} AS {shown[type(f.dataType)]})")
+        for f in df.schema.fields
+        if type(f.dataType) in shown
+    }
+    return df.withColumns(casts) if casts else df
 
 
 def report(plan, oracle: str, period: tuple[str, str] = ALWAYS, **filters) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return as_double(plan(StarTables(spark, folder), *period, **filters))
+        return as_plain(plan(StarTables(spark, folder), *period, **filters))
 
     return Query(run, with_views(oracle, None if period is ALWAYS else period))
 
 
 def shown(make: Callable[[StarTables], DataFrame], oracle: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return as_double(make(StarTables(spark, folder)))
+        return as_plain(make(StarTables(spark, folder)))
 
     return Query(run, with_views(oracle))
 
@@ -103,7 +107,7 @@ class _SharedKeys(StarTables):
 
 
 def _shared_receivables(spark: SparkSession, folder: str) -> DataFrame:
-    return as_double(receivables.account_receivables(_SharedKeys(spark, folder), *ALWAYS))
+    return as_plain(receivables.account_receivables(_SharedKeys(spark, folder), *ALWAYS))
 
 
 def _with_report_date(t: StarTables, name: str, day: str) -> DataFrame:
@@ -116,7 +120,7 @@ def _landed_parquet(spark: SparkSession, folder: str) -> DataFrame:
     """Slips landed by day of expiry, then read back for a year."""
     root = work_dir(spark)
     write_fact(_with_report_date(StarTables(spark, folder), "inv_export", "expdate"), root, "inv_export")
-    return as_double(inventory.inventory_export(ParquetTables(spark, root), *YEAR))
+    return as_plain(inventory.inventory_export(ParquetTables(spark, root), *YEAR))
 
 
 def _envelopes(df: DataFrame) -> DataFrame:
@@ -132,7 +136,7 @@ def _envelope_rows(spark: SparkSession, folder: str) -> DataFrame:
     _envelopes(StarTables(spark, folder).fact("ar", *ALWAYS)).write.text(root)
     rows = read_envelope(spark, root, FACTS["ar"], multi_line=False)
     tables = FrameTables(spark, {"ar": rows})
-    return as_double(receivables.detail_exemption(tables, *ALWAYS))
+    return as_plain(receivables.detail_exemption(tables, *ALWAYS))
 
 
 def _landed_envelopes(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,13 +148,13 @@ def _landed_envelopes(spark: SparkSession, folder: str) -> DataFrame:
         f"{root}/inv_export_pdt"
     )
     tables = EnvelopeTables(spark, root, multi_line=False)
-    return as_double(inventory.inventory_export_requisition(tables, *YEAR))
+    return as_plain(inventory.inventory_export_requisition(tables, *YEAR))
 
 
 def _exported(spark: SparkSession, folder: str) -> DataFrame:
     """A report written as CSV and read back."""
     path = work_dir(spark)
-    df = as_double(revenue.revenue_by_order_dept(StarTables(spark, folder), *ALWAYS))
+    df = as_plain(revenue.revenue_by_order_dept(StarTables(spark, folder), *ALWAYS))
     write_report(df, path, "csv")
     return spark.read.schema(df.schema).csv(path, header=True)
 
@@ -357,7 +361,9 @@ def _queries() -> dict[str, Query]:
             order="K7",
             perform="K9",
         ),
-        "revenue_reconciliation": report(revenue.revenue_reconciliation, sql.revenue_check()),
+        "revenue_reconciliation": report(
+            revenue.revenue_reconciliation, sql.revenue_check(), ordered=False
+        ),
         "revenue_reconciliation_agreeing": report(
             revenue.revenue_reconciliation, sql.revenue_check("comparison_criteria"), status=True
         ),
@@ -425,7 +431,9 @@ def _queries() -> dict[str, Query]:
             dept="Không xác định",
         ),
         "exam_revenue": report(exam.exam_revenue, sql.exam()),
-        "exam_revenue_by_patient": report(exam.exam_revenue_by_patient, sql.exam(True)),
+        "exam_revenue_by_patient": report(
+            exam.exam_revenue_by_patient, sql.exam(True), ordered=False
+        ),
         # inventory
         "inventory_import": report(inventory.inventory_import, sql.imports()),
         "inventory_import_storages": report(

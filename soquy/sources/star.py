@@ -186,6 +186,7 @@ class StarTables:
         self.spark = spark
         self.root = root.rstrip("/")
         self._read: dict[str, DataFrame] = {}
+        self._ar: dict[tuple[str, str], DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self._read:
@@ -236,8 +237,11 @@ class StarTables:
         return narrow(df.selectExpr(*columns), name, category, storage_ids)
 
     def _receivables(self, from_date: str, to_date: str) -> DataFrame:
-        orders = _by_day(self.table("orders"), "o_orderdate", from_date, to_date)
-        return self.spark.sql(_AR, orders=orders, inv=self._invoices)
+        period = (from_date, to_date)
+        if period not in self._ar:
+            orders = _by_day(self.table("orders"), "o_orderdate", *period)
+            self._ar[period] = self.spark.sql(_AR, orders=orders, inv=self._invoices)
+        return self._ar[period]
 
     @cached_property
     def _invoices(self) -> DataFrame:

@@ -6,7 +6,7 @@ from facts import PERIOD, duck, make, spark_frames
 
 from soquy.oracle import statements as sql
 from soquy.plans import deduction, exam, inventory, package, receivables, reconcile, retail, revenue
-from soquy.registry import as_double
+from soquy.registry import as_plain
 from soquy.sources.schemas import FACTS
 from soquy.sources.tables import FrameTables
 
@@ -103,7 +103,7 @@ def both(request, spark):
 def test_report_equals_cascade(both, name):
     tables, con = both
     plan, filters, statement = REPORTS[name]
-    assert_same(as_double(plan(tables, *PERIOD, **filters)), con.sql(statement))
+    assert_same(as_plain(plan(tables, *PERIOD, **filters)), con.sql(statement))
 
 
 @pytest.mark.parametrize("name", list(REPORTS))
