@@ -111,13 +111,12 @@ def _shared_receivables(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _with_report_date(t: StarTables, name: str, day: str) -> DataFrame:
-    """A line fact with the day it is landed under."""
-    fact = t.fact(name, *ALWAYS)
-    return fact.withColumn(PERIOD_COLUMN, F.to_date(day))
+    """A line fact to be landed under the first day of the month of one of its dates."""
+    return t.fact(name, *ALWAYS).withColumn(PERIOD_COLUMN, F.expr(f"trunc({day}, 'MM')"))
 
 
 def _landed_parquet(spark: SparkSession, folder: str) -> DataFrame:
-    """Slips landed by day of expiry, then read back for a year."""
+    """Slips landed by month of expiry, then read back for a year."""
     root = work_dir(spark)
     write_fact(_with_report_date(StarTables(spark, folder), "inv_export", "expdate"), root, "inv_export")
     return as_plain(inventory.inventory_export(ParquetTables(spark, root), *YEAR))
@@ -140,7 +139,7 @@ def _envelope_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _landed_envelopes(spark: SparkSession, folder: str) -> DataFrame:
-    """Refunds landed as envelopes under the day of the order, then read for a year."""
+    """Slips landed as envelopes by month of receipt, then read for a year."""
     root = work_dir(spark)
     t = StarTables(spark, folder)
     slips = _envelopes(_with_report_date(t, "inv_export_pdt", "receiptdate"))
