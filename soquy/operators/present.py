@@ -16,10 +16,19 @@ from soquy.operators.sums import total
 TOTAL_FLAG = "is_total"
 
 
-def order_report(df: DataFrame, columns: Sequence[str], ordered: bool = True) -> DataFrame:
+def order_report(
+    df: DataFrame, columns: Sequence[str], ordered: bool = True, ties: Sequence[str] = ()
+) -> DataFrame:
     """Ascending, nulls last. A caller that sums, filters or stores the rows passes
-    ``ordered=False`` and saves the range shuffle."""
-    return df.orderBy(*[F.asc_nulls_last(c) for c in columns]) if ordered else df
+    ``ordered=False`` and saves the range shuffle.
+
+    ``ties`` is the rest of the key. Rows with equal order columns can only be spread over tasks
+    if the order goes on, and few cashiers or classes may share most of the rows.
+    """
+    if not ordered:
+        return df
+    order = dict.fromkeys([*columns, *ties])
+    return df.orderBy(*[F.asc_nulls_last(c) for c in order])
 
 
 def page(df: DataFrame, order: str, number: int, size: int) -> DataFrame:

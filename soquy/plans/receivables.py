@@ -60,7 +60,7 @@ def detail_other_paid(
     keys = [
         "hfe_docno_1", "hp_name", "hfe_invoiceno", "thungan", "hfe_payment_method", "hfe_desc"
     ]
-    return order_report(sum_by(paid, keys, ["other_paid_amount"]), ["thungan"], ordered)
+    return order_report(sum_by(paid, keys, ["other_paid_amount"]), ["thungan"], ordered, keys)
 
 
 def account_receivables(tables, from_date: str, to_date: str, ordered: bool = True) -> DataFrame:
@@ -79,4 +79,4 @@ def account_receivables(tables, from_date: str, to_date: str, ordered: bool = Tr
             "hfe_date": F.expr(date_text_strict("hfe_date")),
         }
     )
-    return order_report(rows, ["hfe_date", "hfe_payment_method", "thungan"], ordered)
+    return order_report(rows, ["hfe_date", "hfe_payment_method", "thungan"], ordered, coarser)

@@ -198,7 +198,7 @@ def detail_reconciliation(
     chosen = filter_optional(
         checked, thungan=cashier, hfe_payment_method=method, comparison_criteria_4=status
     )
-    return order_report(chosen, ["hfe_payment_method", "thungan"], ordered)
+    return order_report(chosen, ["hfe_payment_method", "thungan"], ordered, keys)
 
 
 def summary_reconciliation_print(

@@ -89,7 +89,7 @@ def item_sums(rows: DataFrame, depts: list[str], ordered: bool) -> DataFrame:
     """Quantity and revenue per item, null keys kept."""
     keys = [*CLASS_KEYS, *ITEM_KEYS, *depts, "hfe_unit"]
     sums = resum(rows, keys, ["hfe_quantity", "revenue"])
-    return decode_classes(order_report(sums, CLASS_KEYS, ordered))
+    return decode_classes(order_report(sums, CLASS_KEYS, ordered, keys))
 
 
 def detail_revenue(

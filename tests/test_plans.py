@@ -111,3 +111,18 @@ def test_print_puts_the_total_last(tables):
     rows = reconcile.summary_reconciliation_print(tables, *ALWAYS).collect()
     assert rows[-1].thungan == "Tổng cộng" and len(rows) == 42
     assert rows[-1].deduction == "1.092.223.720"
+
+
+@pytest.mark.parametrize(
+    "plan, key",
+    [
+        (reconcile.detail_reconciliation, "hfe_docno_1"),
+        (receivables.detail_other_paid, "hfe_docno_1"),
+        (receivables.account_receivables, "hfe_docno_1"),
+        (deduction.detail_deduction, "hfe_itemid"),
+    ],
+)
+def test_order_goes_on_to_the_fine_key(tables, plan, key):
+    """Otherwise all rows of one cashier or class would be sorted in one task."""
+    shuffled = re.findall(r"rangepartitioning\(([^)]*)\)", initial_plan(plan(tables, *ALWAYS)))
+    assert len(shuffled) == 1 and key in shuffled[0]
