@@ -48,7 +48,8 @@ def with_grand_total(
     label = f"{constant(label)} AS {df.columns[0]}"
     last = df.agg(*[F.expr(total(m)) for m in measures]).selectExpr(label, "*")
     if flag:
-        df, last = df.selectExpr("*", f"0 AS {TOTAL_FLAG}"), last.selectExpr("*", f"1 AS {TOTAL_FLAG}")
+        df = df.selectExpr("*", f"0 AS {TOTAL_FLAG}")
+        last = last.selectExpr("*", f"1 AS {TOTAL_FLAG}")
     return union_padded(df, last)
 
 

@@ -88,10 +88,8 @@ def kind_rows(
     names = list(dict.fromkeys(a for s in sources for a in s.amounts))
     parts = []
     for s in sources:
-        amounts = [
-            f"{or_zero(_money(s.amounts[a]))} AS {a}" if a in s.amounts else f"{_money('NULL')} AS {a}"
-            for a in names
-        ]
+        own = {a: or_zero(_money(amount)) for a, amount in s.amounts.items()}
+        amounts = [f"{own.get(a, _money('NULL'))} AS {a}" for a in names]
         rows = s.df.selectExpr(*keys, f"{s.kind} AS {KIND}", *amounts)
         parts.append(drop_null_keys(rows, [KIND, *([] if keep_null_keys else keys)]))
     return reduce(DataFrame.union, parts)

@@ -64,7 +64,8 @@ def pivot(keys: str, fact: str, retail=True, where="true", extra=(), names=(), f
 
 BILLED, PREPAID = "deposit = 0", "deposit > 0"
 NOT_RC = "hfe_payment_method IS DISTINCT FROM 'RC'"
-PAID, OTHER = "coalesce(patpaid,0) - coalesce(freeamount,0)", "coalesce(revenue,0) - coalesce(patpaid,0)"
+PAID = "coalesce(patpaid,0) - coalesce(freeamount,0)"
+OTHER = "coalesce(revenue,0) - coalesce(patpaid,0)"
 LEDGER = [
     ("invoice_receipt_amount", "receipt", "hfe_payment", "hfe_deposit = 0"),
     ("invoice_advance_payment_amount", "receipt", "hfe_payment", "hfe_deposit IS DISTINCT FROM 0"),
@@ -93,7 +94,7 @@ LEDGER = [
 LEDGER_NAMES = [m[0] for m in LEDGER]
 
 
-def reconciliation(detail: bool, where: str = "true", mode: str = "compat", select: str = "") -> str:
+def reconciliation(detail: bool, where: str = "true", mode: str = "compat") -> str:
     """Cash cascade at the invoice, deductions joined at their coarser key, then summed."""
     if detail:
         fine, coarse = "hfe_docno_1, inv_no, thungan, hfe_payment_method", "hfe_docno_1, inv_no"
@@ -130,7 +131,7 @@ def reconciliation(detail: bool, where: str = "true", mode: str = "compat", sele
         f"(advance_payment - revenue_by_refund_patpaid)) <= {tolerance}"
     )
     return (
-        f"SELECT {select or keys + ', ' + dbl(names)}, {c1} AS comparison_criteria_1, "
+        f"SELECT {keys}, {dbl(names)}, {c1} AS comparison_criteria_1, "
         f"{c2} AS comparison_criteria_2, {c3} AS comparison_criteria_3, "
         f"({c1}) AND ({c2}) AND ({c3}) AS comparison_criteria_4\n"
         f"FROM (SELECT {group}, {sums} FROM {joined} GROUP BY ALL) g WHERE {where}"
@@ -221,7 +222,8 @@ def receivables(ar: str = "ar") -> str:
         "SELECT hfe_docno_1, thungan, hfe_payment_method, hd_cardno, "
         "strftime(CAST(hfe_date AS DATE), '%d/%m/%Y') AS hfe_date, "
         "CAST(CAST(hfe_date AS DATE) AS VARCHAR) AS receivable_date, "
-        f"{dbl(RECEIVABLES, 'coalesce(sum({0}), 0)')} FROM {chain(keys, [union, h, q])} GROUP BY ALL"
+        f"{dbl(RECEIVABLES, 'coalesce(sum({0}), 0)')} "
+        f"FROM {chain(keys, [union, h, q])} GROUP BY ALL"
     )
 
 
@@ -234,7 +236,8 @@ SHARED_AR = (
 
 
 def summary_revenue() -> str:
-    return pivot(CLASSES, "revenue", extra=[grouped(CLASSES, "ar", "revenue", "revenue")], names=["revenue"])
+    invoiced = grouped(CLASSES, "ar", "revenue", "revenue")
+    return pivot(CLASSES, "revenue", extra=[invoiced], names=["revenue"])
 
 
 ORDER, PERFORM = "sd_makhoa_taichinh_order", "sd_makhoa_taichinh"
@@ -336,7 +339,9 @@ def exam(patient: bool = False) -> str:
 # ---- inventory and dimensions ---------------------------------------------------------------
 
 
-def movements(fact: str, dates: list[str], numbers: list[str], money: list[str], where="true") -> str:
+def movements(
+    fact: str, dates: list[str], numbers: list[str], money: list[str], where: str = "true"
+) -> str:
     texts = [f"strftime(TRY_CAST({c} AS TIMESTAMP), '%d-%m-%Y') AS {c}" for c in dates]
     whole = [
         f"CASE WHEN TRY_CAST({c} AS DECIMAL(38,6)) = floor(TRY_CAST({c} AS DECIMAL(38,6))) "

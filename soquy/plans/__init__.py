@@ -1 +1 @@
-"""The reports. Each takes ``(tables, from_date, to_date, **filters)`` and returns a lazy DataFrame."""
+"""The reports. Each takes ``(tables, from_date, to_date, **filters)`` and returns a DataFrame."""

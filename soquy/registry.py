@@ -23,7 +23,7 @@ from soquy.operators.joins import join_totals, missing_members
 from soquy.operators.present import option_list, page, with_grand_total
 from soquy.operators.setops import union_members, union_padded
 from soquy.operators.shape import CATEGORIES, CLASS_KEYS
-from soquy.operators.sums import distinct_members, resum
+from soquy.operators.sums import distinct_members
 from soquy.oracle import statements as sql
 from soquy.oracle.views import with_views
 from soquy.plans import deduction, exam, inventory, members, package, receivables, reconcile
@@ -83,7 +83,8 @@ def _dim_method(t: StarTables) -> DataFrame:
 
 def _dim_department(t: StarTables) -> DataFrame:
     dept = F.concat(F.lit("K"), F.col("n_nationkey").cast("string")).alias("dept")
-    return t.table("nation").where("n_regionkey < 3").select(dept, F.col("n_name").alias("dept_name"))
+    stored = t.table("nation").where("n_regionkey < 3")
+    return stored.select(dept, F.col("n_name").alias("dept_name"))
 
 
 def _dim_storage(t: StarTables) -> DataFrame:
@@ -118,7 +119,8 @@ def _with_report_date(t: StarTables, name: str, day: str) -> DataFrame:
 def _landed_parquet(spark: SparkSession, folder: str) -> DataFrame:
     """Slips landed by month of expiry, then read back for a year."""
     root = work_dir(spark)
-    write_fact(_with_report_date(StarTables(spark, folder), "inv_export", "expdate"), root, "inv_export")
+    slips = _with_report_date(StarTables(spark, folder), "inv_export", "expdate")
+    write_fact(slips, root, "inv_export")
     return as_plain(inventory.inventory_export(ParquetTables(spark, root), *YEAR))
 
 
@@ -163,8 +165,9 @@ def _appended(spark: SparkSession, folder: str) -> DataFrame:
     path = work_dir(spark)
     t = StarTables(spark, folder)
     write_dim(_dim_department(t), path)
-    rows = t.fact("detail_deduction", *ALWAYS, columns=[revenue.PERFORM_DEPT])
-    seen = distinct_members(rows, revenue.PERFORM_DEPT).withColumnRenamed(revenue.PERFORM_DEPT, "dept")
+    dept = revenue.PERFORM_DEPT
+    rows = t.fact("detail_deduction", *ALWAYS, columns=[dept])
+    seen = distinct_members(rows, dept).withColumnRenamed(dept, "dept")
     new = missing_members(seen, spark.read.parquet(path), "dept")
     write_dim(new.withColumn("dept_name", F.lit(None).cast("string")), path)
     return spark.read.parquet(path)

@@ -38,7 +38,9 @@ def check_category(category: str) -> str:
     return category
 
 
-def in_period(df: DataFrame, from_date: str, to_date: str, column: str = PERIOD_COLUMN) -> DataFrame:
+def in_period(
+    df: DataFrame, from_date: str, to_date: str, column: str = PERIOD_COLUMN
+) -> DataFrame:
     first, last = parse_period(from_date, to_date)
     return df.where(f"{column} BETWEEN DATE'{first}' AND DATE'{last}'")
 

@@ -33,7 +33,7 @@ def test_plans_stay_in_the_engine(spark, name):
     """No pairs of rows, no Python per row, no broadcast that Spark did not size itself."""
     df = QUERIES[name].run(spark, DATA)
     plan = initial_plan(df)
-    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval", "MapInPandas"):
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval", "InPandas"):
         assert node not in plan
     assert "strategy=broadcast" not in logical(df)
 
