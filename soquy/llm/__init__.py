@@ -1 +1,10 @@
-"""Operators for training-data corpora; nothing else in the library imports them."""
+"""Operators for training-data corpora; nothing else in the library imports them.
+
+Their task functions travel by value, so executors need no installed copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
