@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from soquy.llm import language, quality
+from soquy.llm.common import stored
 from soquy.llm.neighbours import nearest_neighbours
 
 
@@ -18,7 +20,33 @@ def neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_neighbours(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
 
 
+def held_out(modulus: int, rest: int):
+    """Whether the fold of a document, by its id alone, is kept from learning."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
+
+
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.train(docs.filter(~held_out(4, 2)))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", held_out(4, 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    measured = stored(quality.statistics(table(spark, folder, "documents"), ["doc_id"]))
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    known = stored(measured.filter(~held_out(3, 1)).join(labels, "doc_id"))
+    score = quality.fit(known, "quality").score()
+    return measured.select("doc_id", held_out(3, 1).alias("held_out"), score.alias("score")).withColumn(
+        "predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_language_backoff": languages,
+    "op10_quality_rules": quality_rules,
     "op9_permutation_index": neighbours,
 }
 
