@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soquy.llm import language, quality
+from soquy.llm import language, mixing, quality, warc
 from soquy.llm.common import stored
 from soquy.llm.neighbours import nearest_neighbours
 
@@ -25,6 +25,19 @@ def held_out(modulus: int, rest: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
 
 
+def warc_captures(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write_captures(table(spark, folder, "pages"), "page_id", "url", "html")
+    captures = warc.assemble(warc.read_records(spark, archives, payloads=False))
+    said = F.col("metadata.fields")
+    return captures.select(
+        said["key"].cast("long").alias("page_id"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        said["original-key"].cast("long").alias("refers_to"),
+    )
+
+
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = language.train(docs.filter(~held_out(4, 2)))
@@ -34,6 +47,13 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def mixing_weights(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_column()}
+    mixed = mixing.mix_sources(docs, margins)
+    return mixed.select("doc_id", *mixing.ADDED)
+
+
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     measured = stored(quality.statistics(table(spark, folder, "documents"), ["doc_id"]))
     labels = table(spark, folder, "labels").select("doc_id", "quality")
@@ -45,6 +65,8 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_captures": warc_captures,
+    "op4_mixing_weights": mixing_weights,
     "op7_language_backoff": languages,
     "op10_quality_rules": quality_rules,
     "op9_permutation_index": neighbours,
