@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soquy.llm import language, mixing, quality, warc
+from soquy.llm import contamination, language, mixing, quality, warc
 from soquy.llm.common import stored
 from soquy.llm.neighbours import nearest_neighbours
 
@@ -47,6 +47,18 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = contamination.match_phrases(docs, table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        contamination.hit_count().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+    ).withColumn("contaminated", contamination.is_contaminated())
+
+
 def mixing_weights(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_column()}
@@ -69,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing_weights": mixing_weights,
     "op7_language_backoff": languages,
     "op10_quality_rules": quality_rules,
+    "op8_positional_index": decontamination,
     "op9_permutation_index": neighbours,
 }
 
