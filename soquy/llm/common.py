@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 """Texts are hashed in chunks of about so many bytes; a longer text is a chunk of its own."""
 
 
@@ -95,6 +95,16 @@ def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
+def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of half-open ranges as disjoint ranges in order."""
+    if not len(starts):
+        return starts, ends
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    new = np.concatenate(([True], starts[1:] > reach[:-1]))
+    return starts[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
+
+
 def words(texts: list[bytes], word_bytes: np.ndarray):
     """The words of several texts: their hashes, bounds in the joined bytes, and the number of the
     text each belongs to. ``word_bytes`` has 256 booleans; A-Z count as a-z."""

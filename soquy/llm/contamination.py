@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soquy.llm.common import chunks, text_bytes, words
+from soquy.llm.common import chunks, merged, text_bytes, words
 
 ADDED = ("n_words", "hit_starts", "hit_ends", "items")
 WORD_BYTES = np.array([b > 0x7F or chr(b).isalnum() for b in range(256)])
@@ -112,16 +112,6 @@ class Index:
         return window, start
 
 
-def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The union of half-open ranges as disjoint ranges in order."""
-    if not len(starts):
-        return starts, ends
-    order = np.argsort(starts, kind="stable")
-    starts, reach = starts[order], np.maximum.accumulate(ends[order])
-    new = np.concatenate(([True], starts[1:] > reach[:-1]))
-    return starts[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
-
-
 def match_phrases(
     docs: DataFrame,
     benchmark: DataFrame,

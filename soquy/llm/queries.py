@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soquy.llm import contamination, language, mixing, quality, warc
+from soquy.llm import contamination, language, mixing, quality, suffixes, warc
 from soquy.llm.common import stored
 from soquy.llm.neighbours import nearest_neighbours
 
@@ -47,6 +49,28 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, starts, ends in zip(*(batch[c].to_pylist() for c in ("text", "span_starts", "span_ends")), strict=True):
+                raw = (text or "").encode()
+                kept = suffixes.kept_bytes(raw, starts, ends)
+                rows.append((len(raw), len(raw) - len(kept), len(starts), hashlib.sha256(kept).hexdigest()))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            )
+
+    return suffixes.with_spans(docs).mapInArrow(
+        digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    )
+
+
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = contamination.match_phrases(docs, table(spark, folder, "benchmark"))
@@ -79,6 +103,7 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_captures": warc_captures,
     "op4_mixing_weights": mixing_weights,
+    "op5_suffix_array_dedup": suffix_array_dedup,
     "op7_language_backoff": languages,
     "op10_quality_rules": quality_rules,
     "op8_positional_index": decontamination,
