@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soquy.llm import contamination, language, mixing, quality, suffixes, warc
+from soquy.llm import contamination, jaccard, language, mixing, quality, suffixes, warc
 from soquy.llm.common import stored
 from soquy.llm.neighbours import nearest_neighbours
 
@@ -49,6 +49,10 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents"), size=3, percent=90)
+
+
 def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
 
@@ -102,6 +106,7 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_captures": warc_captures,
+    "op2_jaccard_join": jaccard_join,
     "op4_mixing_weights": mixing_weights,
     "op5_suffix_array_dedup": suffix_array_dedup,
     "op7_language_backoff": languages,
