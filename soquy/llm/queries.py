@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soquy.llm import contamination, jaccard, language, mixing, quality, suffixes, warc
+from soquy.llm import contamination, jaccard, language, licences, mincut, mixing, quality, suffixes, warc
 from soquy.llm.common import stored
 from soquy.llm.neighbours import nearest_neighbours
 
@@ -49,6 +49,21 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def main_texts(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return mincut.extract_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
+def licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.scan_licences(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.size("licences").cast("long").alias("n_matches"),
+        F.concat_ws(",", F.array_sort(F.array_distinct("licences.licence"))).alias("licences"),
+        F.to_json("licences").alias("matches"),
+    )
+
+
 def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents"), size=3, percent=90)
 
@@ -107,8 +122,10 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_captures": warc_captures,
     "op2_jaccard_join": jaccard_join,
+    "op3_mincut_text": main_texts,
     "op4_mixing_weights": mixing_weights,
     "op5_suffix_array_dedup": suffix_array_dedup,
+    "op6_licence_rules": licence_scan,
     "op7_language_backoff": languages,
     "op10_quality_rules": quality_rules,
     "op8_positional_index": decontamination,
