@@ -352,3 +352,20 @@ def kept_bytes(text: bytes, starts: list[int], ends: list[int]) -> bytes:
         out.append(text[at:a])
         at = b
     return b"".join([*out, text[at:]])
+
+
+def kept_text(text: str | None, starts: list[int], ends: list[int]) -> str | None:
+    """The text without the spans; a character that a span cuts in two stays whole."""
+    if text is None or not starts:
+        return text
+    raw = text.encode()
+    inside = lambda at: at < len(raw) and raw[at] & 0xC0 == 0x80
+    whole = []
+    for a, b in zip(starts, ends, strict=True):
+        while inside(a):
+            a += 1
+        while inside(b):
+            b -= 1
+        if b > a:
+            whole.append((a, b))
+    return kept_bytes(raw, [a for a, _ in whole], [b for _, b in whole]).decode()
