@@ -14,6 +14,8 @@ as the next stage's documents. All but the last return the columns of documents.
    their targets; ``tokens``, ``weight`` and ``probability`` are added.
 
 Null texts have no language and go in stage 1. An empty table passes every stage as an empty table.
+Other columns of the documents are carried along under their names, whatever these are; only the
+columns that the last stage adds take the place of columns of the same name.
 """
 
 from __future__ import annotations
@@ -31,11 +33,29 @@ REPEATED_BYTES = 200
 MIX_SEED = 17
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+ADDED = ("tokens", "weight", "probability")
+
+
+def apart(stage):
+    """A stage in which other columns than the documents' own have names that no operator uses."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c if c in OWN else f"extra_{k}": c for k, c in enumerate(docs.columns)}
+        out = stage(spark, docs.toDF(*names), sf_dir)
+        kept = [c for c in out.columns if c in ADDED or names[c] not in ADDED or len(out.columns) == len(names)]
+        return out.select(*(F.col(c).alias(names.get(c, c)) for c in kept))
+
+    return run
+
+
+@apart
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs)
     return language.identify(docs, model).filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 
+@apart
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
     rows = numbered.select(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "_row").alias("key"), "text")
@@ -44,6 +64,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return numbered.join(first, "_row", "left_semi").select(*docs.columns)
 
 
+@apart
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = suffixes.with_spans(docs, REPEATED_BYTES)
 
@@ -62,11 +83,13 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.mapInArrow(cut, docs.schema)
 
 
+@apart
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = contamination.match_phrases(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.withColumn("n_hit", contamination.hit_count()).filter(~contamination.is_contaminated()).select(*docs.columns)
 
 
+@apart
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_column()}
     drawn = mixing.mix_sources(docs, margins, seed=MIX_SEED).filter("mix_sampled")

@@ -115,6 +115,12 @@ def words(texts: list[bytes], word_bytes: np.ndarray):
     return hashed, starts, ends, np.searchsorted(ends_of_text, starts, side="right")
 
 
-def columns_schema(df: DataFrame, names: list[str]) -> str:
-    """DDL of some columns of a frame."""
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
+def hidden(df: DataFrame, *stems: str) -> list[str]:
+    """Names for columns on the way that no column of the frame has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

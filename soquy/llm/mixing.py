@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from soquy.llm.common import stored
+from soquy.llm.common import hidden, stored
 
 ADDED = ("mix_tokens", "mix_weight", "mix_probability", "mix_sampled")
 # Patterns of the topics, the first that fits counts.
@@ -97,8 +97,10 @@ def mix_sources(
 ) -> DataFrame:
     """All rows with mix_tokens, mix_weight (the raked share of their cell), mix_probability and
     mix_sampled added. ``margins`` names the margins and gives the column of each."""
-    names = [f"_mix_{name}" for name in margins]
-    keep = [c for c in docs.columns if c not in (*ADDED, *names)]
+    keep = [c for c in docs.columns if c not in ADDED]
+    names = hidden(docs, *(f"margin_{k}" for k in range(len(margins))))
+    of_names = hidden(docs, *(f"of_margin_{k}" for k in range(len(margins))))
+    (odds_name,) = hidden(docs, "odds")
     tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit("\\S+")), F.lit(0)).cast("long")
     rows = docs.select(*keep, *(c.alias(n) for n, c in zip(names, margins.values(), strict=True)), tokens.alias("mix_tokens"))
     # the shares of cells need the counts only, so the texts are not written again
@@ -114,14 +116,14 @@ def mix_sources(
     largest = raked.agg(F.max(ratio).alias("_largest"))
     odds = stored(
         raked.join(F.broadcast(largest)).select(
-            *(F.col(n).alias(f"_of{n}") for n in names),
+            *(F.col(n).alias(o) for n, o in zip(names, of_names, strict=True)),
             F.col("weight").alias("mix_weight"),
-            F.least(F.lit(1.0), rate * ratio / F.col("_largest")).alias("_odds"),
+            F.least(F.lit(1.0), rate * ratio / F.col("_largest")).alias(odds_name),
         )
     )
-    same = [F.col(n).eqNullSafe(F.col(f"_of{n}")) for n in names]
+    same = [F.col(n).eqNullSafe(F.col(o)) for n, o in zip(names, of_names, strict=True)]
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 53)) / float(1 << 53)
-    chance = F.when(F.col("mix_tokens") > 0, F.coalesce("_odds", F.lit(0.0))).otherwise(0.0)
+    chance = F.when(F.col("mix_tokens") > 0, F.coalesce(odds_name, F.lit(0.0))).otherwise(0.0)
     joined = rows.join(odds, same, "left").withColumn("mix_probability", chance)
     return joined.select(
         *keep,

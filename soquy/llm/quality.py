@@ -79,7 +79,8 @@ class RuleModel:
 
 
 def statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns to keep and the statistics of each text."""
+    """The columns to keep (but those named like a statistic or count) and the statistics."""
+    keep = [c for c in keep if c not in (*COUNTS, *SHARES, "t")]
     text = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     counted = text.select(*keep, *(F.expr(e).cast("double").alias(n) for n, e in COUNTS.items()))
     return counted.select(*keep, *(F.expr(e).cast("double").alias(n) for n, e in SHARES.items()))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soquy.llm.common import BASE_INVERSE, chunks, merged, mix, powers, prefix_hashes, spans
+from soquy.llm.common import BASE_INVERSE, chunks, hidden, merged, mix, powers, prefix_hashes, spans
 from soquy.llm.common import stored, text_bytes
 
 ADDED = ("span_starts", "span_ends")
@@ -329,17 +329,18 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text", b
 def with_spans(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
     """All rows with span_starts and span_ends: the maximal byte ranges covered by repeated strings."""
     keep = [c for c in docs.columns if c not in ADDED]
-    found = repeated_spans(docs, length, text_col).select(F.col("key").alias("_of_key"), F.col("found").alias("_found"))
-    joined = docs.select(*keep, text_key(text_col).alias("_key")).join(found, F.col("_key") == F.col("_of_key"), "left")
+    key, of_key, ranges_col = hidden(docs, "text_key", "of_text_key", "found_ranges")
+    found = repeated_spans(docs, length, text_col).select(F.col("key").alias(of_key), F.col("found").alias(ranges_col))
+    joined = docs.select(*keep, text_key(text_col).alias(key)).join(found, F.col(key) == F.col(of_key), "left")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [merged(*ranges(x)) for x in batch["_found"].to_pylist()]
+            found = [merged(*ranges(x)) for x in batch[ranges_col].to_pylist()]
             columns = [pa.array([list(x[k]) for x in found], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *columns], names=[*keep, *ADDED])
 
     out = docs.select(*keep, *(F.expr("cast(array() as array<int>)").alias(c) for c in ADDED))
-    return joined.select(*keep, "_found").mapInArrow(merge, out.schema)
+    return joined.select(*keep, ranges_col).mapInArrow(merge, out.schema)
 
 
 def ranges(found: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
