@@ -5,9 +5,14 @@ from __future__ import annotations
 from soquy.functions.nulls import or_zero
 
 
+# Forms of a date besides ISO text, tried in this order; days come before months.
+DATE_FORMS = ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "dd-MM-yyyy", "yyyyMMdd")
+
+
 def date_text(col: str, fmt: str = "dd-MM-yyyy") -> str:
-    """Date text in ``fmt``; text that is no date becomes null."""
-    return f"date_format(try_to_timestamp({col}), '{fmt}')"
+    """Date text in ``fmt`` from ISO text or one of ``DATE_FORMS``; any other text becomes null."""
+    forms = "".join(f", try_to_timestamp({col}, '{form}')" for form in DATE_FORMS)
+    return f"date_format(coalesce(try_to_timestamp({col}){forms}), '{fmt}')"
 
 
 def date_text_strict(col: str, fmt: str = "dd/MM/yyyy") -> str:
@@ -17,8 +22,8 @@ def date_text_strict(col: str, fmt: str = "dd/MM/yyyy") -> str:
 
 def to_int_or_null(col: str) -> str:
     """Whole number in a text (``12``, ``12.0``) as bigint; anything else is null."""
-    number = f"try_cast({col} AS DECIMAL(38,6))"
-    return f"CASE WHEN {number} = floor({number}) THEN try_cast({number} AS BIGINT) END"
+    whole = f"split_part(trim(CAST({col} AS STRING)), '.', 1)"
+    return f"CASE WHEN trim(CAST({col} AS STRING)) RLIKE '^[+-]?[0-9]+([.]0*)?$' THEN try_cast({whole} AS BIGINT) END"
 
 
 def dot_thousands(col: str, null_as_zero: bool = False) -> str:

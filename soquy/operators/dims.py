@@ -1,4 +1,5 @@
-"""Dimension maintenance. Each returns rows to write; nothing is written as a side effect."""
+"""Dimension maintenance. Nothing is written as a side effect: ``new_members`` are rows to append,
+the upserts are whole dimensions to store at a new path."""
 
 from __future__ import annotations
 
@@ -9,10 +10,16 @@ from soquy.operators.joins import missing_members
 from soquy.operators.setops import union_padded
 
 
-def upsert_members(dim: DataFrame, values: DataFrame) -> DataFrame:
-    """The dimension with the members it lacked. ``values`` has the key column, distinct."""
+def new_members(dim: DataFrame, values: DataFrame) -> DataFrame:
+    """The members the dimension lacks, with nulls in its other columns. ``values`` has the key
+    column, distinct."""
     (key,) = values.columns
-    return union_padded(dim, missing_members(values, dim, key)).select(*dim.columns)
+    return union_padded(dim.limit(0), missing_members(values, dim, key)).select(*dim.columns)
+
+
+def upsert_members(dim: DataFrame, values: DataFrame) -> DataFrame:
+    """The whole dimension with the members it lacked."""
+    return dim.union(new_members(dim, values))
 
 
 def upsert_storage(dim: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 
 from soquy.functions.nulls import or_zero
 from soquy.operators.checks import INSURED
-from soquy.operators.setops import union_padded
 from soquy.operators.shape import CATEGORIES
 from soquy.operators.sums import (
     ANY_CATEGORY_KIND,
@@ -18,7 +17,6 @@ from soquy.operators.sums import (
     category_measures,
     kind_rows,
     kinds_as_columns,
-    resum,
     sum_kinds,
 )
 
@@ -43,16 +41,6 @@ def attach_coarse(
     return coarse.join(owners, list(keys), "left")
 
 
-def join_totals(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Two totals at the same key side by side, 0 where a side has no row.
-
-    For totals that are at hand already, such as two written reports; the reports themselves sum
-    both sides in one aggregate.
-    """
-    names = [c for c in (*a.columns, *b.columns) if c not in keys]
-    return resum(union_padded(a, b), keys, names)
-
-
 def receivable_sums(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Receivables per payer at the full key, in one aggregate.
 

@@ -37,16 +37,32 @@ def page(df: DataFrame, order: str, number: int, size: int) -> DataFrame:
     return order_report(df, [order, *rest]).offset(number * size).limit(size)
 
 
+def page_after(df: DataFrame, order: Sequence[str], after: Sequence | None, size: int) -> DataFrame:
+    """The next ``size`` rows in ascending order behind the row whose order columns are ``after``
+    (None: the first page). The order columns tell rows apart and hold no nulls; the cost does not
+    grow with the number of pages before."""
+    if after is not None:
+        behind = [
+            " AND ".join([*(f"{c} = {constant(v)}" for c, v in zip(order[:k], after[:k], strict=True)), f"{order[k]} > {constant(after[k])}"])
+            for k in range(len(order))
+        ]
+        df = df.where(" OR ".join(f"({b})" for b in behind))
+    return df.orderBy(*order).limit(size)
+
+
 def with_grand_total(
     df: DataFrame, measures: Sequence[str], label: str = TOTAL_LABEL, flag: bool = False
 ) -> DataFrame:
-    """Append a row with the sums of the measures and the label in the first column.
+    """Append a row with the sums of the measures and the label in the first column, which becomes
+    text if it is not.
 
     The rows and the total come from the same aggregate, whose shuffle is computed once. With
     ``flag`` the total row is marked, to keep it last in an order.
     """
-    label = f"{constant(label)} AS {df.columns[0]}"
+    first = df.columns[0]
+    label = f"{constant(label)} AS {first}"
     last = df.agg(*[F.expr(total(m)) for m in measures]).selectExpr(label, "*")
+    df = df.withColumn(first, F.col(first).cast("string"))
     if flag:
         df = df.selectExpr("*", f"0 AS {TOTAL_FLAG}")
         last = last.selectExpr("*", f"1 AS {TOTAL_FLAG}")
@@ -57,6 +73,6 @@ def number_texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.expr(dot_thousands(c)) for c in columns})
 
 
-def option_list(dim: DataFrame, column: str) -> DataFrame:
-    """Choices for a filter."""
-    return order_report(dim.select(column), [column])
+def option_list(dim: DataFrame, column: str, *shown: str) -> DataFrame:
+    """Choices for a filter, with the columns that are shown for them."""
+    return order_report(dim.select(column, *shown), [column, *shown])

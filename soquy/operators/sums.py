@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from soquy.functions.nulls import constant, or_zero
 from soquy.operators.shape import CATEGORY_COLUMNS
+from soquy.sources.schemas import MONEY
 
 KIND = "kind"
 
@@ -78,7 +79,7 @@ def resum(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFra
 
 
 def _money(amount: str) -> str:
-    return f"CAST({amount} AS DECIMAL(18,2))"
+    return f"CAST({amount} AS {MONEY.simpleString()})"
 
 
 def kind_rows(

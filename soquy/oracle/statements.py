@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-CODES = [f"DT00{i}" for i in range(1, 10)]
+CODES = ["DT001", "DT002", "DT003", "DT004", "DT005", "DT006", "DT007", "DT008", "DT009"]
 NAMES = [
     "tien_kham", "tien_giuong", "tien_cls", "tien_pttt", "tien_thuoc", "tien_vattu",
     "tien_thuoc_pm", "tien_vattu_pm", "tien_khac",
@@ -253,25 +253,28 @@ def by_both(fact: str, dept: str = "") -> str:
     return pivot(f"{CLASSES}, {ORDER}, {PERFORM}", fact, filtered=where)
 
 
-def items(fact: str, where: str = "true", depts: bool = False, base: str = "true") -> str:
+def items(
+    fact: str, where: str = "true", depts: bool = False, base: str = "true", divisor: int = 1
+) -> str:
     """Ten keys first, then the department filter, then, unless wanted, the departments away."""
     keys = f"{CLASSES}, hft_name, hfe_group, hfe_itemid, hfe_desc, hfe_unit"
     both = f"{ORDER}, {PERFORM}"
     amounts = ["hfe_quantity", "revenue"]
-    sums = ", ".join(f"coalesce(sum({a}), 0) AS {a}" for a in amounts)
+    share = "{0}" if divisor == 1 else f"CAST({{0}} / {divisor} AS DECIMAL(28,6))"
+    sums = ", ".join(f"coalesce(sum({share.format(a)}), 0) AS {a}" for a in amounts)
     rows = f"(SELECT {keys}, {both}, {sums} FROM {fact} WHERE {base} GROUP BY ALL)"
     shown = keys.replace(CLASSES, DECODED) + (f", {both}" if depts else "")
     return f"SELECT {shown}, {dbl(amounts, 'sum({0})')} FROM {rows} r WHERE {where} GROUP BY ALL"
 
 
-def revenue_check(where: str = "true") -> str:
+def revenue_check(where: str = "true", receivables: str = "ar") -> str:
     def keyed(fact):
         return f"(SELECT *, coalesce(CAST(hfe_invoiceno AS VARCHAR), 'None') AS inv_no FROM {fact})"
 
     keys = "inv_no, hfe_docno_1"
     parts = pivot_parts(keys, keyed("revenue"))
     parts.append(grouped(keys, keyed("revenue"), "revenue", "revenue_by_detail"))
-    parts.append(grouped(keys, keyed("ar"), "revenue", "revenue"))
+    parts.append(grouped(keys, keyed(receivables), "revenue", "revenue"))
     names = [*NAMES, "revenue_by_detail", "revenue"]
     sums = ", ".join(f"coalesce(sum({n}), 0) AS {n}" for n in names)
     return having(

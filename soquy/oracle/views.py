@@ -128,7 +128,9 @@ FROM stock""",
     "inv_export_pdt": "SELECT * EXCLUDE (lotno, expdate) FROM inv_export",
     "dim_cashier": """
 SELECT 'Cashier_' || CAST(n_nationkey AS VARCHAR) AS name FROM nation WHERE n_regionkey < 2""",
-    "dim_method": "SELECT DISTINCT left(n_name, 2) AS method FROM nation",
+    "dim_method": """
+SELECT CASE r_regionkey WHEN 0 THEN 'TM' WHEN 1 THEN 'QR' WHEN 2 THEN 'VISA' ELSE 'JCB' END AS method
+FROM region WHERE r_regionkey < 4""",
     "dim_department": """
 SELECT 'K' || CAST(n_nationkey AS VARCHAR) AS dept, n_name AS dept_name
 FROM nation WHERE n_regionkey < 3""",

@@ -19,8 +19,8 @@ from soquy.functions.text import (
 )
 from soquy.operators.checks import row_totals
 from soquy.operators.filters import search_rows
-from soquy.operators.joins import join_totals, missing_members
-from soquy.operators.present import option_list, page, with_grand_total
+from soquy.operators.dims import new_members
+from soquy.operators.present import option_list, page, page_after, with_grand_total
 from soquy.operators.setops import union_members, union_padded
 from soquy.operators.shape import CATEGORIES, CLASS_KEYS
 from soquy.operators.sums import distinct_members
@@ -29,12 +29,18 @@ from soquy.oracle.views import with_views
 from soquy.plans import deduction, exam, inventory, members, package, receivables, reconcile
 from soquy.plans import retail, revenue
 from soquy.sources.schemas import FACTS, PERIOD_COLUMN
-from soquy.sources.sinks import work_dir, write_dim, write_fact, write_report
+from soquy.sources.sinks import store_dim, work_dir, write_dim, write_fact, write_report
 from soquy.sources.star import StarTables
-from soquy.sources.tables import EnvelopeTables, FrameTables, ParquetTables, read_envelope
+from soquy.sources.tables import (
+    ALL_DAYS,
+    EnvelopeTables,
+    FrameTables,
+    ParquetTables,
+    read_envelope,
+)
 
 # A period that holds every row.
-ALWAYS = ("1900-01-01", "2199-12-31")
+ALWAYS = (ALL_DAYS, ALL_DAYS)
 YEAR = ("1997-01-01", "1997-12-31")
 
 
@@ -78,7 +84,9 @@ def _dim_cashier(t: StarTables) -> DataFrame:
 
 
 def _dim_method(t: StarTables) -> DataFrame:
-    return t.table("nation").select(F.left("n_name", F.lit(2)).alias("method")).distinct()
+    """Two methods of the facts and two that no fact has; one member per region."""
+    codes = "element_at(map(0, 'TM', 1, 'QR', 2, 'VISA', 3, 'JCB'), CAST(r_regionkey AS INT))"
+    return t.table("region").where("r_regionkey < 4").selectExpr(f"{codes} AS method")
 
 
 def _dim_department(t: StarTables) -> DataFrame:
@@ -168,11 +176,86 @@ def _appended(spark: SparkSession, folder: str) -> DataFrame:
     dept = revenue.PERFORM_DEPT
     rows = t.fact("detail_deduction", *ALWAYS, columns=[dept])
     seen = distinct_members(rows, dept).withColumnRenamed(dept, "dept")
-    new = missing_members(seen, spark.read.parquet(path), "dept")
-    write_dim(new.withColumn("dept_name", F.lit(None).cast("string")), path)
+    write_dim(new_members(spark.read.parquet(path), seen), path)
+    # once more: nothing is missing now
+    write_dim(new_members(spark.read.parquet(path), seen), path)
     return spark.read.parquet(path)
 
 
+def _stored_storages(spark: SparkSession, folder: str) -> DataFrame:
+    """A storage dimension stored twice, each time at a new path, from the one before."""
+    t = StarTables(spark, folder)
+    dim = _dim_storage(t)
+    for _ in range(2):
+        path = work_dir(spark)
+        store_dim(members.upsert_storages(t, *ALWAYS, dim), path)
+        dim = spark.read.parquet(path)
+    return dim
+
+
+def _landed_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """Two years landed one after the other, the second of them twice, then both read."""
+    root = work_dir(spark)
+    t = StarTables(spark, folder)
+    for year in ("1996", "1997", "1997"):
+        slips = _with_report_date(t, "inv_export", "expdate")
+        write_fact(slips.where(F.year(PERIOD_COLUMN) == int(year)), root, "inv_export")
+    return as_plain(inventory.inventory_export(ParquetTables(spark, root), *ALWAYS))
+
+
+def _all_departments(t: StarTables) -> DataFrame:
+    dept = F.concat(F.lit("K"), F.col("n_nationkey").cast("string")).alias("dept")
+    return t.table("nation").select(dept, F.col("n_name").alias("dept_name"))
+
+
+def _fine_envelopes(spark: SparkSession, folder: str) -> DataFrame:
+    """Receivables as documents of many records each, with amounts of four decimals and codes
+    written as ``1.0``, read back and summed."""
+    root = work_dir(spark)
+    fields = [c for c in FACTS["ar"].names]
+    rows = StarTables(spark, folder).fact("ar", *ALWAYS)
+    fine = rows.withColumn("patpaid", F.expr("CAST(patpaid + 0.0125 AS STRING)"))
+    fine = fine.withColumn("kcb_class", F.expr("concat(kcb_class, '.0')"))
+    per_document = fine.groupBy(F.expr("CAST(hfe_docno_1 AS BIGINT) % 100").alias("d"))
+    documents = per_document.agg(F.collect_list(F.struct(*fields)).alias("data"))
+    documents.select(F.to_json(F.struct("data")).alias("value")).write.text(root)
+    back = read_envelope(spark, root, FACTS["ar"])
+    sums = back.groupBy("kcb_class").agg(F.sum("patpaid").alias("patpaid"), F.count("*").alias("n"))
+    return as_plain(sums)
+
+
+def _fine_details(t: StarTables) -> DataFrame:
+    """Item lines with quantities of three and prices of four decimals."""
+    rows = t.fact("detail_deduction", *ALWAYS)
+    fine = rows.withColumns(
+        {c: F.expr(f"CAST({c} / 8 AS DECIMAL(28,6))") for c in ("hfe_quantity", "revenue")}
+    )
+    tables = FrameTables(t.spark, {"detail_deduction": fine})
+    return deduction.detail_deduction(tables, *ALWAYS, ordered=False)
+
+
+def _one_sided(t: StarTables) -> DataFrame:
+    """Revenue lines against no receivable at all."""
+    frames = {"revenue": t.fact("revenue", *ALWAYS)}
+    tables = FrameTables(t.spark, frames, missing="empty")
+    return revenue.revenue_reconciliation(tables, *ALWAYS)
+
+
+def _mixed_texts(t: StarTables) -> DataFrame:
+    """Dates in several forms and numbers with and without a fraction."""
+    rows = t.table("lineitem").selectExpr(
+        "l_orderkey", "l_linenumber",
+        "CASE l_linenumber % 4 WHEN 0 THEN date_format(l_shipdate, 'yyyy-MM-dd') "
+        "WHEN 1 THEN date_format(l_shipdate, 'dd/MM/yyyy') WHEN 2 THEN date_format(l_shipdate, 'dd-MM-yyyy') "
+        "ELSE date_format(l_shipdate, 'MM.yyyy') END AS day",
+        "CASE l_linenumber % 3 WHEN 0 THEN concat(l_orderkey, '.0000001') WHEN 1 THEN concat(l_orderkey, '.000') "
+        "ELSE CAST(l_orderkey AS STRING) END AS number",
+    )
+    return rows.selectExpr(
+        "l_orderkey", "l_linenumber", f"{date_text('day')} AS day", f"{to_int_or_null('number')} AS number"
+    )
+
+
 def _number_texts(t: StarTables) -> DataFrame:
     rows = t.fact("ar", *ALWAYS, columns=["hfe_invoiceno", "deposit", "insurance"])
     rows = rows.selectExpr("*", "CAST(insurance / 8 AS DECIMAL(20,3)) AS half")
@@ -206,18 +289,6 @@ def _departments(t: StarTables) -> DataFrame:
     return union_members(order, perform)
 
 
-def _joined_totals(t: StarTables) -> DataFrame:
-    """Deductions beside retail revenue, from the two reports."""
-    left = deduction.summary_deduction(t, *ALWAYS, ordered=False)
-    right = retail.retail_revenue(t, *ALWAYS, cogs=False, ordered=False)
-    names = {c: f"retail_{c}" for c in CATEGORIES}
-    return join_totals(
-        left.select(*CLASS_KEYS, *CATEGORIES),
-        right.withColumnsRenamed(names).select(*CLASS_KEYS, *names.values()),
-        CLASS_KEYS,
-    )
-
-
 def _searched_total(t: StarTables) -> DataFrame:
     df = revenue.summary_revenue(t, *ALWAYS, ordered=False)
     amounts = [*CATEGORIES, "drug_retail", "revenue"]
@@ -364,7 +435,7 @@ def _queries() -> dict[str, Query]:
             perform="K9",
         ),
         "revenue_reconciliation": report(
-            revenue.revenue_reconciliation, sql.revenue_check(), ordered=False
+            revenue.revenue_reconciliation, sql.revenue_check()
         ),
         "revenue_reconciliation_agreeing": report(
             revenue.revenue_reconciliation, sql.revenue_check("comparison_criteria"), status=True
@@ -434,7 +505,7 @@ def _queries() -> dict[str, Query]:
         ),
         "exam_revenue": report(exam.exam_revenue, sql.exam()),
         "exam_revenue_by_patient": report(
-            exam.exam_revenue_by_patient, sql.exam(True), ordered=False
+            exam.exam_revenue_by_patient, sql.exam(True)
         ),
         # inventory
         "inventory_import": report(inventory.inventory_import, sql.imports()),
@@ -505,7 +576,31 @@ def _queries() -> dict[str, Query]:
             ),
         ),
         "department_options": shown(
-            lambda t: option_list(_dim_department(t), "dept"), "SELECT dept FROM dim_department"
+            lambda t: option_list(_all_departments(t), "dept", "dept_name"),
+            "SELECT 'K' || CAST(n_nationkey AS VARCHAR) AS dept, n_name AS dept_name FROM nation",
+        ),
+        "storage_options": shown(
+            lambda t: option_list(members.upsert_storages(t, *ALWAYS, _dim_storage(t)), "storage_id", "storage_name"),
+            sql.STORAGES,
+        ),
+        "stored_storages": Query(_stored_storages, with_views(sql.STORAGES)),
+        "landed_two_periods": Query(
+            _landed_periods,
+            with_views(sql.exports("CAST(expdate AS DATE) BETWEEN '1996-01-01' AND '1997-12-31'")),
+        ),
+        "envelopes_of_many_records": Query(
+            _fine_envelopes,
+            with_views(
+                "SELECT kcb_class, CAST(sum(patpaid + 0.0125) AS DOUBLE) AS patpaid, count(*) AS n FROM ar GROUP BY 1"
+            ),
+        ),
+        "fine_quantities": shown(_fine_details, sql.items("detail_deduction", depts=True, divisor=8)),
+        "revenue_without_receivables": shown(_one_sided, sql.revenue_check(receivables="(SELECT * FROM ar WHERE false)")),
+        "text_forms": shown(
+            _mixed_texts,
+            "SELECT l_orderkey, l_linenumber, "
+            "CASE WHEN l_linenumber % 4 < 3 THEN strftime(CAST(l_shipdate AS DATE), '%d-%m-%Y') END AS day, "
+            "CASE WHEN l_linenumber % 3 > 0 THEN l_orderkey END AS number FROM lineitem",
         ),
         "departments_seen": shown(
             _departments,
@@ -541,14 +636,22 @@ def _queries() -> dict[str, Query]:
             ),
             f"{sql.revenue_check()} ORDER BY hfe_docno_1 LIMIT 50 OFFSET 100",
         ),
-        "joined_totals": shown(
-            _joined_totals,
-            "SELECT kcb_class, price_type, object_type, "
-            + sql.dbl([*sql.NAMES, *[f"retail_{n}" for n in sql.NAMES]])
-            + f" FROM ({sql.pivot(sql.CLASSES, 'deduction')}) d FULL JOIN (SELECT "
-            + ", ".join(["kcb_class", "price_type", "object_type"]
-                        + [f"{n} AS retail_{n}" for n in sql.NAMES])
-            + f" FROM ({sql.retail_no_cogs()}) x) r USING (kcb_class, price_type, object_type)",
+        "revenue_reconciliation_page_after": shown(
+            lambda t: page_after(
+                revenue.revenue_reconciliation(t, *ALWAYS, ordered=False), ["hfe_docno_1"], ["150"], 50
+            ),
+            f"SELECT * FROM ({sql.revenue_check()}) r WHERE hfe_docno_1 > '150' ORDER BY hfe_docno_1 LIMIT 50",
+        ),
+        "summary_reconciliation_grand_total": shown(
+            lambda t: with_grand_total(
+                reconcile.summary_reconciliation(t, *ALWAYS, ordered=False).select("hfe_staff", "thungan", "hfe_payment_method", *reconcile.LEDGER_MEASURES),
+                reconcile.LEDGER_MEASURES,
+            ),
+            sql.grand_total(
+                "SELECT CAST(hfe_staff AS VARCHAR) AS hfe_staff, thungan, hfe_payment_method, "
+                f"{', '.join(reconcile.LEDGER_MEASURES)} FROM ({sql.reconciliation(False)}) q",
+                "hfe_staff", reconcile.LEDGER_MEASURES,
+            ),
         ),
         "number_texts": shown(
             _number_texts,

@@ -2,7 +2,8 @@
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 2)
+# Amounts, quantities and unit prices keep six decimals; sums widen further.
+MONEY = T.DecimalType(28, 6)
 
 _TYPES = {
     "string": T.StringType(),
@@ -84,10 +85,42 @@ DIMENSIONS: dict[str, T.StructType] = {
 PERIOD_COLUMN = "report_date"
 
 
+def raw_schema(schema: T.StructType) -> T.StructType:
+    """The same columns as text, the way a document has them."""
+    return T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema])
+
+
+def typed(schema: T.StructType) -> list[str]:
+    """SQL for each column of a schema from its text. What would have to be cut or rounded to fit,
+    or is no number, fails the query; ``1.0`` is a whole number."""
+    return [f"{_exactly(f)} AS {f.name}" for f in schema]
+
+
+def _exactly(field: T.StructField) -> str:
+    name, kind = field.name, field.dataType
+    if isinstance(kind, T.StringType):
+        return name
+    wide = f"try_cast({name} AS DECIMAL(38,12))"
+    cast = f"try_cast({wide} AS {kind.simpleString()})"
+    fault = f"raise_error(concat('{name} holds ', {name}, ', which does not fit {kind.simpleString()}'))"
+    return (
+        f"CASE WHEN {name} IS NULL OR trim({name}) = '' THEN NULL "
+        f"WHEN CAST({cast} AS DECIMAL(38,12)) = {wide} AND {name} RLIKE '{_SHORT}' THEN {cast} ELSE {fault} END"
+    )
+
+
+# Numbers with at most 12 decimals, the most that are compared; zeros after them do not count.
+_SHORT = "^[^.]*([.][0-9]{0,12}0*([eE].*)?)?$"
+
+
 def stored_schema(name: str) -> T.StructType:
     """Schema of a landed fact: its own columns and the day it is stored under."""
     return T.StructType(FACTS[name].fields + [T.StructField(PERIOD_COLUMN, T.DateType(), True)])
 
 
-def envelope_schema(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField("data", T.ArrayType(schema), True)])
+BROKEN = "_broken"
+
+
+def envelope_schema() -> T.StructType:
+    """An envelope with its data as text, and the whole document where it cannot be read."""
+    return T.StructType([T.StructField(c, T.StringType(), True) for c in ("data", BROKEN)])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,24 +20,28 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def write_dim(df: DataFrame, path: str) -> None:
-    """Append new dimension members."""
+    """Append new dimension members, those of ``new_members``."""
     df.write.mode("append").parquet(path)
 
 
-def write_fact(df: DataFrame, root: str, name: str) -> None:
-    """Land a fact by reported day. Rows of a day are spread over tasks by the writer's own
-    rebalance, which also splits a day that is far larger than the others."""
-    df.hint("rebalance", PERIOD_COLUMN).write.partitionBy(PERIOD_COLUMN).parquet(f"{root}/{name}")
+def store_dim(df: DataFrame, path: str) -> None:
+    """Store a whole dimension, such as one with filled names, at a new path; fails if there is
+    anything. The caller then reads from there, so a lost job leaves the old one as it was."""
+    df.write.mode("errorifexists").parquet(path)
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new path below the shared folder the cluster names in ``spark.checkpoint.dir``.
+def write_fact(df: DataFrame, root: str, name: str) -> None:
+    """Land a fact by reported day: the days it brings replace those landed before, the others stay.
 
-    Only a local session without that setting falls back to a temporary folder.
+    Rows of a day are spread over tasks by the writer's own rebalance, which also splits a day that
+    is far larger than the others.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="run-")
+    rows = df.hint("rebalance", PERIOD_COLUMN).write.mode("overwrite")
+    rows.option("partitionOverwriteMode", "dynamic").partitionBy(PERIOD_COLUMN).parquet(f"{root}/{name}")
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new path below the shared folder the cluster names in ``spark.checkpoint.dir``; where that
+    is unset, below the warehouse, which is shared as well."""
+    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/soquy-{uuid.uuid4().hex}"

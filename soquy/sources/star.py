@@ -2,8 +2,8 @@
 
 Nulls, an unknown class code, bad dates, invoices with two methods and amounts that disagree are
 there on purpose. Line facts name, per column, the dimension tables the column needs; a reader
-joins those of the columns it was asked for. This leaves every row in place because each line has
-exactly one order, customer, supplier and part.
+joins those of the columns it was asked for. The joins keep every line, with nulls where it has no
+partner, so the rows do not depend on the columns.
 """
 
 from __future__ import annotations
@@ -14,10 +14,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from soquy.sources.schemas import FACTS
-from soquy.sources.tables import narrow, parse_period
+from soquy.sources.tables import ALL_DAYS, narrow, parse_period
 
 _JOINS = {
     "orders": ("orders", "l_orderkey = o_orderkey"),
@@ -174,10 +173,6 @@ WHERE paid
 _CASH_FACTS = {"receipt": _RECEIPT, "deposit": _DEPOSIT, "refund": _REFUND}
 
 
-# Schemas found so far, so that a table's footers are looked at once.
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 class StarTables:
     """Facts over ``<root>/<table>.parquet``. The period is the day of shipment for lines and the
     day of the order for receivables and cash."""
@@ -190,12 +185,7 @@ class StarTables:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._read:
-            path = f"{self.root}/{name}.parquet"
-            reader = self.spark.read
-            if path in _SCHEMAS:
-                reader = reader.schema(_SCHEMAS[path])
-            self._read[name] = reader.parquet(path)
-            _SCHEMAS[path] = self._read[name].schema
+            self._read[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
         return self._read[name]
 
     def fact(
@@ -207,7 +197,8 @@ class StarTables:
         else:
             ar = self._receivables(from_date, to_date)
             df = self.spark.sql(_CASH_FACTS[name], ar=ar) if name in _CASH_FACTS else ar
-        return df.select(*names)
+        kinds = {f.name: f.dataType for f in FACTS[name]}
+        return df.select(*(F.col(c).cast(kinds[c]).alias(c) if c in kinds else c for c in names))
 
     def _lines(
         self,
@@ -227,7 +218,7 @@ class StarTables:
             df = df.where(condition)
         needed = {t for c in wanted for t in defined.get(c, ("", ""))[1].split()}
         for table, on in (_JOINS[t] for t in _JOINS if t in needed):
-            df = df.join(self.table(table), F.expr(on))
+            df = df.join(self.table(table), F.expr(on), "left")
         columns = []
         for field in FACTS[name].fields:
             if field.name in wanted:
@@ -256,6 +247,8 @@ class StarTables:
 
 
 def _by_day(df: DataFrame, column: str, from_date: str, to_date: str) -> DataFrame:
+    if from_date == to_date == ALL_DAYS:
+        return df
     first, last = parse_period(from_date, to_date)
     after = last + dt.timedelta(days=1)
     return df.where(f"{column} >= DATE'{first}' AND {column} < DATE'{after}'")

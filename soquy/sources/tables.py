@@ -17,14 +17,21 @@ from pyspark.sql import types as T
 
 from soquy.operators.shape import CATEGORY_COLUMNS
 from soquy.sources.schemas import (
+    BROKEN,
     FACTS,
     PERIOD_COLUMN,
     STORAGE_COLUMN,
     envelope_schema,
+    raw_schema,
     stored_schema,
+    typed,
 )
 
 
+# Both ends of a period that holds every row, those without a day too.
+ALL_DAYS = "*"
+
+
 def parse_period(from_date: str, to_date: str) -> tuple[dt.date, dt.date]:
     """Both ends are required, written ``YYYY-MM-DD``, and belong to the period."""
     if not from_date or not to_date:
@@ -41,6 +48,8 @@ def check_category(category: str) -> str:
 def in_period(
     df: DataFrame, from_date: str, to_date: str, column: str = PERIOD_COLUMN
 ) -> DataFrame:
+    if from_date == to_date == ALL_DAYS:
+        return df
     first, last = parse_period(from_date, to_date)
     return df.where(f"{column} BETWEEN DATE'{first}' AND DATE'{last}'")
 
@@ -57,28 +66,53 @@ def narrow(
     return df
 
 
+def records(docs: DataFrame, schema: T.StructType, *others: str) -> DataFrame:
+    """The records of read documents, typed. A broken document fails the query."""
+    text = T.ArrayType(raw_schema(schema)).simpleString()
+    data = (
+        f"CASE WHEN {BROKEN} IS NOT NULL THEN raise_error(concat('broken document: ', left({BROKEN}, 200))) "
+        f"WHEN ltrim(data) LIKE '[%' THEN from_json(data, '{text}', map('mode', 'FAILFAST')) END"
+    )
+    return docs.selectExpr(f"inline({data})", *others).selectExpr(*typed(schema), *others)
+
+
+def read_documents(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
+    return spark.read.schema(schema).json(path, multiLine=multi_line, columnNameOfCorruptRecord=BROKEN)
+
+
 def read_envelope(
-    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
 ) -> DataFrame:
-    """Records under ``data``. A null, absent or non-list ``data`` gives no rows.
+    """Records under ``data``. A null, absent or non-list ``data`` gives no rows; a document that is
+    cut off or no JSON, and a number that does not fit its column, fail the query.
 
-    ``multi_line`` reads one document per file, the form answers are landed in; with one document
-    per line, pass False and the files become splittable.
+    One document per line is the form to land answers in, as such files can be split. With
+    ``multi_line`` a file is one document, read by one task.
     """
-    docs = spark.read.schema(envelope_schema(schema)).json(path, multiLine=multi_line)
-    return docs.selectExpr("inline(data)")
+    return records(read_documents(spark, path, envelope_schema(), multi_line), schema)
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def check_missing(missing: str) -> str:
+    if missing not in ("raise", "empty"):
+        raise ValueError("missing must be raise or empty")
+    return missing
+
+
 class ParquetTables:
-    """Facts landed as Parquet, one directory per reported day."""
+    """Facts landed as Parquet, one directory per reported day.
+
+    A fact that was never landed fails the report, as a mistyped folder would otherwise read as a
+    period without rows; ``missing="empty"`` asks for the empty fact.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, missing: str = "raise"):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.missing = check_missing(missing)
 
     def _stored(self, name: str) -> DataFrame:
         return self.spark.read.schema(stored_schema(name)).parquet(f"{self.root}/{name}")
@@ -96,7 +130,7 @@ class ParquetTables:
         try:
             stored = self._stored(name)
         except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
+            if self.missing == "raise" or error.getCondition() != "PATH_NOT_FOUND":
                 raise
             stored = empty(self.spark, stored_schema(name))
         df = narrow(in_period(stored, from_date, to_date), name, category, storage_ids)
@@ -106,34 +140,36 @@ class ParquetTables:
 class EnvelopeTables(ParquetTables):
     """Facts landed as JSON envelopes, one directory per reported day."""
 
-    def __init__(self, spark: SparkSession, root: str, multi_line: bool = True):
-        super().__init__(spark, root)
+    def __init__(self, spark: SparkSession, root: str, multi_line: bool = False, missing: str = "raise"):
+        super().__init__(spark, root, missing)
         self.multi_line = multi_line
 
     def _stored(self, name: str) -> DataFrame:
-        schema = envelope_schema(FACTS[name]).add(PERIOD_COLUMN, T.DateType())
-        docs = self.spark.read.schema(schema).json(
-            f"{self.root}/{name}", multiLine=self.multi_line
-        )
-        return docs.selectExpr("inline(data)", PERIOD_COLUMN)
+        schema = envelope_schema().add(PERIOD_COLUMN, T.DateType())
+        docs = read_documents(self.spark, f"{self.root}/{name}", schema, self.multi_line)
+        return records(docs, FACTS[name], PERIOD_COLUMN)
 
 
 class FrameTables:
-    """Facts already at hand as DataFrames; an absent fact is empty.
+    """Facts already at hand as DataFrames. An absent one fails, or is empty if that is asked for.
 
     A frame without the period column is taken to be the period asked for.
     """
 
-    def __init__(self, spark: SparkSession, frames: Mapping[str, DataFrame]):
+    def __init__(self, spark: SparkSession, frames: Mapping[str, DataFrame], missing: str = "raise"):
         self.spark = spark
         self.frames = dict(frames)
+        self.missing = check_missing(missing)
 
     def fact(
         self, name, from_date, to_date, category=None, storage_ids=None, columns=None
     ) -> DataFrame:
-        parse_period(from_date, to_date)
+        if from_date != ALL_DAYS:
+            parse_period(from_date, to_date)
         df = self.frames.get(name)
         if df is None:
+            if self.missing == "raise":
+                raise KeyError(f"no frame for {name}")
             df = empty(self.spark, FACTS[name])
         if PERIOD_COLUMN in df.columns:
             df = in_period(df, from_date, to_date)

@@ -94,7 +94,7 @@ def scenario(kind):
 def both(request, spark):
     facts = scenario(request.param)
     frames = {n: df.cache() for n, df in spark_frames(spark, facts).items()}
-    yield FrameTables(spark, frames), duck(facts)
+    yield FrameTables(spark, frames, missing="empty"), duck(facts)
     for df in frames.values():
         df.unpersist()
 
@@ -109,4 +109,4 @@ def test_report_equals_cascade(both, name):
 @pytest.mark.parametrize("name", list(REPORTS))
 def test_empty_input_gives_empty_report(spark, name):
     plan, filters, _ = REPORTS[name]
-    assert plan(FrameTables(spark, {}), *PERIOD, **filters).collect() == []
+    assert plan(FrameTables(spark, {}, missing="empty"), *PERIOD, **filters).collect() == []

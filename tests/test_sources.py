@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.errors import AnalysisException, PySparkException
 from compare import assert_same
 from conftest import DATA
 from facts import make
@@ -15,7 +16,13 @@ from soquy.registry import as_plain
 from soquy.sources.schemas import FACTS
 from soquy.sources.sinks import work_dir, write_dim, write_fact, write_report
 from soquy.sources.star import StarTables
-from soquy.sources.tables import EnvelopeTables, FrameTables, ParquetTables, read_envelope
+from soquy.sources.tables import (
+    ALL_DAYS,
+    EnvelopeTables,
+    FrameTables,
+    ParquetTables,
+    read_envelope,
+)
 
 MARCH = ("2024-03-01", "2024-03-31")
 
@@ -68,8 +75,14 @@ def test_category_must_be_known(spark, landed):
         revenue.detail_revenue(ParquetTables(spark, landed), *MARCH, category="DT010")
 
 
-def test_fact_never_landed_is_empty(spark, landed):
-    tables = ParquetTables(spark, landed)
+def test_fact_never_landed_fails_unless_asked_for(spark, landed):
+    with pytest.raises(AnalysisException):
+        ParquetTables(spark, landed).fact("ar", *MARCH)
+    with pytest.raises(KeyError):
+        FrameTables(spark, {}).fact("ar", *MARCH)
+    with pytest.raises(ValueError):
+        ParquetTables(spark, landed, missing="none")
+    tables = ParquetTables(spark, landed, missing="empty")
     assert tables.fact("ar", *MARCH).schema == FACTS["ar"]
     assert reconcile.summary_reconciliation(tables, *MARCH).count() == 0
 
@@ -88,20 +101,56 @@ def test_envelopes(spark, tmp_path):
     answers = [good, {"data": None}, {}, {"data": "x"}, {"data": []}, {"status": "down"}]
     for i, answer in enumerate(answers):
         (tmp_path / f"{i}.json").write_text(json.dumps(answer, indent=2))
-    got = read_envelope(spark, str(tmp_path), FACTS["deposit"])
+    got = read_envelope(spark, str(tmp_path), FACTS["deposit"], multi_line=True)
     assert got.schema == FACTS["deposit"]
     got = got.selectExpr("hfe_invoiceno", "CAST(hfe_amount AS DOUBLE)", "thungan")
     found = {tuple(r) for r in got.collect()}
     assert found == {("7", 12.5, None), (None, None, "An")}
 
 
+@pytest.mark.parametrize("broken", ['{"data": [{"hfe_amount": 1}, {"hfe_am', '{"data": [{"hfe_amount": 1]}', "no json"])
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_broken_documents_fail(spark, tmp_path, broken, multi_line):
+    (tmp_path / "good.json").write_text('{"data": [{"hfe_amount": 1}]}')
+    (tmp_path / "bad.json").write_text(broken)
+    with pytest.raises(PySparkException):
+        read_envelope(spark, str(tmp_path), FACTS["deposit"], multi_line).collect()
+
+
+def test_numbers_are_kept_or_refused(spark, tmp_path):
+    answer = {"data": [{"refund_type": 1.0, "hfe_amount": 10.123456}, {"refund_type": "2", "hfe_amount": 1e3}, {"hfe_amount": ""}]}
+    (tmp_path / "a.json").write_text(json.dumps(answer))
+    got = read_envelope(spark, str(tmp_path), FACTS["refund"]).select("refund_type", "hfe_amount").collect()
+    assert [(r[0], r[1] and float(r[1])) for r in got] == [(1, 10.123456), (2, 1000.0), (None, None)]
+    for wrong in ({"refund_type": 1.5}, {"hfe_amount": 0.1234567}, {"hfe_amount": "x"}, {"hfe_amount": 0.12345678901234567}, {"hfe_staff": 3_000_000_000}):
+        (tmp_path / "a.json").write_text(json.dumps({"data": [wrong]}))
+        spark.catalog.clearCache()
+        with pytest.raises(PySparkException):
+            read_envelope(spark, str(tmp_path), FACTS["refund"]).collect()
+
+
+def test_landing_replaces_its_days_only(spark, tmp_path):
+    rows = lambda day, *amounts: spark.createDataFrame([(a, dt.date(2024, 3, day)) for a in amounts], "hfe_amount int, report_date date")
+    write_fact(rows(1, 1, 2), str(tmp_path), "deposit")
+    write_fact(rows(2, 4), str(tmp_path), "deposit")
+    write_fact(rows(2, 8), str(tmp_path), "deposit")
+    back = spark.read.parquet(f"{tmp_path}/deposit")
+    assert sorted(r["hfe_amount"] for r in back.collect()) == [1, 2, 8]
+
+
+def test_all_days(spark):
+    days = [(1, dt.date(2024, 3, 31)), (2, None), (3, dt.date(1800, 1, 1))]
+    df = spark.createDataFrame(days, "hfe_amount int, report_date date")
+    assert FrameTables(spark, {"deposit": df}).fact("deposit", ALL_DAYS, ALL_DAYS).count() == 3
+
+
 def test_landed_envelopes_are_pruned_by_day(spark, tmp_path):
     for day, amount in [("2024-02-28", 1), ("2024-03-01", 2), ("2024-03-02", 4)]:
         folder = tmp_path / "deposit" / f"report_date={day}"
         folder.mkdir(parents=True)
         answer = {"data": [{"hfe_amount": amount}]}
         (folder / "answer.json").write_text(json.dumps(answer, indent=1))
-    got = EnvelopeTables(spark, str(tmp_path)).fact("deposit", *MARCH)
+    got = EnvelopeTables(spark, str(tmp_path), multi_line=True).fact("deposit", *MARCH)
     assert "PartitionFilters: [isnotnull(report_date" in plan_of(got)
     assert got.agg(F.sum("hfe_amount")).first()[0] == 6
 
@@ -132,7 +181,7 @@ def test_work_folder_is_the_shared_one(spark):
 
 
 def test_each_line_has_one_of_each_dimension(star):
-    """What lets a line fact leave out the dimension tables its columns do not need."""
+    """What makes the left joins of a line fact equal to the inner joins of the views."""
     lines = star.sql("SELECT count(*) FROM lineitem").fetchall()
     joined = star.sql(
         "SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
