@@ -38,6 +38,8 @@ from soquy.llm.common import chunks, mix, stored, text_bytes, words
 
 ORDERS = 3
 CELLS = 1 << 20
+FILTER_CELLS = 1 << 22
+LONG = 3_000
 BLOCK = 1 << 12
 WORD_BYTES = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
 
@@ -122,9 +124,9 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def smallest(grams: np.ndarray, level: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The prefix of a set under one order, as keys."""
+    """The prefix of a set under one order, as keys in that order."""
     keys, length = ranked(grams, level, order), prefix_length(len(grams), percent)
-    return np.partition(keys, length - 1)[:length]
+    return np.sort(np.partition(keys, length - 1)[:length])
 
 
 def node_id(grams: np.ndarray) -> int:
@@ -132,20 +134,31 @@ def node_id(grams: np.ndarray) -> int:
 
 
 def parity(grams: np.ndarray) -> bytes:
-    """1024 bits, each whether an odd number of n-grams falls on it. Two sets differ by at least as
-    many n-grams as these bits differ."""
-    odd = np.bincount(((grams >> np.uint64(32)) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+    """1024 bits (8192 for a set of more than LONG), each whether an odd number of n-grams falls on
+    it. Two sets differ by at least as many n-grams as these bits differ."""
+    bits = 8192 if len(grams) > LONG else 1024
+    odd = np.bincount(((grams >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def parities(column: list[bytes], wide: bool) -> np.ndarray:
+    """Parities as rows of 64-bit words: as they are, or folded to 1024 bits."""
+    if wide:
+        return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
+    folded = [p if len(p) == 128 else np.bitwise_xor.reduce(np.frombuffer(p, np.uint64).reshape(-1, 16)).tobytes() for p in column]
+    return np.frombuffer(b"".join(folded), np.uint64).reshape(len(column), -1)
+
+
 def signatures(docs: DataFrame, keep: list[str], size: int, percent: int, level) -> DataFrame:
-    """The columns to keep, the node of each row, the size of its set and its prefix under order 0."""
+    """The columns to keep, the node of each row, and of its set the size, the prefix under order 0 and
+    the parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first, grams, bounds in sets_of(batches, size):
-            nodes, prefixes = [], []
+            nodes, prefixes, parities = [], [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 nodes.append(node_id(grams[a:b]) if b > a else None)
+                parities.append(parity(grams[a:b]))
                 prefixes.append(smallest(grams[a:b], level.value, 0, percent).view(np.int64) if b > a else [])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -153,17 +166,18 @@ def signatures(docs: DataFrame, keep: list[str], size: int, percent: int, level)
                     pa.array(nodes, pa.int64()),
                     pa.array(np.diff(bounds)),
                     pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array(parities, pa.binary()),
                 ],
-                names=[*keep, "node", "n", "prefix"],
+                names=[*keep, "node", "n", "prefix", "parity"],
             )
 
-    kinds = {"node": "long", "n": "long", "prefix": "array<long>"}
+    kinds = {"node": "long", "n": "long", "prefix": "array<long>", "parity": "binary"}
     schema = docs.select(*keep, *(F.lit(None).cast(t).alias(c) for c, t in kinds.items())).schema
     return docs.mapInArrow(run, schema)
 
 
 def whole_sets(texts: DataFrame, size: int, percent: int, level) -> DataFrame:
-    """(node, n, grams, second, third, parity) of texts; a row like the one before it is left out."""
+    """(node, n, grams, second, third) of texts; a row like the one before it is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = None
@@ -174,17 +188,80 @@ def whole_sets(texts: DataFrame, size: int, percent: int, level) -> DataFrame:
                 node = node_id(own) if b > a else None
                 if node != done and b > a:
                     others = [(smallest(own, level.value, o, percent) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for o in range(1, ORDERS)]
-                    rows.append((node, b - a, own.view(np.int64), *others, parity(own)))
+                    rows.append((node, b - a, own.view(np.int64), *others))
                 done = node
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                    names=["node", "n", "grams", "second", "third", "parity"],
+                    names=["node", "n", "grams", "second", "third"],
                 )
 
     return texts.mapInArrow(
-        run, "node long, n long, grams array<long>, second array<int>, third array<int>, parity binary"
+        run, "node long, n long, grams array<long>, second array<int>, third array<int>"
+    )
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the keys, and some others: a table of ``FILTER_CELLS`` marks, of
+    that size whatever the number of keys, goes to all tasks, so that no text is shuffled."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(FILTER_CELLS, np.uint8)
+        for batch in batches:
+            marks[cells_of(batch[key])] = 1
+        for k, part in enumerate(marks.reshape(-1, BLOCK)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([part.tobytes()])], names=["block", "cells"]
+                )
+
+    def either(parts: pa.Table) -> pa.Table:
+        both = np.zeros(BLOCK, np.uint8)
+        for cells in parts["cells"].to_pylist():
+            both |= np.frombuffer(cells, np.uint8)
+        return pa.table({"block": parts["block"][:1], "cells": pa.array([both.tobytes()])})
+
+    schema = "block int, cells binary"
+    marks = np.zeros((FILTER_CELLS // BLOCK, BLOCK), bool)
+    for row in keys.select(key).mapInArrow(mark, schema).groupBy("block").applyInArrow(either, schema).collect():
+        marks[row["block"]] = np.frombuffer(row["cells"], np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(marks.ravel()))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(marked[cells_of(batch[key])]))
+
+    return rows.mapInArrow(pick, rows.schema)
+
+
+def cells_of(keys: pa.Array) -> np.ndarray:
+    return (mix(keys.to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(FILTER_CELLS - 1)).astype(np.int64)
+
+
+def near_enough(percent: int):
+    """Keeps pairs whose sizes and parities allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = batch["n_a"].to_numpy(), batch["n"].to_numpy()
+            columns = [batch[c].to_pylist() for c in ("parity_a", "parity_b")]
+            both, near = (n_a > LONG) & (n_b > LONG), np.zeros(len(n_a), bool)
+            for wide in (False, True):
+                rows = np.flatnonzero(both == wide)
+                if len(rows):
+                    a, b = (parities([c[k] for k in rows], wide) for c in columns)
+                    near[rows] = may_link(np.bitwise_count(a ^ b).sum(1), n_a[rows], n_b[rows], percent)
+            yield batch.select(["a", "b", "n"]).filter(pa.array(near))
+
+    return run
+
+
+def may_link(apart: np.ndarray, n_a, n_b, percent: int) -> np.ndarray:
+    """Whether sets of these sizes that differ by ``apart`` n-grams at least can be similar enough."""
+    return (apart * (100 + percent) <= (100 - percent) * (n_a + n_b)) & (
+        100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
     )
 
 
@@ -234,14 +311,16 @@ def classes(links: DataFrame) -> DataFrame:
 
 
 def compare_classes(percent: int):
-    """Pairs of different classes within one n-gram's part, as far as sizes and parities allow."""
+    """Pairs of different classes within one n-gram's part, as far as sizes, the n-gram's places in
+    the two prefixes, and parities allow. Parities of long sets are left for later."""
 
     def run(bucket: pa.Table) -> pa.Table:
         part = np.array([bucket[c].to_numpy() for c in ("gram", "i", "j")])
         order = np.lexsort((bucket["n"].to_numpy(), *part[::-1]))
         part = part[:, order]
-        node, root, n, block = (bucket[c].to_numpy()[order] for c in ("node", "root", "n", "block"))
-        bits = np.frombuffer(b"".join(bucket["parity"].to_pylist()), np.uint64).reshape(-1, 16)[order]
+        node, root, n, block, place = (bucket[c].to_numpy()[order] for c in ("node", "root", "n", "block", "place"))
+        held = bucket["parity"].to_pylist()
+        bits = np.frombuffer(b"".join(held[k] or bytes(128) for k in order), np.uint64).reshape(-1, 16)
         cuts = np.flatnonzero(np.append(True, (part[:, 1:] != part[:, :-1]).any(0)))
         found = []
         for first, end in zip(cuts, np.append(cuts[1:], len(node)), strict=True):
@@ -254,37 +333,57 @@ def compare_classes(percent: int):
                 if not other.any():
                     continue
                 at = np.flatnonzero(other) + k + 1
+                # the first n-gram in common leaves room for as many others as come behind it
+                room = np.minimum(n[at] - place[at], n[k] - place[k])
+                at = at[room * (100 + percent) >= percent * (n[at] + n[k])]
+                if not len(at):
+                    continue
                 apart = np.bitwise_count(bits[at] ^ bits[k]).sum(1)
-                at = at[apart * (100 + percent) <= (100 - percent) * (n[at] + n[k])]
+                at = at[(n[at] > LONG) | may_link(apart, n[at], n[k], percent)]
                 if len(at):
-                    found.append(np.array([np.minimum(node[at], node[k]), np.maximum(node[at], node[k]), np.where(node[at] > node[k], n[at], n[k])]))
-        a, b, size = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        return pa.table({"a": pa.array(a), "b": pa.array(b), "n": pa.array(size)})
+                    a, b = np.minimum(node[at], node[k]), np.maximum(node[at], node[k])
+                    found.append(np.array([a, b, np.where(node[at] > node[k], n[at], n[k]), n[at] > LONG]))
+        a, b, size, late = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "n": pa.array(size), "late": pa.array(late == 1)})
 
     return run
 
 
-def cross_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, part_rows: int = 2048) -> DataFrame:
+def with_parities(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, n_a, n, parity_a, parity_b) of pairs (a, b)."""
+    side = lambda c: nodes.select(F.col("node").alias(f"of_{c}"), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
+    both = pairs.select("a", "b").join(side("a"), F.col("a") == F.col("of_a"))
+    both = both.join(side("b"), F.col("b") == F.col("of_b"))
+    return both.select("a", "b", "n_a", F.col("n_b").alias("n"), "parity_a", "parity_b")
+
+
+PAIRS = "a long, b long, n long"
+
+
+def cross_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int, part_rows: int = 2048) -> DataFrame:
     """(a, b, n of b): pairs of nodes in different classes that share an n-gram. The nodes of a
     crowded n-gram are dealt into blocks, and any two blocks meet in a task of their own."""
-    known = sets.select(F.col("node").alias("of"), "n", "parity").join(
-        roots.select(F.col("node").alias("of"), "root"), "of", "left"
-    )
-    rows = shared.select("gram", "node", "places").join(known, F.col("node") == F.col("of")).drop("of")
-    rows = rows.withColumn("root", F.coalesce("root", "node"))
+    named = roots.select(F.col("node").alias("of"), "root")
+    rows = shared.select("gram", "node", "places", "place").join(named, F.col("node") == F.col("of"), "left").drop("of")
+    rows = stored(rows.withColumn("root", F.coalesce("root", "node")))
     mixed = rows.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
     rows = rows.join(mixed.select(flipped("gram").alias("k")), flipped("gram") == F.col("k"), "left_semi")
     parts = F.ceil(F.col("places") / part_rows)
     rows = stored(rows.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts"))))
     n_buckets = max(1, rows.agg(F.sum("parts")).first()[0] or 0) // 20_000 + 1
+    known = nodes.select(F.col("node").alias("of"), "n", F.when(F.col("n") <= LONG, F.col("parity")).alias("parity"))
     dealt = (
-        rows.withColumn("with", F.explode(F.expr("sequence(0L, parts - 1)")))
+        rows.join(known, F.col("node") == F.col("of"))
+        .withColumn("with", F.explode(F.expr("sequence(0L, parts - 1)")))
         .withColumn("i", F.least("block", "with"))
         .withColumn("j", F.greatest("block", "with"))
         .withColumn("bucket", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(n_buckets)))
-        .select("bucket", "gram", "i", "j", "block", "node", "root", "n", "parity")
+        .select("bucket", "gram", "i", "j", "block", "node", "root", "n", "place", "parity")
     )
-    return dealt.groupBy("bucket").applyInArrow(compare_classes(percent), "a long, b long, n long").distinct()
+    found = dealt.groupBy("bucket").applyInArrow(compare_classes(percent), f"{PAIRS}, late boolean")
+    found = stored(found.distinct())
+    late = with_parities(found.filter("late"), nodes).mapInArrow(near_enough(percent), PAIRS)
+    return found.filter("not late").select("a", "b", "n").union(late)
 
 
 def near_duplicates(
@@ -296,22 +395,25 @@ def near_duplicates(
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     level = docs.sparkSession.sparkContext.broadcast(levels(counters(rows.select("text"), size)))
     signed = stored(signatures(rows, ["id", "text_key"], size, percent, level))
-    nodes = signed.filter("node is not null")
-    listed = nodes.select(F.explode("prefix").alias("gram"), "node", "n").repartition("gram").distinct()
+    of_rows = signed.filter("node is not null")
+    nodes = stored(of_rows.select("node", "n", "parity").distinct())
+    listed = of_rows.select(F.posexplode("prefix").alias("place", "gram"), "node").repartition("gram").distinct()
     groups = listed.groupBy("gram").agg(F.count("*").alias("places"), F.min("node").alias("lead")).filter("places > 1")
     shared = stored(listed.join(groups, "gram"))
-    # one text of each node that has an n-gram in common with another; its set is counted anew
-    wanted = shared.select(F.col("node").alias("of")).distinct()
-    one = nodes.groupBy("node").agg(F.min("text_key").alias("text_key")).join(wanted, F.col("node") == F.col("of"))
-    one = one.select(flipped("text_key").alias("k"))
-    texts = rows.select("text", "text_key").join(one, flipped("text_key") == F.col("k"), "left_semi")
-    sets = stored(whole_sets(texts.select("text"), size, percent, level))
-    first = shared.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), "n").distinct()
-    links = stored(verified(first, sets, percent))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs; the sets of their nodes are counted anew from one text of each."""
+        ends = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
+        keys = of_rows.groupBy("node").agg(F.min("text_key").alias("text_key"))
+        keys = keys.join(ends, F.col("node") == F.col("of")).select("text_key")
+        texts = maybe_among(rows.select("text", "text_key"), keys, "text_key")
+        return stored(verified(pairs, stored(whole_sets(texts.select("text"), size, percent, level)), percent))
+
+    stars = shared.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    links = linked(stored(with_parities(stars, nodes).mapInArrow(near_enough(percent), PAIRS)))
     roots = classes(links)
-    more = verified(cross_pairs(shared, roots, sets, percent), sets, percent)
-    roots = classes(links.union(stored(more)))
-    smallest_id = nodes.groupBy("node").agg(F.min("id").alias("low"))
+    roots = classes(links.union(linked(stored(cross_pairs(shared, roots, nodes, percent)))))
+    smallest_id = of_rows.groupBy("node").agg(F.min("id").alias("low"))
     rooted = smallest_id.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     rooted = stored(rooted.select("node", "low", F.coalesce("root", "node").alias("root")))
     of_class = rooted.groupBy("root").agg(F.min("low").alias("component")).select(flipped("root").alias("k"), "component")

@@ -77,7 +77,7 @@ def test_jaccard_join(spark, size, percent):
 def test_jaccard_crowded_ngrams_meet_in_blocks(spark):
     rng = np.random.default_rng(2)
     nodes = [(k, int(rng.integers(0, 4)), sorted({int(x) for x in rng.integers(0, 12, 9)})) for k in range(60)]
-    shared = spark.createDataFrame([(7, k, 60) for k, _, _ in nodes], "gram long, node long, places long")
+    shared = spark.createDataFrame([(7, k, 60, 0) for k, _, _ in nodes], "gram long, node long, places long, place int")
     sets = spark.createDataFrame(
         [(k, len(s), jaccard.parity(jaccard.mix(np.array(s, np.uint64)))) for k, _, s in nodes], "node long, n long, parity binary"
     )
