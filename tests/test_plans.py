@@ -4,11 +4,15 @@ import re
 
 import pytest
 from conftest import DATA
+from facts import make
 
 from soquy.operators.shape import CATEGORIES
-from soquy.plans import deduction, reconcile, receivables, revenue
+from soquy.plans import deduction, exam, reconcile, receivables, revenue
 from soquy.registry import ALWAYS, QUERIES
+from soquy.sources.schemas import FACTS
+from soquy.sources.sinks import write_fact
 from soquy.sources.star import StarTables
+from soquy.sources.tables import ParquetTables
 
 
 def initial_plan(df):
@@ -126,3 +130,25 @@ def test_order_goes_on_to_the_fine_key(tables, plan, key):
     """Otherwise all rows of one cashier or class would be sorted in one task."""
     shuffled = re.findall(r"rangepartitioning\(([^)]*)\)", initial_plan(plan(tables, *ALWAYS)))
     assert len(shuffled) == 1 and key in shuffled[0]
+
+
+@pytest.fixture(scope="module")
+def ledger(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("ledger"))
+    for name in ("receipt", "deposit", "refund", "ar", "deduction", "exam_revenue"):
+        day = spark.createDataFrame(make(name, "plans", 40), FACTS[name]).selectExpr(
+            "*", "DATE'2024-03-01' AS report_date"
+        )
+        write_fact(day, root, name)
+    return ParquetTables(spark, root)
+
+
+def test_detail_reconciliation_reads_each_landed_fact_once(ledger):
+    for mode in ("compat", "exact"):
+        df = reconcile.detail_reconciliation(ledger, "2024-03-01", "2024-03-31", mode=mode, ordered=False)
+        assert initial_plan(df).count("FileScan parquet") == 5
+
+
+def test_exam_revenue_by_patient_shuffles_once(ledger):
+    df = exam.exam_revenue_by_patient(ledger, "2024-03-01", "2024-03-31", ordered=False)
+    assert initial_plan(df).count("Exchange hashpartitioning") == 1
