@@ -176,12 +176,13 @@ def signatures(docs: DataFrame, keep: list[str], size: int, percent: int, level)
     return docs.mapInArrow(run, schema)
 
 
-def whole_sets(texts: DataFrame, size: int, percent: int, level) -> DataFrame:
-    """(node, n, grams, second, third) of texts; a row like the one before it is left out."""
+def whole_sets(texts: DataFrame, size: int, percent: int, level, marks) -> DataFrame:
+    """(node, n, grams, second, third) of the texts with a marked text_key; a row like the one before
+    it is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = None
-        for _, _, grams, bounds in sets_of(batches, size):
+        for _, _, grams, bounds in sets_of(picked(batches, marks, "text_key"), size):
             rows = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 own = grams[a:b]
@@ -202,9 +203,9 @@ def whole_sets(texts: DataFrame, size: int, percent: int, level) -> DataFrame:
     )
 
 
-def maybe_among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is among the keys, and some others: a table of ``FILTER_CELLS`` marks, of
-    that size whatever the number of keys, goes to all tasks, so that no text is shuffled."""
+def marks_of(keys: DataFrame, key: str):
+    """A table of ``FILTER_CELLS`` bits, of that size whatever the number of keys, with those of the
+    keys set. It goes to all tasks, which pick out texts by it, so that no text is shuffled."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.zeros(FILTER_CELLS, np.uint8)
@@ -226,14 +227,14 @@ def maybe_among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     marks = np.zeros((FILTER_CELLS // BLOCK, BLOCK), bool)
     for row in keys.select(key).mapInArrow(mark, schema).groupBy("block").applyInArrow(either, schema).collect():
         marks[row["block"]] = np.frombuffer(row["cells"], np.uint8)
-    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(marks.ravel()))
+    return keys.sparkSession.sparkContext.broadcast(np.packbits(marks.ravel()))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(sent.value).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(marked[cells_of(batch[key])]))
 
-    return rows.mapInArrow(pick, rows.schema)
+def picked(batches: Iterator[pa.RecordBatch], marks, key: str) -> Iterator[pa.RecordBatch]:
+    """The rows whose key is among the marked ones, and some others."""
+    marked = np.unpackbits(marks.value).astype(bool)
+    for batch in batches:
+        yield batch.filter(pa.array(marked[cells_of(batch[key])]))
 
 
 def cells_of(keys: pa.Array) -> np.ndarray:
@@ -406,8 +407,9 @@ def near_duplicates(
         ends = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
         keys = of_rows.groupBy("node").agg(F.min("text_key").alias("text_key"))
         keys = keys.join(ends, F.col("node") == F.col("of")).select("text_key")
-        texts = maybe_among(rows.select("text", "text_key"), keys, "text_key")
-        return stored(verified(pairs, stored(whole_sets(texts.select("text"), size, percent, level)), percent))
+        texts = rows.select("text", "text_key")
+        sets = whole_sets(texts, size, percent, level, marks_of(keys, "text_key"))
+        return stored(verified(pairs, stored(sets), percent))
 
     stars = shared.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     links = linked(stored(with_parities(stars, nodes).mapInArrow(near_enough(percent), PAIRS)))

@@ -51,6 +51,11 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[k : k + n] for k in range(len(padded) - n + 1)]
 
 
+def has_letter(words: list[str]) -> bool:
+    """Signs such as ``½`` make words, but are no letters."""
+    return words[0].isalpha() or any(c.isalpha() for word in words for c in word)
+
+
 def tally(counts: Counter) -> pa.RecordBatch:
     langs, keys = zip(*counts, strict=True) if counts else ((), ())
     return pa.RecordBatch.from_arrays(
@@ -174,7 +179,7 @@ class Scorer:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall(text.lower()) if text else []
-        if not words or not self.model.languages:
+        if not words or not self.model.languages or not has_letter(words):
             return UNKNOWN, 0.0
         if self.used > len(self.model.scores) + FLUSH:
             self.forget()

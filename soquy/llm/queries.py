@@ -1,4 +1,8 @@
-"""The corpus operators as queries over a data folder, with production parameters."""
+"""The corpus operators as queries over a data folder, with production parameters.
+
+Queries without an oracle have no SQL form (learned models, raking, a minimum cut, an approximate
+index) or one too slow on whole tables; tests/llm holds them against brute force.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 from soquy.llm import contamination, jaccard, language, licences, mincut, mixing, quality, suffixes, warc
 from soquy.llm.common import stored
 from soquy.llm.neighbours import nearest_neighbours
+from soquy.llm.oracles import ORACLES as ORACLES
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -131,7 +136,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_positional_index": decontamination,
     "op9_permutation_index": neighbours,
 }
-
-# Queries without an entry have no SQL form, or one too slow on whole tables; tests/llm holds them
-# against brute force.
-ORACLES: dict[str, str] = {}

@@ -113,14 +113,19 @@ PIECES = "bucket long, key binary, run long, first int, lead int, whole boolean,
 
 
 def cut_pieces(length: int, n_buckets: int):
-    """The text around each repeated run, cut into pieces where the run is crowded."""
+    """The text around each repeated run, cut into pieces where the run is crowded.
+
+    A piece that a task has met before is repeated as a whole: of such, only the first travels, and of
+    the others the range, which goes to any bucket. A line that stands everywhere so comes to a
+    bucket once for each task and not for each place.
+    """
     width = length - run_bytes(length) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = None
         for batch in batches:
             keys, texts, lists = batch["key"].to_pylist(), text_bytes(batch["text"]), batch["found"].to_pylist()
-            rows, held = [], 0
+            rows, held, met = [], 0, {}
             for key, text, found in zip(keys, texts, lists, strict=True):
                 if key == done:  # a copy, next to the first of its kind
                     continue
@@ -134,12 +139,18 @@ def cut_pieces(length: int, n_buckets: int):
                         end = min(a["last"], a["place"] - part * step)
                         bucket = int(mix(np.array([a["run"]], np.int64).view(np.uint64) + np.uint64(part))[0] % np.uint64(n_buckets))
                         piece = text[at : end + length]
-                        rows.append((bucket, key, a["run"], at, a["place"] - at, a["copies"] > 1, piece))
-                        held += len(piece)
+                        lead = a["place"] - at
+                        before = met.setdefault((a["run"], lead, piece), len(rows))
+                        if before == len(rows):
+                            rows.append((bucket, key, a["run"], at, lead, a["copies"] > 1, piece))
+                            held += len(piece)
+                        else:
+                            rows[before] = (*rows[before][:5], True, piece)
+                            rows.append((len(rows) % n_buckets, key, a["run"], at, len(piece), True, None))
                         at = end + 1
-                if held > 4 << 20:
+                if held > 16 << 20:
                     yield table_of(rows)
-                    rows, held = [], 0
+                    rows, held, met = [], 0, {}
             if rows:
                 yield table_of(rows)
 
@@ -262,12 +273,17 @@ def sort_bucket(length: int):
         whole, pieces = bucket["whole"].to_numpy(), bucket["piece"].to_pylist()
         # equal pieces are sorted once; what they hold is repeated
         members: dict[tuple, list[int]] = {}
+        found_keys, starts, ends = [], [], []
         for k, piece in enumerate(pieces):
-            members.setdefault((runs[k], leads[k], piece), []).append(k)
+            if piece is None:  # a whole range, known to be repeated
+                found_keys.append(keys[k])
+                starts.append(firsts[k])
+                ends.append(firsts[k] + leads[k])
+            else:
+                members.setdefault((runs[k], leads[k], piece), []).append(k)
         kinds: dict[int, int] = {}
         for run_, _, _ in members:
             kinds[run_] = kinds.get(run_, 0) + 1
-        found_keys, starts, ends = [], [], []
         open_ = []
         for (run_, _, piece), rows in members.items():
             if len(rows) > 1 or whole[rows[0]]:

@@ -341,3 +341,8 @@ def test_empty_tables(spark, nothing, name):
 
 def test_empty_pipeline(spark, nothing):
     assert corpus_pipeline.run(spark, nothing).count() == 0
+
+
+def test_signs_are_no_letters():
+    model = language.LanguageModel(["a"], 1, {}, {"½": 0}, np.zeros((2, 1)))
+    assert language.Scorer(model).predict("½ ² 7") == ("und", 0.0) and language.Scorer(model).predict("½ é")[0] == "a"
