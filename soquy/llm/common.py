@@ -34,6 +34,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables on the way to a result. ``clear`` removes their files once the result is itself stored,
+    so that steps in a row do not pile up what they no longer need."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        self.tables.append(stored(df))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        for table in self.tables:
+            spark, files = table.sparkSession, table.inputFiles()
+            if files:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.tables = []
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]

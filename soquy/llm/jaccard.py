@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soquy.llm.common import chunks, mix, stored, text_bytes, words
+from soquy.llm.common import Scratch, chunks, mix, stored, text_bytes, words
 
 ORDERS = 3
 CELLS = 1 << 20
@@ -286,14 +286,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.col("n_a") + F.col("n") - shared)).select("a", "b")
 
 
-def classes(links: DataFrame) -> DataFrame:
+def classes(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root): for every linked node but the smallest of its class, that smallest node.
 
     Large and small stars in turn: each round hangs the neighbours of a node on the smallest of
     them, until nothing changes.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    before = None
+    before, scratch = None, scratch or Scratch()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(
@@ -304,7 +304,7 @@ def classes(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(flipped("u").alias("k"), "m")
         met = large.join(low, flipped("u") == F.col("k"))
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v")))
-        edges = stored(small.filter("u != v").distinct())
+        edges = scratch.stored(small.filter("u != v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -361,16 +361,17 @@ def with_parities(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 PAIRS = "a long, b long, n long"
 
 
-def cross_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int, part_rows: int = 2048) -> DataFrame:
+def cross_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, percent: int, part_rows: int = 2048, scratch: Scratch | None = None) -> DataFrame:
     """(a, b, n of b): pairs of nodes in different classes that share an n-gram. The nodes of a
     crowded n-gram are dealt into blocks, and any two blocks meet in a task of their own."""
+    scratch = scratch or Scratch()
     named = roots.select(F.col("node").alias("of"), "root")
     rows = shared.select("gram", "node", "places", "place").join(named, F.col("node") == F.col("of"), "left").drop("of")
-    rows = stored(rows.withColumn("root", F.coalesce("root", "node")))
+    rows = scratch.stored(rows.withColumn("root", F.coalesce("root", "node")))
     mixed = rows.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
     rows = rows.join(mixed.select(flipped("gram").alias("k")), flipped("gram") == F.col("k"), "left_semi")
     parts = F.ceil(F.col("places") / part_rows)
-    rows = stored(rows.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts"))))
+    rows = scratch.stored(rows.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts"))))
     n_buckets = max(1, rows.agg(F.sum("parts")).first()[0] or 0) // 20_000 + 1
     known = nodes.select(F.col("node").alias("of"), "n", F.when(F.col("n") <= LONG, F.col("parity")).alias("parity"))
     dealt = (
@@ -382,7 +383,7 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, percent:
         .select("bucket", "gram", "i", "j", "block", "node", "root", "n", "place", "parity")
     )
     found = dealt.groupBy("bucket").applyInArrow(compare_classes(percent), f"{PAIRS}, late boolean")
-    found = stored(found.distinct())
+    found = scratch.stored(found.distinct())
     late = with_parities(found.filter("late"), nodes).mapInArrow(near_enough(percent), PAIRS)
     return found.filter("not late").select("a", "b", "n").union(late)
 
@@ -394,13 +395,14 @@ def near_duplicates(
     its class. Rows link whose sets have ``100 * common >= percent * union``."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    scratch = Scratch()
     level = docs.sparkSession.sparkContext.broadcast(levels(counters(rows.select("text"), size)))
-    signed = stored(signatures(rows, ["id", "text_key"], size, percent, level))
+    signed = scratch.stored(signatures(rows, ["id", "text_key"], size, percent, level))
     of_rows = signed.filter("node is not null")
-    nodes = stored(of_rows.select("node", "n", "parity").distinct())
+    nodes = scratch.stored(of_rows.select("node", "n", "parity").distinct())
     listed = of_rows.select(F.posexplode("prefix").alias("place", "gram"), "node").repartition("gram").distinct()
     groups = listed.groupBy("gram").agg(F.count("*").alias("places"), F.min("node").alias("lead")).filter("places > 1")
-    shared = stored(listed.join(groups, "gram"))
+    shared = scratch.stored(listed.join(groups, "gram"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Links among the pairs; the sets of their nodes are counted anew from one text of each."""
@@ -409,20 +411,22 @@ def near_duplicates(
         keys = keys.join(ends, F.col("node") == F.col("of")).select("text_key")
         texts = rows.select("text", "text_key")
         sets = whole_sets(texts, size, percent, level, marks_of(keys, "text_key"))
-        return stored(verified(pairs, stored(sets), percent))
+        return scratch.stored(verified(pairs, scratch.stored(sets), percent))
 
     stars = shared.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    links = linked(stored(with_parities(stars, nodes).mapInArrow(near_enough(percent), PAIRS)))
-    roots = classes(links)
-    roots = classes(links.union(linked(stored(cross_pairs(shared, roots, nodes, percent)))))
+    links = linked(scratch.stored(with_parities(stars, nodes).mapInArrow(near_enough(percent), PAIRS)))
+    roots = classes(links, scratch)
+    roots = classes(links.union(linked(scratch.stored(cross_pairs(shared, roots, nodes, percent, scratch=scratch)))), scratch)
     smallest_id = of_rows.groupBy("node").agg(F.min("id").alias("low"))
     rooted = smallest_id.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-    rooted = stored(rooted.select("node", "low", F.coalesce("root", "node").alias("root")))
+    rooted = scratch.stored(rooted.select("node", "low", F.coalesce("root", "node").alias("root")))
     of_class = rooted.groupBy("root").agg(F.min("low").alias("component")).select(flipped("root").alias("k"), "component")
     of_node = rooted.join(of_class, flipped("root") == F.col("k")).select(flipped("node").alias("of"), "component")
     out = signed.select("id", "node", "n").join(of_node, flipped("node") == F.col("of"), "left")
-    return out.select(
+    result = stored(out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"),
-    )
+    ))
+    scratch.clear()
+    return result

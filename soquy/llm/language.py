@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from soquy.llm.common import stored
+from soquy.llm.common import Scratch
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -92,13 +92,13 @@ def count_grams(longest: int):
     return run
 
 
-def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+def most_frequent(counts: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
     """Keys with their counts by language: the highest frequency classes of at most ``limit`` keys.
 
     A class is an eighth of a power of two, so the histogram that sets the threshold is small and no
     task has to sort the keys.
     """
-    keys = stored(
+    keys = scratch.stored(
         counts.groupBy("key").agg(
             F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")
         )
@@ -126,9 +126,11 @@ def train(
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     schema = "lang string, key string, n long"
     counted = rows.mapInArrow(count_words, schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    words = stored(counted)
+    scratch = Scratch()
+    words = scratch.stored(counted)
     grams = words.mapInArrow(count_grams(longest), schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    found = [most_frequent(words, max_words).collect(), most_frequent(grams, max_grams).collect()]
+    found = [most_frequent(counts, n, scratch).collect() for counts, n in ((words, max_words), (grams, max_grams))]
+    scratch.clear()
     languages = sorted({lang for rows in found for row in rows for lang in row["by_lang"]})
     column = {lang: k for k, lang in enumerate(languages)}
     index, tables = [], []

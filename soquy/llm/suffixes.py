@@ -2,7 +2,7 @@
 
 A string of ``length`` bytes that starts at two or more places of the corpus is repeated. Suffixes
 are dealt into buckets such that equal strings meet: the bucket of a suffix is set by the smallest
-(hashed) run of ``length // 4``, at most 64, bytes within its first ``length`` bytes. Runs that
+(hashed) run of ``length // 6``, at most 64, bytes within its first ``length`` bytes. Runs that
 occur once in the corpus cannot belong to a repeated string, so only suffixes below a repeated run
 are sorted, and only the text around them travels. One bucket after the other is sorted:
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soquy.llm.common import BASE_INVERSE, chunks, hidden, merged, mix, powers, prefix_hashes, spans
+from soquy.llm.common import BASE_INVERSE, Scratch, chunks, hidden, merged, mix, powers, prefix_hashes, spans
 from soquy.llm.common import stored, text_bytes
 
 ADDED = ("span_starts", "span_ends")
@@ -47,7 +47,7 @@ def text_key(text_col: str) -> Column:
 
 
 def run_bytes(length: int) -> int:
-    return max(1, min(64, length // 4))
+    return max(1, min(64, length // 6))
 
 
 def anchors(data: np.ndarray, text_ends: np.ndarray, length: int):
@@ -317,7 +317,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text", b
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(text_key(text_col).alias("key"), text.alias("text")).filter(F.octet_length("text") >= length)
     # copies have the same rows here, and are counted on the mappers
-    once = stored(
+    scratch = Scratch()
+    once = scratch.stored(
         texts.mapInArrow(find_anchors(length), ANCHORS)
         .groupBy("key", "run", "first", "last", "place")
         .agg(F.count("*").alias("copies"))
@@ -330,7 +331,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text", b
         F.collect_list(F.struct("run", "first", "last", "place", "copies", "places")).alias("found"),
         F.sum(F.col("last") - F.col("first") + length).alias("bytes"),
     )
-    per_text = stored(per_text)
+    per_text = scratch.stored(per_text)
     total = per_text.agg(F.sum("bytes")).first()[0] or 0
     n_buckets = max(1, -(-total // bucket_bytes))
     pieces = (
@@ -339,7 +340,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text", b
         .mapInArrow(cut_pieces(length, n_buckets), PIECES)
     )
     spans_found = pieces.groupBy("bucket").applyInArrow(sort_bucket(length), "key binary, start int, end int")
-    return spans_found.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("found"))
+    found = stored(spans_found.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("found")))
+    scratch.clear()
+    return found
 
 
 def with_spans(docs: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
