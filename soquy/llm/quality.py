@@ -35,6 +35,7 @@ COUNTS = {
     "commas": "regexp_count(t, ',')",
     "symbols": "regexp_count(t, '[^\\\\p{L}\\\\p{N}\\\\s.,]')",
     "short_words": "regexp_count(t, '(?<!\\\\S)\\\\S{1,3}(?!\\\\S)')",
+    "echoes": "regexp_count(t, '(?<!\\\\S)(\\\\S++)(?=\\\\s+\\\\1(?!\\\\S))')",
     "distinct_lines": "size(array_distinct(split(t, '\\n')))",
 }
 SHARES = {
@@ -47,6 +48,7 @@ SHARES = {
     "commas_per_word": "commas / greatest(words, 1)",
     "symbols_per_word": "symbols / greatest(words, 1)",
     "short_word_share": "short_words / greatest(words, 1)",
+    "echo_share": "echoes / greatest(words, 1)",
     "distinct_line_share": "distinct_lines / lines",
 }
 STATISTICS = list(SHARES)
