@@ -26,15 +26,15 @@ from soquy.operators.sums import (
 )
 
 # The measures in report order.
-LEDGER_MEASURES = [
-    "invoice_receipt_amount",
-    "invoice_advance_payment_amount",
-    "deposit_amount",
+RECEIPTS = ["invoice_receipt_amount", "invoice_advance_payment_amount", "deposit_amount"]
+PAYMENTS = [
     "refund_deduction_amount",
     "refund_after_payment_amount",
     "return_amount",
     "other_paid_amount",
     "adjust_paid_amount",
+]
+REVENUES = [
     "revenue_by_receipt_patpaid",
     "revenue_by_receipt_otherpaid",
     "revenue_exemption_by_receipt_patpaid",
@@ -43,16 +43,11 @@ LEDGER_MEASURES = [
     "revenue_exemption_by_refund_patpaid",
     "revenue_by_adjust_patpaid",
     "revenue_by_adjust_otherpaid",
-    "advance_payment",
-    "deduction",
 ]
+LEDGER_MEASURES = [*RECEIPTS, *PAYMENTS, *REVENUES, "advance_payment", "deduction"]
 
 # Sums shown at the end of a row.
-LEDGER_TOTALS = {
-    "total_receipts": LEDGER_MEASURES[0:3],
-    "total_payments": LEDGER_MEASURES[3:8],
-    "total_revenue": LEDGER_MEASURES[8:16],
-}
+LEDGER_TOTALS = {"total_receipts": RECEIPTS, "total_payments": PAYMENTS, "total_revenue": REVENUES}
 
 SUMMARY_TOLERANCE = 300
 DETAIL_TOLERANCE = 100
@@ -82,10 +77,11 @@ def _paid_measures(name: str, kind: str) -> list[Measure]:
     ]
 
 
+ADVANCE = Measure("advance_payment", "advance", (PREPAID,))
 RECEIVABLE_MEASURES = [
     *_paid_measures("receipt", BILLED),
     *_paid_measures("refund", PREPAID),
-    Measure("advance_payment", "advance", (PREPAID,)),
+    ADVANCE,
 ]
 
 # source: (kind of a row, its amounts); the kind of a cash row is the measure it feeds
@@ -108,13 +104,15 @@ _LEDGER = {
     "ar": (LEDGER_RECEIVABLE_KIND, RECEIVABLE_AMOUNTS),
 }
 
-_MEASURES = [
-    *[Measure(name, "amount", (name,)) for name in LEDGER_MEASURES[0:8]],
-    *RECEIVABLE_MEASURES[0:6],
-    *_paid_measures("adjust", ADJUSTED)[0:2],
-    RECEIVABLE_MEASURES[6],
-    Measure("deduction", "amount", ("deduction",)),
+_LEDGER_MEASURES = [
+    *[Measure(name, "amount", (name,)) for name in (*RECEIPTS, *PAYMENTS)],
+    *_paid_measures("receipt", BILLED),
+    *_paid_measures("refund", PREPAID),
+    Measure("revenue_by_adjust_patpaid", "amount", (ADJUSTED,)),
+    Measure("revenue_by_adjust_otherpaid", "otherpaid", (ADJUSTED,)),
+    ADVANCE,
 ]
+_MEASURES = [*_LEDGER_MEASURES, Measure("deduction", "amount", ("deduction",))]
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -184,7 +182,7 @@ def _reconcile_once(
     deduction = _keyed(tables.fact("deduction", from_date, to_date, columns=wanted))
     per_invoice = sum_by(deduction, coarse, ["revenue"])
     rows = kind_rows(ledger_sources(tables, from_date, to_date), fine)
-    sums = aggregate(rows, fine, [m.sql() for m in _MEASURES[:-1]])
+    sums = aggregate(rows, fine, [m.sql() for m in _LEDGER_MEASURES])
     both = sums.join(per_invoice, coarse, "full")
     owed = "revenue"
     if mode == "exact":
@@ -192,7 +190,7 @@ def _reconcile_once(
         place = f"row_number() OVER (PARTITION BY {', '.join(coarse)} ORDER BY {rest})"
         both = both.withColumn("place", F.expr(place))
         owed = "CASE WHEN place = 1 THEN revenue END"
-    totals = [total(m.name) for m in _MEASURES[:-1]]
+    totals = [total(m.name) for m in _LEDGER_MEASURES]
     return aggregate(both, keys, [*totals, f"coalesce(sum({owed}), 0) AS deduction"])
 
 
