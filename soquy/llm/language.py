@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,6 +115,11 @@ def most_frequent(counts: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
     return keys.filter(level >= F.lit(float(least)))
 
 
+def flat(table: pa.Table, name: str) -> pa.Array:
+    """The values of a column of lists, one after the other."""
+    return table[name].combine_chunks().flatten() if len(table) else pa.array([], table.schema.field(name).type.value_type)
+
+
 def train(
     labelled: DataFrame,
     text_col: str = "text",
@@ -129,25 +135,29 @@ def train(
     scratch = Scratch()
     words = scratch.stored(counted)
     grams = words.mapInArrow(count_grams(longest), schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    found = [most_frequent(counts, n, scratch).collect() for counts, n in ((words, max_words), (grams, max_grams))]
+    kept = [
+        most_frequent(counts, n, scratch)
+        .select("key", F.map_keys("by_lang").alias("langs"), F.map_values("by_lang").alias("ns"))
+        .toArrow()
+        .sort_by("key")
+        for counts, n in ((words, max_words), (grams, max_grams))
+    ]
     scratch.clear()
-    languages = sorted({lang for rows in found for row in rows for lang in row["by_lang"]})
-    column = {lang: k for k, lang in enumerate(languages)}
+    languages = sorted({x for table in kept for x in flat(table, "langs").unique().to_pylist()})
     index, tables = [], []
-    for kept in found:
-        kept.sort(key=lambda r: r["key"])
-        table = np.full((len(kept), len(languages)), SMOOTHING)
-        for k, row in enumerate(kept):
-            for lang, n in row["by_lang"].items():
-                table[k, column[lang]] += n
-        lengths = np.array([len(r["key"]) for r in kept])
-        if len(index):  # n-grams: shares among those of the same length
+    for counted in kept:
+        table = np.full((len(counted), len(languages)), SMOOTHING)
+        sizes = [len(x) for x in counted["langs"]]
+        column = pa.compute.index_in(flat(counted, "langs"), pa.array(languages, pa.string())).to_numpy()
+        table[np.repeat(np.arange(len(counted)), sizes), column] += flat(counted, "ns").to_numpy()
+        lengths = pa.compute.utf8_length(counted["key"]).to_numpy()
+        if index:  # n-grams: shares among those of the same length
             for size in range(1, longest + 1):
                 table[lengths == size] = np.log(table[lengths == size] / table[lengths == size].sum(0))
-        elif len(kept):
+        elif len(counted):
             table = np.log(table / table.sum(0))
         start = len(tables[0]) if tables else 0
-        index.append({row["key"]: start + k for k, row in enumerate(kept)})
+        index.append({key: start + k for k, key in enumerate(counted["key"].to_pylist())})
         tables.append(table)
     scores = np.concatenate([*tables, np.zeros((1, len(languages)))])
     return LanguageModel(languages, longest, index[0], index[1], scores)
