@@ -41,11 +41,15 @@ def topic_column(text_col: str = "text") -> Column:
     return F.expr(f"CASE {branches} ELSE 'prose' END")
 
 
+def one_number(df: DataFrame, column: Column) -> float:
+    """An aggregate over all rows, 1 where there is none or nothing."""
+    return float(df.agg(column).first()[0] or 1.0)
+
+
 def natural_targets(cells: DataFrame, margin: str, temperature: float) -> DataFrame:
     """(margin, share): shares of tokens to the power of the temperature, scaled to 1."""
     sums = cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), temperature).alias("raw"))
-    total = sums.agg(F.sum("raw").alias("total"))
-    return sums.join(F.broadcast(total)).select(margin, (F.col("raw") / F.col("total")).alias("share"))
+    return sums.select(margin, (F.col("raw") / one_number(sums, F.sum("raw"))).alias("share"))
 
 
 def rake(
@@ -57,15 +61,13 @@ def rake(
     tolerance: float = 1e-6,
 ) -> DataFrame:
     """Cells (margins, tokens) with ``weight``, whose sums by each margin are the target shares."""
-    total = cells.agg(F.sum("tokens").cast("double").alias("total"))
-    held = cells.join(F.broadcast(total)).withColumn("weight", F.col("tokens") / F.col("total")).drop("total")
+    held = cells.withColumn("weight", F.col("tokens") / one_number(cells, F.sum("tokens")))
     for margin in margins:
         wanted = targets[margin].select(F.col(margin).alias("_value"), F.col("share").alias(f"_to_{margin}"))
         held = held.join(wanted, F.col(margin).eqNullSafe(F.col("_value")), "left").drop("_value")
         held = held.fillna(0.0, [f"_to_{margin}"])
-        present = held.groupBy(margin).agg(F.first(f"_to_{margin}").alias("s")).agg(F.sum("s").alias("_all"))
-        held = held.join(F.broadcast(present)).withColumn(f"_to_{margin}", F.col(f"_to_{margin}") / F.col("_all"))
-        held = held.drop("_all")
+        present = one_number(held.groupBy(margin).agg(F.first(f"_to_{margin}").alias("share")), F.sum("share"))
+        held = held.withColumn(f"_to_{margin}", F.col(f"_to_{margin}") / present)
     held = stored(held)
     for _ in range(rounds):
         for _ in range(sweeps):
@@ -113,12 +115,12 @@ def mix_sources(
         )
     raked = rake(cells, names, wanted)
     ratio = F.col("weight") / F.col("tokens")
-    largest = raked.agg(F.max(ratio).alias("_largest"))
+    largest = one_number(raked, F.max(ratio))
     odds = stored(
-        raked.join(F.broadcast(largest)).select(
+        raked.select(
             *(F.col(n).alias(o) for n, o in zip(names, of_names, strict=True)),
             F.col("weight").alias("mix_weight"),
-            F.least(F.lit(1.0), rate * ratio / F.col("_largest")).alias(odds_name),
+            F.least(F.lit(1.0), rate * ratio / largest).alias(odds_name),
         )
     )
     same = [F.col(n).eqNullSafe(F.col(o)) for n, o in zip(names, of_names, strict=True)]
