@@ -395,14 +395,16 @@ def near_duplicates(
     its class. Rows link whose sets have ``100 * common >= percent * union``."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    scratch = Scratch()
+    scratch, wide = Scratch(), Scratch()
     level = docs.sparkSession.sparkContext.broadcast(levels(counters(rows.select("text"), size)))
-    signed = scratch.stored(signatures(rows, ["id", "text_key"], size, percent, level))
-    of_rows = signed.filter("node is not null")
-    nodes = scratch.stored(of_rows.select("node", "n", "parity").distinct())
-    listed = of_rows.select(F.posexplode("prefix").alias("place", "gram"), "node").repartition("gram").distinct()
+    full = wide.stored(signatures(rows, ["id", "text_key"], size, percent, level))
+    signed = scratch.stored(full.select("id", "text_key", "node", "n"))
+    of_rows, prefixed = (df.filter("node is not null") for df in (signed, full))
+    nodes = scratch.stored(prefixed.select("node", "n", "parity").distinct())
+    listed = prefixed.select(F.posexplode("prefix").alias("place", "gram"), "node").repartition("gram").distinct()
     groups = listed.groupBy("gram").agg(F.count("*").alias("places"), F.min("node").alias("lead")).filter("places > 1")
     shared = scratch.stored(listed.join(groups, "gram"))
+    wide.clear()
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Links among the pairs; the sets of their nodes are counted anew from one text of each."""
@@ -410,8 +412,10 @@ def near_duplicates(
         keys = of_rows.groupBy("node").agg(F.min("text_key").alias("text_key"))
         keys = keys.join(ends, F.col("node") == F.col("of")).select("text_key")
         texts = rows.select("text", "text_key")
-        sets = whole_sets(texts, size, percent, level, marks_of(keys, "text_key"))
-        return scratch.stored(verified(pairs, scratch.stored(sets), percent))
+        sets = wide.stored(whole_sets(texts, size, percent, level, marks_of(keys, "text_key")))
+        found = scratch.stored(verified(pairs, sets, percent))
+        wide.clear()
+        return found
 
     stars = shared.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     links = linked(scratch.stored(with_parities(stars, nodes).mapInArrow(near_enough(percent), PAIRS)))
