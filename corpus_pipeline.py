@@ -10,8 +10,8 @@ as the next stage's documents. All but the last return the columns of documents.
 3. suffix-array dedup: strings of ``REPEATED_BYTES`` bytes that also start anywhere else are cut out,
    whole characters only; ``n_chars`` follows. A document stays, even with little text left.
 4. benchmark decontamination: contaminated documents go.
-5. mixing: documents are drawn with the probabilities that bring source, language and topic to
-   their targets; ``tokens``, ``weight`` and ``probability`` are added.
+5. mixing: documents are drawn with the probabilities that bring source, language and topic as near
+   to their targets as half of all tokens can be; ``tokens``, ``weight`` and ``probability`` are added.
 
 Null texts have no language and go in stage 1. An empty table passes every stage as an empty table.
 Other columns of the documents are carried along under their names, whatever these are; only the
@@ -97,7 +97,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @apart
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_column()}
-    drawn = mixing.mix_sources(docs, margins, seed=MIX_SEED).filter("mix_sampled")
+    drawn = mixing.mix_sources(docs, margins, seed=MIX_SEED, sample=mixing.SAMPLE).filter("mix_sampled")
     return drawn.select(
         *docs.columns,
         F.col("mix_tokens").alias("tokens"),

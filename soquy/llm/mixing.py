@@ -3,9 +3,17 @@
 Documents fall into cells, one per combination of the margin columns. A cell's natural weight is
 its number of tokens. Raking multiplies the weights of all cells with one value of a margin by the
 ratio of that value's target to its present sum, one margin after the other, sweep after sweep,
-until every margin is met. A document's probability is its cell's ratio of raked to natural weight,
-scaled by one constant so that the largest is ``rate``: expected tokens of the sample then stand in
-the target shares on every margin. A document is drawn if a hash of its id is below that.
+until every margin is met. A document is drawn if a hash of its id is below its probability.
+
+With ``sample`` the expected size is given: that share of all tokens, however rare the rarest cell is.
+No cell can give more than it has, so a value that has less than its target is taken whole and the
+others of its margin share what is missing; a raked weight that passes its cell's tokens is cut to
+these, and the sweeps go on with the other cells. The targets are then met as nearly as the tokens
+allow, and the sample is smaller only where the values with a target have fewer tokens.
+
+Without ``sample`` the targets come first: the probability is the cell's ratio of raked to natural
+weight, scaled by one constant so that the largest is ``rate``, and the expected tokens stand in the
+target shares on every margin. The rarest cell then sets the size of the sample.
 
 * Only the cell table (distinct combinations of values) is raked; documents meet it in one join.
 * A target is a share per value. Values without a target share keep weight 0 and are never drawn;
@@ -25,6 +33,8 @@ from pyspark.sql import functions as F
 from soquy.llm.common import hidden, stored
 
 ADDED = ("mix_tokens", "mix_weight", "mix_probability", "mix_sampled")
+# Fixed value: the share of all tokens that the queries draw.
+SAMPLE = 0.5
 # Patterns of the topics, the first that fits counts.
 TOPICS = {
     "legal": "(?i)licen[cs]e|copyright|warranty",
@@ -52,6 +62,24 @@ def natural_targets(cells: DataFrame, margin: str, temperature: float) -> DataFr
     return sums.select(margin, (F.col("raw") / one_number(sums, F.sum("raw"))).alias("share"))
 
 
+def level(df: DataFrame, room: str, part: str, total: float) -> float:
+    """The factor s with sum(least(room, s * part)) = total, or one that fills all rooms if they have less.
+
+    From one step to the next only more rows are full, so this ends; each step is one aggregate.
+    """
+    s, full = 0.0, -1
+    while True:
+        is_full = F.col(room) <= s * F.col(part)
+        row = df.filter(F.col(part) > 0).agg(
+            F.coalesce(F.sum(F.when(is_full, F.col(room))), F.lit(0.0)),
+            F.coalesce(F.sum(F.when(~is_full, F.col(part))), F.lit(0.0)),
+            F.count(F.when(is_full, 1)),
+        ).first()
+        if row[2] == full or not row[1]:
+            return s
+        s, full = max(s, (total - row[0]) / row[1]), row[2]
+
+
 def rake(
     cells: DataFrame,
     margins: list[str],
@@ -59,9 +87,13 @@ def rake(
     sweeps: int = 5,
     rounds: int = 6,
     tolerance: float = 1e-6,
+    sample: float | None = None,
 ) -> DataFrame:
-    """Cells (margins, tokens) with ``weight``, whose sums by each margin are the target shares."""
-    held = cells.withColumn("weight", F.col("tokens") / one_number(cells, F.sum("tokens")))
+    """Cells (margins, tokens) with ``weight``, whose sums by each margin are the target shares. With
+    ``sample`` the weights add up to that and none is above its cell's share of the tokens."""
+    total = one_number(cells, F.sum("tokens"))
+    room = F.col("tokens") / total
+    held = cells.withColumn("weight", room)
     for margin in margins:
         wanted = targets[margin].select(F.col(margin).alias("_value"), F.col("share").alias(f"_to_{margin}"))
         held = held.join(wanted, F.col(margin).eqNullSafe(F.col("_value")), "left").drop("_value")
@@ -69,13 +101,19 @@ def rake(
         present = one_number(held.groupBy(margin).agg(F.first(f"_to_{margin}").alias("share")), F.sum("share"))
         held = held.withColumn(f"_to_{margin}", F.col(f"_to_{margin}") / present)
     held = stored(held)
+    if sample is not None:
+        for margin in margins:
+            values = held.groupBy(margin).agg(F.sum(room).alias("room"), F.first(f"_to_{margin}").alias("share"))
+            at_most = F.sum(room).over(Window.partitionBy(margin))
+            wanted = level(stored(values), "room", "share", sample) * F.col(f"_to_{margin}")
+            held = held.withColumn(f"_to_{margin}", F.least(at_most, wanted))
+        held = stored(held)
     for _ in range(rounds):
         for _ in range(sweeps):
             for margin in margins:
                 now = F.sum("weight").over(Window.partitionBy(margin))
-                held = held.withColumn(
-                    "weight", F.when(now > 0, F.col("weight") * F.col(f"_to_{margin}") / now).otherwise(0.0)
-                )
+                raked = F.when(now > 0, F.col("weight") * F.col(f"_to_{margin}") / now).otherwise(0.0)
+                held = held.withColumn("weight", raked if sample is None else F.least(room, raked))
         held = stored(held)
         off = held
         for margin in margins:
@@ -84,6 +122,9 @@ def rake(
         worst = off.agg(F.max(F.greatest(*(F.col(f"_off_{m}") for m in margins), F.lit(0.0)))).first()[0]
         if worst is None or worst < tolerance:
             break
+    if sample is not None:
+        held = held.withColumn("room", room)
+        held = held.withColumn("weight", F.least("room", level(held, "room", "weight", sample) * F.col("weight")))
     return held.select(*margins, "tokens", "weight")
 
 
@@ -96,9 +137,11 @@ def mix_sources(
     seed: int = 17,
     id_col: str = "doc_id",
     text_col: str = "text",
+    sample: float | None = None,
 ) -> DataFrame:
-    """All rows with mix_tokens, mix_weight (the raked share of their cell), mix_probability and
-    mix_sampled added. ``margins`` names the margins and gives the column of each."""
+    """All rows with mix_tokens, mix_weight (the share of their cell in the expected sample),
+    mix_probability and mix_sampled added. ``margins`` names the margins and gives the column of each;
+    ``sample`` is the share of all tokens to draw (``rate`` only counts without it)."""
     keep = [c for c in docs.columns if c not in ADDED]
     names = hidden(docs, *(f"margin_{k}" for k in range(len(margins))))
     of_names = hidden(docs, *(f"of_margin_{k}" for k in range(len(margins))))
@@ -113,14 +156,17 @@ def mix_sources(
         wanted[column] = (
             natural_targets(cells, column, temperature) if given is None else given.select(F.col(name).alias(column), "share")
         )
-    raked = rake(cells, names, wanted)
+    raked = rake(cells, names, wanted, sample=sample)
     ratio = F.col("weight") / F.col("tokens")
-    largest = one_number(raked, F.max(ratio))
+    if sample is None:
+        probability, drawn = rate * ratio / one_number(raked, F.max(ratio)), 1.0
+    else:
+        probability, drawn = ratio * one_number(cells, F.sum("tokens")), one_number(raked, F.sum("weight"))
     odds = stored(
         raked.select(
             *(F.col(n).alias(o) for n, o in zip(names, of_names, strict=True)),
-            F.col("weight").alias("mix_weight"),
-            F.least(F.lit(1.0), rate * ratio / largest).alias(odds_name),
+            (F.col("weight") / drawn).alias("mix_weight"),
+            F.least(F.lit(1.0), probability).alias(odds_name),
         )
     )
     same = [F.col(n).eqNullSafe(F.col(o)) for n, o in zip(names, of_names, strict=True)]

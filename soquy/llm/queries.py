@@ -110,7 +110,7 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def mixing_weights(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_column()}
-    mixed = mixing.mix_sources(docs, margins)
+    mixed = mixing.mix_sources(docs, margins, sample=mixing.SAMPLE)
     return mixed.select("doc_id", *mixing.ADDED)
 
 

@@ -281,6 +281,42 @@ def test_mixing_to_given_targets(spark):
     assert all(not r["mix_sampled"] for r in rows if r["source"] == "s2")
 
 
+def skewed(spark, n, new):
+    """Documents of ten words: nine of ten of one source, and one document of a source of its own."""
+    rows = [(k, "word " * 10, "en" if k % 7 else "de", "hot" if k % 10 else "cold") for k in range(n)]
+    return documents(spark, rows + ([(n, "word " * 10, "fr", "new")] if new else []))
+
+
+@pytest.mark.parametrize("new", [False, True])
+def test_mixing_sample_does_not_hang_on_the_rarest_cell(spark, new):
+    margins = {"source": F.col("source"), "lang": F.col("lang")}
+    for n in (300, 3000):
+        rows = mixing.mix_sources(skewed(spark, n, new), margins, sample=0.5).collect()
+        assert math.isclose(sum(r["mix_probability"] for r in rows), 0.5 * len(rows), rel_tol=1e-6)
+        assert all(0 < r["mix_probability"] <= 1 for r in rows)
+        cells = {(r["source"], r["lang"]): r["mix_weight"] for r in rows}
+        assert math.isclose(sum(cells.values()), 1, rel_tol=1e-6)
+        cold = sum(r["mix_probability"] for r in rows if r["source"] == "cold")
+        power = {s: sum(r["source"] == s for r in rows) ** 0.7 for s in ("hot", "cold", "new")}
+        assert new or math.isclose(cold, 0.5 * n * power["cold"] / (power["hot"] + power["cold"]), rel_tol=1e-3)
+        assert not new or [r["mix_probability"] for r in rows if r["source"] == "new"] == [pytest.approx(1)]
+
+
+def test_mixing_sample_takes_all_where_less_is_there(spark):
+    target = spark.createDataFrame([("s0", 3.0), ("s1", 1.0)], "source string, share double")
+    rows = mixing.mix_sources(documents(spark), {"source": F.col("source")}, {"source": target}, sample=1.0).collect()
+    for r in rows:
+        assert r["mix_probability"] == pytest.approx(float(r["source"] in ("s0", "s1") and r["mix_tokens"] > 0))
+
+
+def test_mixing_query_and_stage_draw_half(spark, tmp_path):
+    skewed(spark, 3000, True).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.mixing_weights(spark, str(tmp_path)).agg(F.sum("mix_probability")).first()[0]
+    assert math.isclose(found, 0.5 * 3001, rel_tol=1e-6)
+    kept = corpus_pipeline.mixed(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).count()
+    assert abs(kept - 1500) < 150
+
+
 def test_licences(spark):
     grant, notice = licences.SENTENCES["mit-grant"], licences.SENTENCES["mit-notice"]
     rows = [
