@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from soquy.llm.common import chunks, merged, text_bytes, words
 
 ADDED = ("n_words", "hit_starts", "hit_ends", "items")
+FAR = 1 << 40
 WORD_BYTES = np.array([b > 0x7F or chr(b).isalnum() for b in range(256)])
 
 
@@ -197,12 +198,39 @@ def is_contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def nearest_windows(anchor: np.ndarray, others: list[np.ndarray], first: np.ndarray, end: np.ndarray):
+    """First and last position of the narrowest window around each anchor, within its own text
+    [first, end), that has an occurrence of each other list; the last is ``FAR`` or more where there
+    is none. Of equally narrow windows the rightmost counts.
+
+    A window that starts at some place takes the terms whose nearest occurrence on the left it still
+    has, and the others from the right; only the anchor and those left places can be the start.
+    """
+    lefts, rights = [], []
+    for listed in others:
+        after = np.searchsorted(listed, anchor)
+        padded = np.concatenate(([-FAR], listed, [FAR]))
+        left, right = padded[after], padded[after + 1]
+        lefts.append(np.where(left >= first, left, -FAR))
+        rights.append(np.where(right < end, right, FAR))
+    low, high = anchor, np.full(len(anchor), 2 * FAR)
+    for start in [anchor, *lefts]:
+        last = anchor
+        for left, right in zip(lefts, rights, strict=True):
+            last = np.where(left >= start, last, np.maximum(last, right))
+        closer = (last - start < high - low) | ((last - start == high - low) & (start > low))
+        better = (start > -FAR) & (last < FAR) & closer
+        low, high = np.where(better, start, low), np.where(better, last, high)
+    return low, high
+
+
 def proximity_matches(
     docs: DataFrame, benchmark: DataFrame, within: int = 30, rarest: int = 5, text_col: str = "text",
     id_col: str = "doc_id", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """(id, item, first, last): places where the ``rarest`` distinct terms of an item stand within
-    ``within`` words of each other, in any order; one row for each such place of the rarest term.
+    ``within`` words of each other, in any order; one row for each such place of the rarest term, with
+    the narrowest window around it.
     For benchmarks that fit one part; items of fewer distinct terms use all they have."""
     items = [(r["i"], r["t"].encode()) for r in benchmark.select(
         F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).dropna().collect()]
@@ -226,20 +254,10 @@ def proximity_matches(
                     continue
                 index, bounds = Index(terms, hashed, owner), np.searchsorted(owner, np.arange(end - first + 1))
                 for item, own in wanted:
-                    low = high = index.postings(own[0])
-                    anchor = low
-                    for term in own[1:]:
-                        listed = index.postings(term)
-                        if not len(listed) or not len(anchor):
-                            anchor = anchor[:0]
-                            break
-                        near = np.clip(np.searchsorted(listed, anchor), 1, len(listed) - 1) if len(listed) > 1 else np.zeros(len(anchor), int)
-                        left, right = listed[np.maximum(near - 1, 0)], listed[near]
-                        other = np.where(np.abs(anchor - left) <= np.abs(right - anchor), left, right)
-                        low, high = np.minimum(low, other), np.maximum(high, other)
-                        fits = (high - low < within) & (owner[low] == owner[high])
-                        anchor, low, high = anchor[fits], low[fits], high[fits]
-                    for a, b in zip(low[: len(anchor)], high[: len(anchor)], strict=True):
+                    anchor = index.postings(own[0])
+                    low, high = nearest_windows(anchor, [index.postings(t) for t in own[1:]], bounds[owner[anchor]], bounds[owner[anchor] + 1])
+                    fits = high - low < within
+                    for a, b in zip(low[fits], high[fits], strict=True):
                         d = owner[a]
                         rows.append((names[first + d], item, int(a - bounds[d]), int(b - bounds[d])))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4

@@ -198,6 +198,25 @@ def test_proximity(spark):
     assert [tuple(r) for r in contamination.proximity_matches(docs, bench).collect()] == [(1, "i", 1, 6)]
 
 
+def test_proximity_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    words = ["qa", "qb", "qc", "x", "y", "z"]
+    rows = [(k, " ".join(rng.choice(words, rng.integers(1, 25), p=[0.06, 0.15, 0.15, 0.24, 0.2, 0.2]))) for k in range(300)]
+    rows += [(300, "qb " + "x " * 9 + "qa " + "x " * 10 + "qb " + "x " * 13 + "qc")]  # nearest on the wrong side
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for within in (4, 8, 26):
+        expected = Counter()
+        for k, text in rows:
+            places = {t: [i for i, w in enumerate(text.split()) if w == t] for t in ("qa", "qb", "qc")}
+            for a in places["qa"]:
+                spans = [(max(a, b, c) - min(a, b, c), -min(a, b, c)) for b in places["qb"] for c in places["qc"]]
+                if spans and min(spans)[0] < within:
+                    wide, low = min(spans)
+                    expected[k, "i", -low, wide - low] += 1
+        bench = spark.createDataFrame([("i", "qa qb qc")], "item_id string, text string")
+        assert expected and bag(contamination.proximity_matches(docs, bench, within=within).collect()) == expected
+
+
 def test_languages(spark, folder):
     found = {}
     for r in queries.languages(spark, folder).collect():
