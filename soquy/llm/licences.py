@@ -134,7 +134,7 @@ class Scanner:
         bounds = list(pieces(text))
         line_at = 0
         for line in text.split("\n"):
-            if len(line) < 4 * self.longest and line.strip():
+            if line.strip():
                 bounds += [(line_at + a, line_at + b) for a, b in pieces(line)]
             line_at += len(line) + 1
         for a, b in bounds:

@@ -375,6 +375,12 @@ def test_pipeline_stages(spark, folder):
         if k == 2:
             raws = [t.encode() for _, t in before]
             removed = dict(zip([r[0] for r in before], brute_repeats(raws, corpus_pipeline.REPEATED_BYTES), strict=True))
+@pytest.mark.parametrize("size", [1, 1_700, 20_000])
+def test_licence_line_with_more_behind_it(size):
+    text = f"# NOTICE\n{licences.SENTENCES['apache-name']} {'word ' * (size // 5)}"
+    assert [m[0] for m in licences.Scanner(licences.SENTENCES, licences.RULES, 2000).scan(text)] == ["Apache-2.0"]
+
+
             for doc, text in after:
                 assert 0 <= len(text.encode()) - int((~removed[doc]).sum()) <= 6 * 40
             assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
