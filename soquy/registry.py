@@ -208,6 +208,14 @@ def _all_departments(t: StarTables) -> DataFrame:
     return t.table("nation").select(dept, F.col("n_name").alias("dept_name"))
 
 
+def _documents_of_many(rows: DataFrame, per_document: int = 100) -> DataFrame:
+    """Rows as documents of about ``per_document`` records: their number grows with the rows. They are
+    dealt by a hash of the whole row, so that no value of one column makes a document large."""
+    n = max(1, -(-rows.count() // per_document))
+    dealt = rows.groupBy(F.pmod(F.xxhash64(*rows.columns), F.lit(n)).alias("d"))
+    return dealt.agg(F.collect_list(F.struct(*rows.columns)).alias("data")).select("data")
+
+
 def _fine_envelopes(spark: SparkSession, folder: str) -> DataFrame:
     """Receivables as documents of many records each, with amounts of four decimals and codes
     written as ``1.0``, read back and summed."""
@@ -216,8 +224,7 @@ def _fine_envelopes(spark: SparkSession, folder: str) -> DataFrame:
     rows = StarTables(spark, folder).fact("ar", *ALWAYS)
     fine = rows.withColumn("patpaid", F.expr("CAST(patpaid + 0.0125 AS STRING)"))
     fine = fine.withColumn("kcb_class", F.expr("concat(kcb_class, '.0')"))
-    per_document = fine.groupBy(F.expr("CAST(hfe_docno_1 AS BIGINT) % 100").alias("d"))
-    documents = per_document.agg(F.collect_list(F.struct(*fields)).alias("data"))
+    documents = _documents_of_many(fine.select(*fields))
     documents.select(F.to_json(F.struct("data")).alias("value")).write.text(root)
     back = read_envelope(spark, root, FACTS["ar"])
     sums = back.groupBy("kcb_class").agg(F.sum("patpaid").alias("patpaid"), F.count("*").alias("n"))

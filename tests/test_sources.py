@@ -10,6 +10,7 @@ from conftest import DATA
 from facts import make
 from pyspark.sql import functions as F
 
+from soquy import registry
 from soquy.oracle.views import with_views
 from soquy.plans import inventory, reconcile, revenue
 from soquy.registry import as_plain
@@ -207,3 +208,10 @@ def test_stand_in_facts_equal_the_views(spark, star, name):
     )
     view = with_views(f"SELECT {columns} FROM {name}", ("1997-01-01", "1997-12-31"))
     assert assert_same(as_plain(df), star.sql(view)) > 0
+
+
+def test_documents_of_many_records_stay_small(spark):
+    for n in (50, 5_000, 20_000):
+        rows = spark.range(n).selectExpr("CAST(id AS STRING) AS hfe_invoiceno", "'7' AS hfe_docno_1")
+        sizes = [r[0] for r in registry._documents_of_many(rows).selectExpr("size(data)").collect()]
+        assert sum(sizes) == n and max(sizes) <= 200
