@@ -8,8 +8,10 @@ without any known n-gram scores the same for every language. A text goes to the
 largest sum over all of its words.
 
 * All counts are taken over every row with a language; the bounds ``max_words`` and ``max_grams``
-  only say how many of the counted words and n-grams the model keeps (those of the highest counts,
-  whole frequency classes at a time), so that its size does not grow with the corpus.
+  only say how many of the counted words and n-grams the model keeps, so that its size does not grow
+  with the corpus. Each language has an equal quota of them, n-grams of each length a quota of their
+  own, filled from its own highest counts; so what is kept of a language does not depend on how large
+  the others are. What any language keeps has the counts of all languages.
 * A word is a run of letters of the lower-cased text. A text that is null or has no letter is
   ``und`` with score 0. Ties go to the smaller language name. Without any labelled row all texts
   are ``und``.
@@ -18,7 +20,6 @@ largest sum over all of its words.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soquy.llm.common import Scratch
@@ -93,26 +94,52 @@ def count_grams(longest: int):
     return run
 
 
-def most_frequent(counts: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
-    """Keys with their counts by language: the highest frequency classes of at most ``limit`` keys.
+def quotas(sizes: dict, languages: int, limit: int) -> dict:
+    """Room for each (language, part): every language has the same, and parts of it that need less
+    than an equal share leave the rest to its longer parts. Every part has room for one at least."""
+    by_lang: dict = {}
+    for (lang, part), n in sizes.items():
+        by_lang.setdefault(lang, []).append((n, part))
+    out = {}
+    for lang, parts in by_lang.items():
+        room = limit // languages
+        for k, (n, part) in enumerate(sorted(parts)):
+            out[lang, part] = min(n, max(1, room // (len(parts) - k)))
+            room -= out[lang, part]
+    return out
 
-    A class is an eighth of a power of two, so the histogram that sets the threshold is small and no
-    task has to sort the keys.
+
+def most_frequent(counts: DataFrame, limit: int, part: Column) -> DataFrame:
+    """Keys with their counts by language: of each language and part the highest counts, as many as
+    its quota.
+
+    A class is an eighth of a power of two, so the histogram that sets the thresholds is small and no
+    task has to sort the keys. Of the class that passes the quota a share is taken, by hash.
     """
-    keys = scratch.stored(
-        counts.groupBy("key").agg(
-            F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")
-        )
-    )
-    level = F.floor(F.log2("total") * 8)
-    classes = keys.groupBy(level.alias("level")).count().collect()
-    least, room = math.inf, limit
+    classed = counts.withColumns({"part": part, "level": F.floor(F.log2("n") * 8)})
+    classes = classed.groupBy("lang", "part", "level").count().collect()
+    sizes: Counter = Counter()
+    for row in classes:
+        sizes[row["lang"], row["part"]] += row["count"]
+    room = quotas(sizes, len({lang for lang, _ in sizes}), limit)
+    least = {}
     for row in sorted(classes, key=lambda r: -r["level"]):
-        room -= row["count"]
-        if room < 0:
-            break
-        least = row["level"]
-    return keys.filter(level >= F.lit(float(least)))
+        group = row["lang"], row["part"]
+        if room[group] > 0:
+            least[group] = (row["level"], min(1.0, room[group] / row["count"]))
+            room[group] -= row["count"]
+    spark = counts.sparkSession
+    bounds = spark.createDataFrame(
+        [(*group, *bound) for group, bound in least.items()], "lang string, part int, least long, share double"
+    )
+    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / float(1 << 20)
+    enough = (F.col("level") > F.col("least")) | ((F.col("level") == F.col("least")) & (draw < F.col("share")))
+    # a row per language and part: small whatever the input
+    flagged = classed.join(F.broadcast(bounds), ["lang", "part"]).withColumn("enough", enough)
+    keys = flagged.groupBy("key").agg(
+        F.max("enough").alias("enough"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")
+    )
+    return keys.filter("enough").select("key", "by_lang")
 
 
 def flat(table: pa.Table, name: str) -> pa.Array:
@@ -134,13 +161,13 @@ def train(
     counted = rows.mapInArrow(count_words, schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
     scratch = Scratch()
     words = scratch.stored(counted)
-    grams = words.mapInArrow(count_grams(longest), schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    grams = scratch.stored(words.mapInArrow(count_grams(longest), schema).groupBy("lang", "key").agg(F.sum("n").alias("n")))
     kept = [
-        most_frequent(counts, n, scratch)
+        most_frequent(counts, n, part)
         .select("key", F.map_keys("by_lang").alias("langs"), F.map_values("by_lang").alias("ns"))
         .toArrow()
         .sort_by("key")
-        for counts, n in ((words, max_words), (grams, max_grams))
+        for counts, n, part in ((words, max_words, F.lit(0)), (grams, max_grams, F.char_length("key")))
     ]
     scratch.clear()
     languages = sorted({x for table in kept for x in flat(table, "langs").unique().to_pylist()})

@@ -229,6 +229,25 @@ def test_languages(spark, folder):
     assert len(wrong) <= 4 and {found[k][0]["lang_pred"] for k in (80, 81, 82, 86)} == {"und"}
 
 
+def test_rare_language_keeps_its_model_beside_a_hot_one(spark):
+    letters = "abcdefghij"
+    hot = [(" ".join(f"{a}{b}{c}" for a in letters for b in letters for c in letters), "hot")] * 40
+    rare = [("шум дождь ветер река", "rare"), ("река шум", "rare")]
+    models = []
+    for rows in (hot[:2] + rare, hot + rare):
+        docs = spark.createDataFrame(rows, "text string, lang string")
+        models.append(language.train(docs, max_words=100, max_grams=120))
+        model = models[-1]
+        assert model.languages == ["hot", "rare"]
+        assert len(model.words) < 130 and len(model.grams) < 150
+        assert {"шум", "дождь", "ветер", "река"} <= set(model.words)
+        assert any(len(g) == 4 and "ш" in g for g in model.grams)
+        scorer = language.Scorer(model)
+        assert scorer.predict("шум ветер")[0] == scorer.predict("дождик")[0] == "rare" and scorer.predict("abc")[0] == "hot"
+    rare_keys = [{w for w in m.words if not w.isascii()} | {g for g in m.grams if not g.isascii()} for m in models]
+    assert rare_keys[0] == rare_keys[1]
+
+
 def test_language_backoff():
     model = language.LanguageModel(
         ["a", "b"], 3, {"known": 0}, {"ab": 1, "a": 2, " z": 3}, np.array([[-1.0, -2.0], [-3.0, -1.0], [-1.0, -9.0], [-2.0, -2.0], [0, 0]])
@@ -356,6 +375,12 @@ def test_licences(spark):
         assert licences.Scanner(licences.SENTENCES, licences.RULES, 2000).scan(text)[0][0] == licence
 
 
+@pytest.mark.parametrize("size", [1, 1_700, 20_000])
+def test_licence_line_with_more_behind_it(size):
+    text = f"# NOTICE\n{licences.SENTENCES['apache-name']} {'word ' * (size // 5)}"
+    assert [m[0] for m in licences.Scanner(licences.SENTENCES, licences.RULES, 2000).scan(text)] == ["Apache-2.0"]
+
+
 def test_pipeline_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows, kept = texts(), []
@@ -375,12 +400,6 @@ def test_pipeline_stages(spark, folder):
         if k == 2:
             raws = [t.encode() for _, t in before]
             removed = dict(zip([r[0] for r in before], brute_repeats(raws, corpus_pipeline.REPEATED_BYTES), strict=True))
-@pytest.mark.parametrize("size", [1, 1_700, 20_000])
-def test_licence_line_with_more_behind_it(size):
-    text = f"# NOTICE\n{licences.SENTENCES['apache-name']} {'word ' * (size // 5)}"
-    assert [m[0] for m in licences.Scanner(licences.SENTENCES, licences.RULES, 2000).scan(text)] == ["Apache-2.0"]
-
-
             for doc, text in after:
                 assert 0 <= len(text.encode()) - int((~removed[doc]).sum()) <= 6 * 40
             assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
