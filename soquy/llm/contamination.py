@@ -2,16 +2,17 @@
 
 The texts are dealt over the tasks; each task indexes its texts, a chunk at a time: the postings of
 a term are the positions of its occurrences, over all texts of the chunk. Windows of ``size``
-consecutive benchmark words are looked up by intersecting posting lists, shifted by the offset of
-their term in the window, from the rarest term (by its count over all texts) to the most frequent,
-and a list that runs empty ends the search. What is left are exact phrase matches. ``proximity_matches`` looks for the ``rarest`` terms of
+consecutive benchmark words are looked up by the posting list of their rarest term (by its count over
+all texts), shifted by its offset in the window; the further terms, up to the most frequent, are checked
+at their positions, and the search ends when no start is left. The index is not stored. What is left
+are exact phrase matches. ``proximity_matches`` looks for the ``rarest`` terms of
 an item within a given number of words, in any order.
 
 * Words are runs of ASCII letters and digits and of all bytes outside ASCII; A-Z count as a-z. Null
   has no words. A match never crosses texts.
 * An item of fewer words than a window, but not none, is one window.
-* The benchmark's windows are sent to all tasks in parts of at most ``part_windows`` windows; the
-  texts pass through one part after the other, so any benchmark can be handled in bounded memory.
+* The benchmark's windows are sent to all tasks in parts of about ``part_windows`` windows; the
+  texts pass through one part after the other. The driver holds all parts, so it bounds the benchmark.
 * Items with equal windows all count; a repeated item_id counts once. Every row of the texts gets
   its own result, repeated ones too; columns of the names in ``ADDED`` are replaced.
 """
@@ -91,7 +92,7 @@ class Index:
         """(window, first position) of every occurrence of every window.
 
         Starts as the lists of the rarest terms, shifted to the window's start; each further round
-        keeps what the next rarest term's list, shifted alike, also has.
+        keeps the starts that have the next rarest term at its place.
         """
         rarest = window_terms[np.arange(len(window_terms)), by_rarity[:, 0]]
         counts = self.bounds[rarest + 1] - self.bounds[rarest]
