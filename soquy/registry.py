@@ -193,14 +193,19 @@ def _stored_storages(spark: SparkSession, folder: str) -> DataFrame:
     return dim
 
 
-def _landed_periods(spark: SparkSession, folder: str) -> DataFrame:
-    """Two years landed one after the other, the second of them twice, then both read."""
+def _landed_slips(spark: SparkSession, folder: str) -> ParquetTables:
+    """Slips of all days landed, with and without a date, then two years once more."""
     root = work_dir(spark)
-    t = StarTables(spark, folder)
-    for year in ("1996", "1997", "1997"):
-        slips = _with_report_date(t, "inv_export", "expdate")
-        write_fact(slips.where(F.year(PERIOD_COLUMN) == int(year)), root, "inv_export")
-    return as_plain(inventory.inventory_export(ParquetTables(spark, root), *ALWAYS))
+    slips = _with_report_date(StarTables(spark, folder), "inv_export", "expdate")
+    write_fact(slips, root, "inv_export")
+    for year in (1996, 1997):
+        write_fact(slips.where(F.year(PERIOD_COLUMN) == year), root, "inv_export")
+    return ParquetTables(spark, root)
+
+
+def _landed_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """All slips landed, two years of them twice, then these two read."""
+    return as_plain(inventory.inventory_export(_landed_slips(spark, folder), "1996-01-01", "1997-12-31"))
 
 
 def _all_departments(t: StarTables) -> DataFrame:

@@ -11,6 +11,7 @@ from facts import make
 from pyspark.sql import functions as F
 
 from soquy import registry
+from soquy.oracle import statements as sql
 from soquy.oracle.views import with_views
 from soquy.plans import inventory, reconcile, revenue
 from soquy.registry import as_plain
@@ -215,3 +216,9 @@ def test_documents_of_many_records_stay_small(spark):
         rows = spark.range(n).selectExpr("CAST(id AS STRING) AS hfe_invoiceno", "'7' AS hfe_docno_1")
         sizes = [r[0] for r in registry._documents_of_many(rows).selectExpr("size(data)").collect()]
         assert sum(sizes) == n and max(sizes) <= 200
+
+
+def test_landed_slips_are_all_slips_once(spark, star):
+    found = as_plain(inventory.inventory_export(registry._landed_slips(spark, DATA), "1900-01-01", "2100-01-01"))
+    oracle = with_views(sql.exports("CAST(expdate AS DATE) BETWEEN '1900-01-01' AND '2100-01-01'"))
+    assert assert_same(found, star.sql(oracle)) > 0
