@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soquy.llm import contamination, jaccard, language, licences, mincut, mixing, quality, suffixes, warc
+from soquy.llm import contamination, exact, hardnegatives, jaccard, language, licences, mincut, mixing, quality, ranking, suffixes, warc
 from soquy.llm.common import stored
 from soquy.llm.neighbours import nearest_neighbours
 from soquy.llm.oracles import ORACLES as ORACLES
@@ -124,6 +124,19 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.exact_groups(table(spark, folder, "documents"))
+
+
+def mined_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.hard_negatives(table(spark, folder, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+def ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_captures": warc_captures,
     "op2_jaccard_join": jaccard_join,
@@ -135,4 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": quality_rules,
     "op8_positional_index": decontamination,
     "op9_permutation_index": neighbours,
+    "op11_exact_dedup": exact_dedup,
+    "op12_hard_negatives": mined_negatives,
+    "op13_ranked_search": ranked_search,
 }
