@@ -5,14 +5,27 @@ from __future__ import annotations
 from soquy.functions.nulls import or_zero
 
 
-# Forms of a date besides ISO text, tried in this order; days come before months.
-DATE_FORMS = ("dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "dd-MM-yyyy", "yyyyMMdd")
+# Forms of a date besides ISO text, by third character and length; days come before months.
+DATE_FORMS = {
+    "/": {19: "dd/MM/yyyy HH:mm:ss", 16: "dd/MM/yyyy HH:mm", 10: "dd/MM/yyyy"},
+    "-": {10: "dd-MM-yyyy"},
+}
+DIGITS_FORM = "yyyyMMdd"
 
 
 def date_text(col: str, fmt: str = "dd-MM-yyyy") -> str:
-    """Date text in ``fmt`` from ISO text or one of ``DATE_FORMS``; any other text becomes null."""
-    forms = "".join(f", try_to_timestamp({col}, '{form}')" for form in DATE_FORMS)
-    return f"date_format(coalesce(try_to_timestamp({col}){forms}), '{fmt}')"
+    """Date text in ``fmt`` from ISO text or one of ``DATE_FORMS``; any other text becomes null.
+
+    The shape of a text chooses the one form it is parsed by: a failed parse by a format costs
+    many times a good one.
+    """
+    shapes = ""
+    for mark, forms in DATE_FORMS.items():
+        by_length = " ".join(f"WHEN {n} THEN try_to_timestamp({col}, '{form}')" for n, form in forms.items())
+        shapes += f"WHEN substr({col}, 3, 1) = '{mark}' THEN CASE length({col}) {by_length} END "
+    digits = f"length({col}) = 8 AND {col} RLIKE '^[0-9]+$'"
+    shapes += f"WHEN {digits} THEN try_to_timestamp({col}, '{DIGITS_FORM}')"
+    return f"date_format(CASE {shapes} ELSE try_to_timestamp({col}) END, '{fmt}')"
 
 
 def date_text_strict(col: str, fmt: str = "dd/MM/yyyy") -> str:

@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soquy.sources.schemas import FACTS
+from soquy.sources.schemas import FACTS, ORDER_FIELDS, PERIOD_COLUMN, PLACE_COLUMN
 from soquy.sources.tables import ALL_DAYS, narrow, parse_period
 
 _JOINS = {
@@ -49,9 +49,9 @@ _LINE = {
         "CASE WHEN s_nationkey <> 23 THEN 'K' || CAST(s_nationkey AS STRING) END",
         "supplier",
     ),
-    "revenue": ("CAST(l_extendedprice AS DECIMAL(18,2))", ""),
-    "cogs_drug_retail": ("CAST(l_quantity * 100 AS DECIMAL(18,2))", ""),
-    "cost_in_package": ("CAST(l_quantity * 1000 AS DECIMAL(18,2))", ""),
+    "revenue": ("l_extendedprice", ""),
+    "cogs_drug_retail": ("l_quantity * 100", ""),
+    "cost_in_package": ("l_quantity * 1000", ""),
     "hft_name": ("p_type", "part"),
     "hfe_group": ("p_brand", "part"),
     "hfe_itemid": ("CAST(l_partkey AS STRING)", ""),
@@ -60,7 +60,7 @@ _LINE = {
         "CASE p_size % 3 WHEN 1 THEN 'box' WHEN 2 THEN 'unit' END",
         "part",
     ),
-    "hfe_quantity": ("CAST(l_quantity AS DECIMAL(18,2))", ""),
+    "hfe_quantity": ("l_quantity", ""),
     "hfe_company2_id": ("c_nationkey", "orders customer"),
     "com_name": ("'Company ' || CAST(c_nationkey AS STRING)", "orders customer"),
     "hec_no": ("nullif(c_mktsegment, 'BUILDING')", "orders customer"),
@@ -89,9 +89,9 @@ _STOCK = {
     "mp_product_id": ("CAST(l_partkey AS STRING)", ""),
     "mp_name": ("p_name", "part"),
     "mp_producttype": ("p_type", "part"),
-    "total_qty": ("CAST(l_quantity AS DECIMAL(18,2))", ""),
-    "unitprice": ("CAST(p_retailprice AS DECIMAL(18,2))", "part"),
-    "total_amount": ("CAST(l_extendedprice AS DECIMAL(18,2))", ""),
+    "total_qty": ("l_quantity", ""),
+    "unitprice": ("p_retailprice", "part"),
+    "total_amount": ("l_extendedprice", ""),
 }
 _STOCK["saleprice"] = _STOCK["total_amount"]
 _IMPORT = {
@@ -101,6 +101,8 @@ _IMPORT = {
     "signeddate": _STOCK["transaction_date"],
 }
 
+_PLACED = {PERIOD_COLUMN: ("CAST(l_shipdate AS DATE)", ""), PLACE_COLUMN: ("l_orderkey * 8 + l_linenumber", "")}
+
 # fact: (columns, row condition)
 _LINE_FACTS = {
     "revenue": (_LINE, None),
@@ -189,9 +191,10 @@ class StarTables:
         return self._read[name]
 
     def fact(
-        self, name, from_date, to_date, category=None, storage_ids=None, columns=None
+        self, name, from_date, to_date, category=None, storage_ids=None, columns=None, placed=False
     ) -> DataFrame:
-        names = list(columns or FACTS[name].names)
+        """``placed`` is for line facts: the day of shipment, and the place by order and line."""
+        names = [*(columns or FACTS[name].names), *(_PLACED if placed else ())]
         if name in _LINE_FACTS:
             df = self._lines(name, from_date, to_date, names, category, storage_ids)
         else:
@@ -210,6 +213,7 @@ class StarTables:
         storage_ids: Iterable[int] | None,
     ) -> DataFrame:
         defined, condition = _LINE_FACTS[name]
+        defined = {**defined, **_PLACED}
         wanted = {*names, *(["hft_id2"] if category else [])}
         if storage_ids:
             wanted.add("stock_import" if name == "inv_import" else "storage_id")
@@ -220,7 +224,7 @@ class StarTables:
         for table, on in (_JOINS[t] for t in _JOINS if t in needed):
             df = df.join(self.table(table), F.expr(on), "left")
         columns = []
-        for field in FACTS[name].fields:
+        for field in [*FACTS[name].fields, *ORDER_FIELDS]:
             if field.name in wanted:
                 expression = defined[field.name][0] if field.name in defined else "'-'"
                 kind = field.dataType.simpleString()
