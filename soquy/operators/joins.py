@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from soquy.functions.nulls import or_zero
 from soquy.operators.checks import INSURED
@@ -21,6 +22,33 @@ from soquy.operators.sums import (
 )
 
 
+FILTER_BITS = 1 << 22
+"""Bits of the filter that stands for a set of keys; its size does not depend on their number."""
+
+
+def likely_among(
+    rows: DataFrame, members: DataFrame, keys: Sequence[str], bits: int = FILTER_BITS
+) -> DataFrame:
+    """The rows whose keys are among those of ``members``, and a few others.
+
+    A runtime filter: every key of ``members`` sets one bit, by its hash. The bits are the value of
+    one scalar subquery, 512 KB whatever the number of keys, so rows are passed over where they are
+    read, before anything of them is shuffled. With as many keys as bits it lets most rows pass and
+    saves little; results never depend on it.
+    """
+    words = bits // 64
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    marks = members.select(hashed.alias("place")).selectExpr(
+        "place DIV 64 AS word", "shiftleft(1L, CAST(place % 64 AS INT)) AS mark"
+    )
+    none = rows.sparkSession.range(0, words, 1, 1).selectExpr("id AS word", "0L AS mark")
+    table = marks.union(none).groupBy("word").agg(F.bit_or("mark").alias("mark"))
+    table = table.agg(F.array_sort(F.collect_list(F.struct("word", "mark"))).alias("table"))
+    value = table.selectExpr("transform(table, x -> x.mark) AS marks").scalar()
+    bit = F.getbit(F.get(value, F.shiftright(hashed, 6).cast("int")), (hashed % 64).cast("int"))
+    return rows.where(bit == 1)
+
+
 def attach_coarse(
     fine: DataFrame, coarse: DataFrame, keys: Sequence[str], mode: str = "compat"
 ) -> DataFrame:
@@ -28,12 +56,12 @@ def attach_coarse(
 
     ``fine`` is rows of finer keys, ``coarse`` one row per ``keys``. ``compat`` repeats an amount
     on every finer key, ``exact`` puts it on the smallest one only. An amount without a finer key
-    stays, with nulls. Only keys are shuffled: the caller adds the result to its own measures as
-    one more source, so no wide row takes part in the join.
+    stays, with nulls. Only keys are shuffled, and of these only such as have an amount: the caller
+    adds the result to its own measures as one more source, so no wide row takes part in the join.
     """
     if mode not in ("compat", "exact"):
         raise ValueError("mode must be compat or exact")
-    owners = fine.distinct()
+    owners = likely_among(fine, coarse, keys).distinct()
     if mode == "exact":
         rest = [c for c in fine.columns if c not in keys]
         smallest = aggregate(owners, keys, [f"min(struct({', '.join(rest)})) AS smallest"])
