@@ -168,11 +168,23 @@ def distinct_members(df: DataFrame, column: str) -> DataFrame:
     return drop_null_keys(df.select(column), [column]).distinct()
 
 
-def pairs_by_id(df: DataFrame, id_column: str, name_column: str) -> DataFrame:
-    """One name per id. A table has no last row, so the largest name is taken.
+def pairs_by_id(
+    df: DataFrame, id_column: str, name_column: str, day: str | None = None, place: str | None = None
+) -> DataFrame:
+    """One name per id: the one of the last row by ``day`` (a date) and ``place`` (a whole number),
+    nulls first. Without an order a table has no last row, and the largest name is taken; so it is
+    among rows of one day and place.
 
-    The largest text needs a sort aggregate; distinct pairs come first, by hash, so that few rows
-    are sorted.
+    A name needs a sort aggregate; pairs come together first, by hash, with the last time each was
+    seen as one number, so that few rows are sorted.
     """
-    pairs = drop_null_keys(df.select(id_column, name_column), [id_column, name_column])
-    return aggregate(pairs.distinct(), [id_column], [f"max({name_column}) AS {name_column}"])
+    if day is None and place is None:
+        seen = "0"
+    else:
+        days = f"coalesce(datediff({day}, DATE'0001-01-01'), -1)" if day else "0"
+        seen = f"CAST({days} AS DECIMAL(18,0)) * {1 << 64}BD + coalesce({place or '0'}, {-(1 << 63) + 1})"
+    rows = drop_null_keys(df, [id_column, name_column])
+    rows = rows.selectExpr(id_column, name_column, f"CAST({seen} AS DECIMAL(38,0)) AS seen")
+    pairs = aggregate(rows, [id_column, name_column], ["max(seen) AS seen"])
+    last = f"max_by({name_column}, struct(seen, {name_column})) AS {name_column}"
+    return aggregate(pairs, [id_column], [last])

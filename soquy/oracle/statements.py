@@ -375,10 +375,18 @@ def requisitions(where="true") -> str:
     return movements("inv_export_pdt", dates, ["docno", "invoiceno"], amounts, where)
 
 
-PAIRS = (
-    "SELECT stock_import AS storage_id, max(stock_name) AS storage_name FROM inv_import "
-    "WHERE stock_import IS NOT NULL AND stock_name IS NOT NULL GROUP BY stock_import"
-)
+_LAST = "report_date, CAST(documentno AS BIGINT), CAST(orderno AS BIGINT)"
+
+
+def pairs(rows: str = "inv_import") -> str:
+    """The name in the last row of each storage."""
+    return (
+        f"SELECT stock_import AS storage_id, last(stock_name ORDER BY {_LAST}) AS storage_name FROM {rows} "
+        "WHERE stock_import IS NOT NULL AND stock_name IS NOT NULL GROUP BY stock_import"
+    )
+
+
+PAIRS = pairs()
 STORAGES = f"""
 SELECT storage_id, CASE
     WHEN NOT EXISTS (SELECT 1 FROM dim_storage d WHERE d.storage_id = u.storage_id) THEN new

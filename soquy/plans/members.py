@@ -9,6 +9,7 @@ from soquy.operators.shape import CLASS_KEYS
 from soquy.operators.sums import CATEGORY_KIND, distinct_members, drop_null_keys, pairs_by_id
 from soquy.plans.reconcile import ledger_keys
 from soquy.plans.revenue import ORDER_DEPT, PERFORM_DEPT
+from soquy.sources.schemas import PERIOD_COLUMN, PLACE_COLUMN
 
 _DOCUMENT = ["hfe_docno_1", "hfe_invoiceno", "thungan", "hfe_payment_method"]
 
@@ -50,12 +51,13 @@ def upsert_perform_departments(
 
 
 def storage_pairs(tables, from_date: str, to_date: str, storage_ids=None) -> DataFrame:
-    """Storages and names of the import report."""
+    """Storages of the import report, each with the name of its last row: the latest day, and there
+    the last place in the answer."""
     rows = tables.fact(
         "inv_import", from_date, to_date, storage_ids=storage_ids,
-        columns=["stock_import", "stock_name"],
+        columns=["stock_import", "stock_name"], placed=True,
     )
-    pairs = pairs_by_id(rows, "stock_import", "stock_name")
+    pairs = pairs_by_id(rows, "stock_import", "stock_name", PERIOD_COLUMN, PLACE_COLUMN)
     return pairs.withColumnsRenamed({"stock_import": "storage_id", "stock_name": "storage_name"})
 
 

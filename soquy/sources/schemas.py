@@ -81,8 +81,9 @@ DIMENSIONS: dict[str, T.StructType] = {
     "dim_storage": _struct("storage_id:int storage_name"),
 }
 
-# Facts are stored by the day they were reported for.
+# Facts are stored by the day they were reported for, with their place in the answer where it is known.
 PERIOD_COLUMN = "report_date"
+PLACE_COLUMN = "answer_place"
 
 
 def raw_schema(schema: T.StructType) -> T.StructType:
@@ -113,9 +114,12 @@ def _exactly(field: T.StructField) -> str:
 _SHORT = "^[^.]*([.][0-9]{0,12}0*([eE].*)?)?$"
 
 
+ORDER_FIELDS = [T.StructField(PLACE_COLUMN, T.LongType(), True), T.StructField(PERIOD_COLUMN, T.DateType(), True)]
+
+
 def stored_schema(name: str) -> T.StructType:
-    """Schema of a landed fact: its own columns and the day it is stored under."""
-    return T.StructType(FACTS[name].fields + [T.StructField(PERIOD_COLUMN, T.DateType(), True)])
+    """Schema of a landed fact: its own columns, its place and the day it is stored under."""
+    return T.StructType(FACTS[name].fields + ORDER_FIELDS)
 
 
 BROKEN = "_broken"

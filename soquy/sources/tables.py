@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from soquy.functions.nulls import ensure_columns
 from soquy.operators.shape import CATEGORY_COLUMNS
+from soquy.sources.documents import read_whole
 from soquy.sources.schemas import (
     BROKEN,
     FACTS,
     PERIOD_COLUMN,
+    PLACE_COLUMN,
     STORAGE_COLUMN,
     envelope_schema,
     raw_schema,
@@ -30,6 +33,7 @@ from soquy.sources.schemas import (
 
 # Both ends of a period that holds every row, those without a day too.
 ALL_DAYS = "*"
+ORDER = (PERIOD_COLUMN, PLACE_COLUMN)
 
 
 def parse_period(from_date: str, to_date: str) -> tuple[dt.date, dt.date]:
@@ -67,13 +71,16 @@ def narrow(
 
 
 def records(docs: DataFrame, schema: T.StructType, *others: str) -> DataFrame:
-    """The records of read documents, typed. A broken document fails the query."""
+    """The records of read documents, typed, and their place in the document. A broken document
+    fails the query."""
     text = T.ArrayType(raw_schema(schema)).simpleString()
     data = (
         f"CASE WHEN {BROKEN} IS NOT NULL THEN raise_error(concat('broken document: ', left({BROKEN}, 200))) "
         f"WHEN ltrim(data) LIKE '[%' THEN from_json(data, '{text}', map('mode', 'FAILFAST')) END"
     )
-    return docs.selectExpr(f"inline({data})", *others).selectExpr(*typed(schema), *others)
+    listed = docs.selectExpr(f"posexplode({data}) AS ({PLACE_COLUMN}, record)", *others)
+    listed = listed.where("record IS NOT NULL").selectExpr("record.*", f"CAST({PLACE_COLUMN} AS BIGINT) AS {PLACE_COLUMN}", *others)
+    return listed.selectExpr(*typed(schema), PLACE_COLUMN, *others)
 
 
 def read_documents(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
@@ -81,15 +88,18 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType, multi_l
 
 
 def read_envelope(
-    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False, split: bool = True
 ) -> DataFrame:
     """Records under ``data``. A null, absent or non-list ``data`` gives no rows; a document that is
     cut off or no JSON, and a number that does not fit its column, fail the query.
 
-    One document per line is the form to land answers in, as such files can be split. With
-    ``multi_line`` a file is one document, read by one task.
+    One document per line is the form to land answers in. With ``multi_line`` a file is one document,
+    which many tasks read; ``split=False`` leaves it to one task, for documents with other objects
+    beside their data.
     """
-    return records(read_documents(spark, path, envelope_schema(), multi_line), schema)
+    if multi_line and split:
+        return read_whole(spark, path, schema).select(*schema.names)
+    return records(read_documents(spark, path, envelope_schema(), multi_line), schema).select(*schema.names)
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -114,8 +124,9 @@ class ParquetTables:
         self.root = root.rstrip("/")
         self.missing = check_missing(missing)
 
-    def _stored(self, name: str) -> DataFrame:
-        return self.spark.read.schema(stored_schema(name)).parquet(f"{self.root}/{name}")
+    def _stored(self, name: str, from_date: str, to_date: str) -> DataFrame:
+        stored = self.spark.read.schema(stored_schema(name)).parquet(f"{self.root}/{name}")
+        return in_period(stored, from_date, to_date)
 
     def fact(
         self,
@@ -125,29 +136,40 @@ class ParquetTables:
         category: str | None = None,
         storage_ids: Iterable[int] | None = None,
         columns: Iterable[str] | None = None,
+        placed: bool = False,
     ) -> DataFrame:
-        """``columns`` is a hint for readers that build a fact; here Catalyst prunes the scan."""
+        """``columns`` is a hint for readers that build a fact; here Catalyst prunes the scan.
+        ``placed`` adds the day and the place in the answer."""
+        if from_date != ALL_DAYS:
+            parse_period(from_date, to_date)
         try:
-            stored = self._stored(name)
+            stored = self._stored(name, from_date, to_date)
         except AnalysisException as error:
             if self.missing == "raise" or error.getCondition() != "PATH_NOT_FOUND":
                 raise
             stored = empty(self.spark, stored_schema(name))
-        df = narrow(in_period(stored, from_date, to_date), name, category, storage_ids)
-        return df.select(*FACTS[name].names)
+        df = narrow(stored, name, category, storage_ids)
+        return df.select(*FACTS[name].names, *(ORDER if placed else ()))
 
 
 class EnvelopeTables(ParquetTables):
-    """Facts landed as JSON envelopes, one directory per reported day."""
+    """Facts landed as JSON envelopes, one directory per reported day; ``multi_line`` and ``split`` as
+    for ``read_envelope``."""
 
-    def __init__(self, spark: SparkSession, root: str, multi_line: bool = False, missing: str = "raise"):
+    def __init__(
+        self, spark: SparkSession, root: str, multi_line: bool = False, missing: str = "raise", split: bool = True
+    ):
         super().__init__(spark, root, missing)
         self.multi_line = multi_line
+        self.split = split
 
-    def _stored(self, name: str) -> DataFrame:
-        schema = envelope_schema().add(PERIOD_COLUMN, T.DateType())
-        docs = read_documents(self.spark, f"{self.root}/{name}", schema, self.multi_line)
-        return records(docs, FACTS[name], PERIOD_COLUMN)
+    def _stored(self, name: str, from_date: str, to_date: str) -> DataFrame:
+        path, day = f"{self.root}/{name}", T.StructField(PERIOD_COLUMN, T.DateType())
+        if self.multi_line and self.split:
+            wanted = lambda df: in_period(df, from_date, to_date)
+            return read_whole(self.spark, path, FACTS[name], [day], wanted)
+        docs = read_documents(self.spark, path, envelope_schema().add(day), self.multi_line)
+        return records(in_period(docs, from_date, to_date), FACTS[name], PERIOD_COLUMN)
 
 
 class FrameTables:
@@ -162,7 +184,7 @@ class FrameTables:
         self.missing = check_missing(missing)
 
     def fact(
-        self, name, from_date, to_date, category=None, storage_ids=None, columns=None
+        self, name, from_date, to_date, category=None, storage_ids=None, columns=None, placed=False
     ) -> DataFrame:
         if from_date != ALL_DAYS:
             parse_period(from_date, to_date)
@@ -173,4 +195,6 @@ class FrameTables:
             df = empty(self.spark, FACTS[name])
         if PERIOD_COLUMN in df.columns:
             df = in_period(df, from_date, to_date)
+        if placed:
+            df = ensure_columns(df, {PLACE_COLUMN: "bigint", PERIOD_COLUMN: "date"})
         return narrow(df, name, category, storage_ids)
