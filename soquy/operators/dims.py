@@ -28,3 +28,13 @@ def upsert_storage(dim: DataFrame, pairs: DataFrame) -> DataFrame:
     merged = stored.join(pairs.withColumnRenamed("storage_name", "new"), "storage_id", "full")
     fill = f"known IS NULL OR ({is_blank('old')} AND new <> '')"
     return merged.selectExpr("storage_id", f"if({fill}, new, old) AS storage_name")
+
+
+def storage_changes(dim: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``upsert_storage`` that are new or have got a name: what is appended to a dimension
+    stored by versions."""
+    merged = upsert_storage(dim, pairs).withColumnRenamed("storage_name", "name")
+    stored = dim.selectExpr("storage_id AS stored_id", "storage_name AS old")
+    both = merged.join(stored, merged.storage_id == stored.stored_id, "left")
+    changed = both.where("stored_id IS NULL OR NOT (name <=> old)")
+    return changed.selectExpr("storage_id", "name AS storage_name")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from soquy.functions.nulls import constant
 from soquy.functions.text import dot_thousands
@@ -37,17 +39,72 @@ def page(df: DataFrame, order: str, number: int, size: int) -> DataFrame:
     return order_report(df, [order, *rest]).offset(number * size).limit(size)
 
 
+PART_COLUMN = "page_part"
+
+
+@dataclass(frozen=True)
+class Pages:
+    """A report kept for paging: ranges of its order, stored apart, and the rows of each.
+
+    A page reads and sorts only the ranges it lies in, and every page shows the same state of the
+    report. Nulls come last; the other columns break ties.
+    """
+
+    spark: SparkSession
+    path: str
+    schema: T.StructType
+    order: tuple[str, ...]
+    counts: tuple[int, ...]
+
+    def __len__(self) -> int:
+        return sum(self.counts)
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """Page ``number``, from 0; empty behind the last."""
+        first, before, chosen, skipped = number * size, 0, [], 0
+        for part, rows in enumerate(self.counts):
+            if before < first + size and before + rows > first:
+                if not chosen:
+                    skipped = before
+                chosen.append(part)
+            before += rows
+        stored = self.spark.read.schema(self.schema).parquet(self.path)
+        rows = stored.where(F.col(PART_COLUMN).isin(chosen)).drop(PART_COLUMN)
+        return order_report(rows, self.order).offset(max(0, first - skipped)).limit(size)
+
+
+def store_pages(df: DataFrame, order: Sequence[str], path: str, ranges: int | None = None) -> Pages:
+    """Bring the rows into ranges of their order, store these at a new path and count each.
+
+    The rows are not sorted here: the ranges hold about equally many, and a page sorts its own.
+    ``ranges`` is left to Spark by default.
+    """
+    columns = tuple(dict.fromkeys([*order, *df.columns]))
+    dealt = [] if ranges is None else [ranges]
+    ranged = df.repartitionByRange(*dealt, *[F.asc_nulls_last(c) for c in columns])
+    ranged = ranged.withColumn(PART_COLUMN, F.spark_partition_id())
+    ranged.write.mode("errorifexists").partitionBy(PART_COLUMN).parquet(path)
+    stored = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    found = dict(stored.groupBy(PART_COLUMN).count().collect())  # a number for each range
+    counts = tuple(found.get(k, 0) for k in range(max(found, default=-1) + 1))
+    return Pages(df.sparkSession, path, ranged.schema, columns, counts)
+
+
 def page_after(df: DataFrame, order: Sequence[str], after: Sequence | None, size: int) -> DataFrame:
-    """The next ``size`` rows in ascending order behind the row whose order columns are ``after``
-    (None: the first page). The order columns tell rows apart and hold no nulls; the cost does not
-    grow with the number of pages before."""
+    """The next ``size`` rows in ascending order, nulls last, behind the row whose order columns are
+    ``after`` (None: the first page). The order columns tell rows apart; the cost does not grow with
+    the number of pages before."""
     if after is not None:
         behind = [
-            " AND ".join([*(f"{c} = {constant(v)}" for c, v in zip(order[:k], after[:k], strict=True)), f"{order[k]} > {constant(after[k])}"])
+            " AND ".join([*(f"{c} <=> {constant(v)}" for c, v in zip(order[:k], after[:k], strict=True)), _later(order[k], after[k])])
             for k in range(len(order))
         ]
         df = df.where(" OR ".join(f"({b})" for b in behind))
-    return df.orderBy(*order).limit(size)
+    return order_report(df, order).limit(size)
+
+
+def _later(column: str, value) -> str:
+    return "false" if value is None else f"({column} > {constant(value)} OR {column} IS NULL)"
 
 
 def with_grand_total(

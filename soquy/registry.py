@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from soquy.functions.nulls import is_blank
+from soquy.functions.nulls import ensure_columns, is_blank
 from soquy.functions.text import (
     comma_thousands,
     date_text,
@@ -19,8 +19,8 @@ from soquy.functions.text import (
 )
 from soquy.operators.checks import row_totals
 from soquy.operators.filters import search_rows
-from soquy.operators.dims import new_members
-from soquy.operators.present import option_list, page, page_after, with_grand_total
+from soquy.operators.dims import new_members, storage_changes
+from soquy.operators.present import option_list, page, page_after, store_pages, with_grand_total
 from soquy.operators.setops import union_members, union_padded
 from soquy.operators.shape import CATEGORIES, CLASS_KEYS
 from soquy.operators.sums import distinct_members
@@ -28,8 +28,9 @@ from soquy.oracle import statements as sql
 from soquy.oracle.views import with_views
 from soquy.plans import deduction, exam, inventory, members, package, receivables, reconcile
 from soquy.plans import retail, revenue
-from soquy.sources.schemas import FACTS, PERIOD_COLUMN
+from soquy.sources.schemas import DIMENSIONS, FACTS, PERIOD_COLUMN
 from soquy.sources.sinks import store_dim, work_dir, write_dim, write_fact, write_report
+from soquy.sources.snapshots import SnapshotTables, land_fact, stage_fact
 from soquy.sources.star import StarTables
 from soquy.sources.tables import (
     ALL_DAYS,
@@ -38,6 +39,7 @@ from soquy.sources.tables import (
     ParquetTables,
     read_envelope,
 )
+from soquy.sources.versions import StaleVersion, append_members, append_version, read_members
 
 # A period that holds every row.
 ALWAYS = (ALL_DAYS, ALL_DAYS)
@@ -208,6 +210,111 @@ def _landed_periods(spark: SparkSession, folder: str) -> DataFrame:
     return as_plain(inventory.inventory_export(_landed_slips(spark, folder), "1996-01-01", "1997-12-31"))
 
 
+def _snapshot_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """All slips landed by snapshots, two years of them once more, then a landing that is lost before
+    its commit; these two years read."""
+    root = work_dir(spark)
+    slips = _with_report_date(StarTables(spark, folder), "inv_export", "expdate")
+    land_fact(slips.withColumn("stock_name", F.lit("old")), root, "inv_export")
+    land_fact(slips.where(F.year(PERIOD_COLUMN).isin(1996, 1997)), root, "inv_export")
+    stage_fact(slips.where(F.year(PERIOD_COLUMN) == 1996).limit(10), root, "inv_export")
+    return as_plain(inventory.inventory_export(SnapshotTables(spark, root), "1996-01-01", "1997-12-31"))
+
+
+def _department_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Departments appended twice from one base: one attempt is run again, the other one is refused,
+    made anew, and finds nothing missing."""
+    path, schema = work_dir(spark), DIMENSIONS["dim_department"]
+    t = StarTables(spark, folder)
+    base = append_version(_dim_department(t), path, 0)
+    dept = revenue.PERFORM_DEPT
+    rows = t.fact("detail_deduction", *ALWAYS, columns=[dept])
+    seen = distinct_members(rows, dept).withColumnRenamed(dept, "dept")
+    lacking = new_members(read_members(spark, path, schema, "dept", base), seen)
+    for attempt in ("first", "first", "second"):
+        try:
+            append_version(lacking, path, base, attempt)
+        except StaleVersion:
+            append_members(spark, path, schema, "dept", lambda dim: new_members(dim, seen))
+    return read_members(spark, path, schema, "dept")
+
+
+def _storage_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """A storage dimension by versions: stored, then what it lacked, twice."""
+    path, schema = work_dir(spark), DIMENSIONS["dim_storage"]
+    t = StarTables(spark, folder)
+    append_version(_dim_storage(t), path, 0)
+    pairs = members.storage_pairs(t, *ALWAYS)
+    for _ in range(2):
+        append_members(spark, path, schema, "storage_id", lambda dim: storage_changes(dim, pairs))
+    return read_members(spark, path, schema, "storage_id")
+
+
+class _Renamed(StarTables):
+    """Storages that are renamed each year."""
+
+    def fact(self, name, from_date, to_date, **narrowing) -> DataFrame:
+        df = super().fact(name, from_date, to_date, **narrowing)
+        if name == "inv_import" and PERIOD_COLUMN in df.columns:
+            df = df.withColumn("stock_name", F.expr(f"concat(stock_name, ' of ', 3000 - year({PERIOD_COLUMN}))"))
+        return df
+
+
+def _renamed_storages(spark: SparkSession, folder: str) -> DataFrame:
+    return members.storage_pairs(_Renamed(spark, folder), *ALWAYS)
+
+
+def _stored_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The third page of 50 documents, from a report kept for paging."""
+    df = as_plain(revenue.revenue_reconciliation(StarTables(spark, folder), *ALWAYS, ordered=False))
+    return store_pages(df, ["hfe_docno_1"], work_dir(spark), ranges=16).page(2, 50)
+
+
+def _stored_page_with_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    """Items without a class come last; a page that begins before and ends among them."""
+    keys = [*CLASS_KEYS, *revenue.ITEM_KEYS, "hfe_unit"]
+    df = as_plain(revenue.detail_revenue(StarTables(spark, folder), *ALWAYS, category="DT005", ordered=False))
+    return store_pages(df.select(*keys), ["hfe_unit", *CLASS_KEYS], work_dir(spark)).page(17, 100)
+
+
+WHOLE_DOCUMENT_RECORDS = 20_000
+_EVIL = ' }{"]' + chr(92)
+
+
+def _whole_documents(rows: DataFrame, path: str, per_document: int = WHOLE_DOCUMENT_RECORDS) -> None:
+    """Rows as documents of many records, one a file and a record a line; their number grows with the
+    rows."""
+    n = max(1, -(-rows.count() // per_document))
+    dealt = rows.withColumn("d", F.pmod(F.xxhash64(*rows.columns), F.lit(n)))
+    record = F.to_json(F.struct(*rows.columns))
+    lines = dealt.select("d", F.lit(1).alias("o"), record.alias("value"))
+    lines = lines.withColumn("value", F.concat(F.expr("if(row_number() OVER (PARTITION BY d ORDER BY value) = 1, '', ',')"), "value"))
+    ends = dealt.select("d").distinct()
+    head, tail = (ends.select("d", F.lit(o).alias("o"), F.lit(text).alias("value")) for o, text in ((0, '{"status": "{", "data": ['), (2, "]}")))
+    # the record without a comma is the first: '{' comes behind ','
+    order = [F.col("d"), F.col("o"), F.desc("value")]
+    lines.union(head).union(tail).repartition("d").sortWithinPartitions(*order).drop("o").write.partitionBy("d").text(path)
+
+
+def _whole_envelopes(spark: SparkSession, folder: str) -> DataFrame:
+    """Receivables as whole documents of many records, with braces and quotes in their texts, each
+    read by many tasks, and summed from there."""
+    root = work_dir(spark)
+    rows = StarTables(spark, folder).fact("ar", *ALWAYS)
+    _whole_documents(rows.withColumn("hd_cardno", F.concat("hd_cardno", F.lit(_EVIL))), root)
+    back = read_envelope(spark, root, FACTS["ar"], multi_line=True)
+    whole = F.col("hd_cardno").isNull() | F.endswith("hd_cardno", F.lit(_EVIL))
+    back = back.withColumn("thungan", F.when(whole, F.col("thungan")).otherwise("a card number was cut"))
+    return as_plain(receivables.detail_exemption(FrameTables(spark, {"ar": back}), *ALWAYS))
+
+
+def _retail_without_cost(spark: SparkSession, folder: str) -> DataFrame:
+    """Retail lines of an answer without the cost column, which then counts as 0."""
+    lines = StarTables(spark, folder).fact("revenue", *ALWAYS).drop("cogs_drug_retail")
+    lines = ensure_columns(lines, {"cogs_drug_retail": "decimal(18,2)", "revenue": "decimal(18,2)"}, 0)
+    return as_plain(retail.retail_revenue(FrameTables(spark, {"revenue": lines}), *ALWAYS))
+
+
 def _all_departments(t: StarTables) -> DataFrame:
     dept = F.concat(F.lit("K"), F.col("n_nationkey").cast("string")).alias("dept")
     return t.table("nation").select(dept, F.col("n_name").alias("dept_name"))
@@ -314,6 +421,10 @@ def _receivable_text(t: StarTables) -> DataFrame:
 
 _METHOD = "hfe_payment_method = 'CK'"
 _CASHIER = "thungan = 'Cashier_3'"
+_FIFTH = "hft_id2 = 'DT005'"
+_ITEM_ORDER = ["hfe_unit", *CLASS_KEYS, *revenue.ITEM_KEYS]
+_ITEM = ", ".join(_ITEM_ORDER)
+_AFTER = ["Nội trú", "Theo yêu cầu", "BHYT"]
 _SEARCHED = "lower(concat_ws(' ', kcb_class, price_type, object_type))"
 
 
@@ -600,6 +711,30 @@ def _queries() -> dict[str, Query]:
             _landed_periods,
             with_views(sql.exports("CAST(expdate AS DATE) BETWEEN '1996-01-01' AND '1997-12-31'")),
         ),
+        "snapshot_landed_periods": Query(
+            _snapshot_periods,
+            with_views(sql.exports("CAST(expdate AS DATE) BETWEEN '1996-01-01' AND '1997-12-31'")),
+        ),
+        "department_versions": Query(
+            _department_versions,
+            with_views(
+                sql.upsert("dim_department", "dept", sql.perform_seen("detail_deduction"), "dept_name")
+            ),
+        ),
+        "storage_versions": Query(_storage_versions, with_views(sql.STORAGES)),
+        "renamed_storages": Query(
+            _renamed_storages,
+            with_views(
+                sql.pairs(
+                    "(SELECT * REPLACE (stock_name || ' of ' || (3000 - year(report_date)) AS stock_name) FROM inv_import)"
+                )
+            ),
+        ),
+        "envelopes_in_whole_documents": Query(_whole_envelopes, with_views(sql.exemption())),
+        "retail_revenue_without_cost_column": Query(
+            _retail_without_cost,
+            with_views(sql.retail("(SELECT * REPLACE (CAST(0 AS DECIMAL(18,2)) AS cogs_drug_retail) FROM revenue)")),
+        ),
         "envelopes_of_many_records": Query(
             _fine_envelopes,
             with_views(
@@ -648,6 +783,23 @@ def _queries() -> dict[str, Query]:
             ),
             f"{sql.revenue_check()} ORDER BY hfe_docno_1 LIMIT 50 OFFSET 100",
         ),
+        "revenue_reconciliation_stored_page": Query(
+            _stored_page, with_views(f"{sql.revenue_check()} ORDER BY hfe_docno_1 LIMIT 50 OFFSET 100")
+        ),
+        "detail_revenue_stored_page": Query(
+            _stored_page_with_nulls,
+            with_views(
+                f"SELECT {_ITEM} FROM ({sql.items('detail_revenue', base=_FIFTH)}) i "
+                f"ORDER BY {', '.join(f'{c} NULLS LAST' for c in _ITEM_ORDER)} LIMIT 100 OFFSET 1700"
+            ),
+        ),
+        "retail_revenue_page_after": shown(
+            lambda t: page_after(retail.retail_revenue(t, *ALWAYS, ordered=False), CLASS_KEYS, _AFTER, 10),
+            f"SELECT * FROM ({sql.retail('revenue')}) r WHERE kcb_class > 'Nội trú' OR kcb_class IS NULL "
+            "OR (kcb_class = 'Nội trú' AND (price_type > 'Theo yêu cầu' OR price_type IS NULL)) "
+            "OR (kcb_class = 'Nội trú' AND price_type = 'Theo yêu cầu' AND (object_type > 'BHYT' OR object_type IS NULL)) "
+            "ORDER BY kcb_class NULLS LAST, price_type NULLS LAST, object_type NULLS LAST LIMIT 10",
+        ),
         "revenue_reconciliation_page_after": shown(
             lambda t: page_after(
                 revenue.revenue_reconciliation(t, *ALWAYS, ordered=False), ["hfe_docno_1"], ["150"], 50
