@@ -50,7 +50,11 @@ def likely_among(
 
 
 def attach_coarse(
-    fine: DataFrame, coarse: DataFrame, keys: Sequence[str], mode: str = "compat"
+    fine: DataFrame,
+    coarse: DataFrame,
+    keys: Sequence[str],
+    mode: str = "compat",
+    rows: DataFrame | None = None,
 ) -> DataFrame:
     """Put amounts known at a coarse key on the finer keys that share it.
 
@@ -58,10 +62,11 @@ def attach_coarse(
     on every finer key, ``exact`` puts it on the smallest one only. An amount without a finer key
     stays, with nulls. Only keys are shuffled, and of these only such as have an amount: the caller
     adds the result to its own measures as one more source, so no wide row takes part in the join.
+    ``rows`` are those ``coarse`` was summed from, whose keys can be told before they are summed.
     """
     if mode not in ("compat", "exact"):
         raise ValueError("mode must be compat or exact")
-    owners = likely_among(fine, coarse, keys).distinct()
+    owners = likely_among(fine, coarse if rows is None else rows, keys).distinct()
     if mode == "exact":
         rest = [c for c in fine.columns if c not in keys]
         smallest = aggregate(owners, keys, [f"min(struct({', '.join(rest)})) AS smallest"])

@@ -152,7 +152,7 @@ def _reconcile(
     deduction = _keyed(tables.fact("deduction", from_date, to_date, columns=wanted))
     per_invoice = sum_by(deduction, coarse, ["revenue"])
     owners = kind_rows(sources, fine).select(*fine)
-    attached = attach_coarse(owners, per_invoice, coarse, mode)
+    attached = attach_coarse(owners, per_invoice, coarse, mode, deduction)
     deducted = attached.selectExpr(*keys, f"'deduction' AS {KIND}", "revenue AS amount")
     sums = union_padded(
         sum_kinds(kind_rows(sources, keys), keys, list(RECEIVABLE_AMOUNTS)),
