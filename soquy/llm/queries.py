@@ -82,16 +82,17 @@ def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
             for text, starts, ends in zip(*(batch[c].to_pylist() for c in ("text", "span_starts", "span_ends")), strict=True):
                 raw = (text or "").encode()
                 kept = suffixes.kept_bytes(raw, starts, ends)
-                rows.append((len(raw), len(raw) - len(kept), len(starts), hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                left = suffixes.kept_text(text, starts, ends)
+                rows.append((len(raw), len(raw) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), left))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"],
             )
 
     return suffixes.with_spans(docs).mapInArrow(
-        digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
     )
 
 
