@@ -15,14 +15,17 @@ Without ``sample`` the targets come first: the probability is the cell's ratio o
 weight, scaled by one constant so that the largest is ``rate``, and the expected tokens stand in the
 target shares on every margin. The rarest cell then sets the size of the sample.
 
-* Only the cell table (distinct combinations of values) is raked; documents meet it in one join.
+* Only the cell table (distinct combinations of values) is raked; documents meet it in one join. A
+  cell table of at most ``TOGETHER`` rows is brought into one partition once, where no step of the
+  sweeps moves it again; a larger one is shuffled by each margin in turn. Both give the same weights.
 * A target is a share per value. Values without a target share keep weight 0 and are never drawn;
   targets of values without tokens are left out and the rest is rescaled to 1. Null is a value of
   its own. By default the target of a value is its natural share to the power ``temperature``.
 * Documents without tokens count nothing, have probability 0 and are not drawn. Repeated rows are
   drawn alike. An empty table gives an empty result.
-* Where the targets contradict each other (a cell pattern that cannot meet them all), the sweeps end
-  after ``rounds`` and the last margin is the one that is met.
+* The sweeps end when every margin is met, or when a sweep no longer changes any weight; where the
+  targets contradict each other (a cell pattern that cannot meet them all), after ``rounds`` at the
+  latest, and the last margin is the one that is met.
 """
 
 from __future__ import annotations
@@ -51,6 +54,10 @@ def topic_column(text_col: str = "text") -> Column:
     return F.expr(f"CASE {branches} ELSE 'prose' END")
 
 
+TOGETHER = 50_000
+"""Cells up to which the cell table is raked in one partition: some MB."""
+
+
 def one_number(df: DataFrame, column: Column) -> float:
     """An aggregate over all rows, 1 where there is none or nothing."""
     return float(df.agg(column).first()[0] or 1.0)
@@ -59,7 +66,8 @@ def one_number(df: DataFrame, column: Column) -> float:
 def natural_targets(cells: DataFrame, margin: str, temperature: float) -> DataFrame:
     """(margin, share): shares of tokens to the power of the temperature, scaled to 1."""
     sums = cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), temperature).alias("raw"))
-    return sums.select(margin, (F.col("raw") / one_number(sums, F.sum("raw"))).alias("share"))
+    whole = sums.agg(F.coalesce(F.sum("raw"), F.lit(1.0))).scalar()
+    return sums.select(margin, (F.col("raw") / whole).alias("share"))
 
 
 def level(df: DataFrame, room: str, part: str, total: float) -> float:
@@ -98,9 +106,13 @@ def rake(
         wanted = targets[margin].select(F.col(margin).alias("_value"), F.col("share").alias(f"_to_{margin}"))
         held = held.join(wanted, F.col(margin).eqNullSafe(F.col("_value")), "left").drop("_value")
         held = held.fillna(0.0, [f"_to_{margin}"])
-        present = one_number(held.groupBy(margin).agg(F.first(f"_to_{margin}").alias("share")), F.sum("share"))
+    held = stored(held)
+    for margin in margins:  # targets of the values that are there, to 1
+        values = held.groupBy(margin).agg(F.first(f"_to_{margin}").alias("share"))
+        present = values.agg(F.sum("share").alias("n")).select(F.when(F.col("n") > 0, F.col("n")).otherwise(1.0)).scalar()
         held = held.withColumn(f"_to_{margin}", F.col(f"_to_{margin}") / present)
     held = stored(held)
+    together = held.count() <= TOGETHER
     if sample is not None:
         for margin in margins:
             values = held.groupBy(margin).agg(F.sum(room).alias("room"), F.first(f"_to_{margin}").alias("share"))
@@ -109,18 +121,24 @@ def rake(
             held = held.withColumn(f"_to_{margin}", F.least(at_most, wanted))
         held = stored(held)
     for _ in range(rounds):
-        for _ in range(sweeps):
+        held = held.coalesce(1) if together else held
+        for k in range(sweeps):
+            if k == sweeps - 1:
+                held = held.withColumn("_before", F.col("weight"))
             for margin in margins:
                 now = F.sum("weight").over(Window.partitionBy(margin))
                 raked = F.when(now > 0, F.col("weight") * F.col(f"_to_{margin}") / now).otherwise(0.0)
                 held = held.withColumn("weight", raked if sample is None else F.least(room, raked))
-        held = stored(held)
         off = held
         for margin in margins:
             now = F.sum("weight").over(Window.partitionBy(margin))
             off = off.withColumn(f"_off_{margin}", F.abs(now - F.col(f"_to_{margin}")))
-        worst = off.agg(F.max(F.greatest(*(F.col(f"_off_{m}") for m in margins), F.lit(0.0)))).first()[0]
-        if worst is None or worst < tolerance:
+        off = stored(off)
+        worst = F.max(F.greatest(*(F.col(f"_off_{m}") for m in margins), F.lit(0.0)))
+        moved = F.max(F.abs(F.col("weight") - F.col("_before")) / room)
+        worst, moved = off.agg(worst, moved).first()
+        held = off.drop("_before", *(f"_off_{m}" for m in margins))
+        if worst is None or worst < tolerance or moved < tolerance:
             break
     if sample is not None:
         held = held.withColumn("room", room)
