@@ -300,7 +300,7 @@ def classes(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             flipped("u").alias("k"), F.least("u", "m").alias("m")
         )
         large = both.join(low, flipped("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u != v").distinct()
+        large = large.filter("u != v")
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(flipped("u").alias("k"), "m")
         met = large.join(low, flipped("u") == F.col("k"))
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v")))
@@ -412,7 +412,9 @@ def near_duplicates(
         keys = of_rows.groupBy("node").agg(F.min("text_key").alias("text_key"))
         keys = keys.join(ends, F.col("node") == F.col("of")).select("text_key")
         texts = rows.select("text", "text_key")
-        sets = wide.stored(whole_sets(texts, size, percent, level, marks_of(keys, "text_key")))
+        marks = marks_of(keys, "text_key")
+        sets = wide.stored(whole_sets(texts, size, percent, level, marks))
+        marks.destroy()
         found = scratch.stored(verified(pairs, sets, percent))
         wide.clear()
         return found
@@ -420,7 +422,9 @@ def near_duplicates(
     stars = shared.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     links = linked(scratch.stored(with_parities(stars, nodes).mapInArrow(near_enough(percent), PAIRS)))
     roots = classes(links, scratch)
-    roots = classes(links.union(linked(scratch.stored(cross_pairs(shared, roots, nodes, percent, scratch=scratch)))), scratch)
+    further = linked(scratch.stored(cross_pairs(shared, roots, nodes, percent, scratch=scratch)))
+    if not further.isEmpty():  # the classes so far are stars already
+        roots = classes(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(further), scratch)
     smallest_id = of_rows.groupBy("node").agg(F.min("id").alias("low"))
     rooted = smallest_id.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     rooted = scratch.stored(rooted.select("node", "low", F.coalesce("root", "node").alias("root")))
@@ -433,4 +437,5 @@ def near_duplicates(
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"),
     ))
     scratch.clear()
+    level.destroy()
     return result
