@@ -21,9 +21,11 @@ capture.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import zlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -154,36 +156,56 @@ def write_captures(
     return folder
 
 
-def parse_archive(data: bytes) -> Iterator[tuple]:
-    """The records of one archive, in the order of RECORDS."""
-    at, end = 0, len(data)
-    while at < end:
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8", "replace").split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        start = stop + 4
-        at = start + int(headers["content-length"])
-        block = data[start:at]
-        if len(block) < at - start or data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {start} is cut off")
-        at += 4
-        kind, payload, length, digest, fields = headers["warc-type"], None, None, None, None
+def headers_of(lines: list[str]) -> dict[str, str]:
+    """Header fields by name; a field that is repeated has its values joined by commas."""
+    fields: dict[str, str] = {}
+    for line in lines:
+        name, colon, value = line.partition(":")
+        if colon:
+            name, value = name.strip(), value.strip()
+            fields[name] = f"{fields[name]}, {value}" if name in fields else value
+    return fields
+
+
+def field(fields: dict[str, str], name: str) -> str | None:
+    return next((v for k, v in fields.items() if k.lower() == name), None)
+
+
+def parse_stream(stream: BinaryIO) -> Iterator[tuple]:
+    """The records of one archive, in the order of RECORDS, one after the other."""
+    while line := stream.readline():
+        if line in (b"\r\n", b"\n"):  # some writers leave more than two line ends
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at {line[:40]!r}")
+        lines = []
+        while (line := stream.readline().rstrip(b"\r\n")) != b"":
+            lines.append(line.decode("utf-8", "replace"))
+        headers = {k.lower(): v for k, v in headers_of(lines).items()}
+        if "content-length" not in headers:
+            raise ValueError(f"a record without a length: {headers.get('warc-record-id')}")
+        size = int(headers["content-length"])
+        block = stream.read(size)
+        if len(block) < size or stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"the record {headers.get('warc-record-id')} is cut off")
+        kind, payload, length, digest, fields = headers.get("warc-type"), None, None, None, None
         if kind in ("response", "revisit"):
-            top, _, body = block.partition(b"\r\n\r\n")
-            fields = dict(x.split(": ", 1) for x in top.decode("utf-8", "replace").split(CRLF)[1:])
+            top, body, fields = b"", block, {}
+            if headers.get("content-type", "").lower().startswith("application/http") or block.startswith(b"HTTP/"):
+                top, _, body = block.partition(b"\r\n\r\n")
+                fields = headers_of(top.decode("utf-8", "replace").split(CRLF)[1:])
             if kind == "response":
                 payload, length = body, len(body)
                 digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
             else:
-                length = int(fields["Content-Length"])
-                digest = headers["warc-payload-digest"].removeprefix("sha1:")
+                said = field(fields, "content-length")
+                length = int(said) if said and said.isdigit() else None
+                digest = (headers.get("warc-payload-digest") or "").rpartition(":")[2].upper() or None
         elif kind == "metadata":
-            fields = dict(x.split(": ", 1) for x in block.decode("utf-8", "replace").split(CRLF) if x)
+            fields = headers_of(block.decode("utf-8", "replace").splitlines())
         yield (
             kind,
-            headers["warc-record-id"],
+            headers.get("warc-record-id"),
             headers.get("warc-concurrent-to"),
             headers.get("warc-target-uri"),
             headers.get("warc-date"),
@@ -195,9 +217,20 @@ def parse_archive(data: bytes) -> Iterator[tuple]:
         )
 
 
+def parse_archive(data: bytes) -> Iterator[tuple]:
+    """The records of an archive, as it is or compressed: as a whole, or each record by itself."""
+    stream = io.BytesIO(data)
+    return parse_stream(io.BufferedReader(gzip.GzipFile(fileobj=stream)) if data[:2] == b"\x1f\x8b" else stream)
+
+
 def read_records(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """One row per record of all archives in a folder. Without ``payloads`` they are digested where
-    they are read and left there."""
+    """One row per record of all archives in a folder (``.warc``, ``.warc.gz``, ``.gz``). Without
+    ``payloads`` they are digested where they are read and left there.
+
+    Archives are read record by record, so a task holds one archive as it is stored and some MB of
+    records. Fields that a record lacks are null; the payload of a response that is no HTTP (``dns:``)
+    is its whole block. An archive that is cut off fails.
+    """
     names = [x.split()[0] for x in RECORDS.split(", ")]
     kinds = [pa.string()] * 7 + [pa.int64(), pa.binary(), pa.map_(pa.string(), pa.string())]
 
@@ -209,7 +242,7 @@ def read_records(spark: SparkSession, folder: str, payloads: bool = True) -> Dat
         for files in batches:
             for content in files["content"]:
                 rows, size = [], 0
-                for row in parse_archive(zlib.decompress(content.as_buffer(), wbits=47)):
+                for row in parse_archive(content.as_buffer().to_pybytes()):
                     rows.append(row if payloads else (*row[:8], None, row[9]))
                     size += len(rows[-1][8] or b"") + 200
                     if size > 4 << 20:
@@ -218,7 +251,7 @@ def read_records(spark: SparkSession, folder: str, payloads: bool = True) -> Dat
                 if rows:
                     yield batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(folder)
     return files.select("content").mapInArrow(run, RECORDS)
 
 
