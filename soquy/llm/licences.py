@@ -3,10 +3,14 @@
 A table of known licence sentences gives each an identifier; a rule is the ordered sequence of
 sentence identifiers of a licence. A text is cut into sentences, each is normalised to its lower-case
 words and looked up, and what is recognised is a sequence of identifiers with places. A rule matches
-where its identifiers occur in order, with at most ``gap`` characters between one and the next.
+where its identifiers occur in order, with at most ``gap`` characters between one and the next: of the
+occurrences of an identifier, the first from which the rest of the rule can be reached is taken.
 
 * Sentences end at sentence marks before white space, at semicolons and colons, and at empty lines;
-  a line is also tried by itself, so that a licence line within running text is found.
+  a line is also tried by itself, so that a licence line within running text is found. Sentences are
+  compared by their words, whatever stands between these and however long the sentence is.
+* A tag ``SPDX-License-Identifier: <id>`` is two sentences, the second one the identifier; it names
+  one identifier of the table (an expression of several is not read).
 * Sentences and rules are parameters; the default tables are fixed and small, so they travel with
   the tasks. Rules are tried at every occurrence of their first sentence; of the matches of
   one start the longest is kept, and a match within another of the same text is left out.
@@ -59,7 +63,30 @@ SENTENCES = {
     "cc-by-name": "Licensed under CC BY 4.0.",
     "cc-by-sa-name": "Licensed under CC BY-SA 4.0.",
     "cc0-name": "Released under CC0 1.0.",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "mpl-copy-2": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "lgpl-free": "This library is free software;",
+    "lgpl3-redistribute": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+    "published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    "lgpl21-redistribute": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+    "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl3-redistribute": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+    "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and "
+    "to alter it and redistribute it freely, subject to the following restrictions:",
+    "boost-name": "Distributed under the Boost Software License, Version 1.0.",
+    "spdx-tag": "SPDX-License-Identifier:",
 }
+# Identifiers of the SPDX list that a tag may name.
+SPDX = (
+    "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 "
+    "CC0-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC "
+    "LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-2.0 Unlicense Zlib"
+).split()
+SENTENCES |= {f"spdx-{name}": name for name in SPDX}
+TAG_GAP = 40
+"""Characters between a tag and the identifier it names."""
 # Rules as (licence, ordered sentence identifiers).
 RULES = (
     ("MIT", ("mit-name",)),
@@ -77,6 +104,15 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-name",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-name",)),
     ("CC0-1.0", ("cc0-name",)),
+    ("MPL-2.0", ("mpl-copy",)),
+    ("MPL-2.0", ("mpl-copy-2",)),
+    ("LGPL-3.0-or-later", ("lgpl-free", "lgpl3-redistribute")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl21-redistribute")),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl3-redistribute")),
+    ("Unlicense", ("unlicense",)),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("boost-name",)),
+    *((name, ("spdx-tag", f"spdx-{name}")) for name in SPDX),
 )
 MATCH = "array<struct<licence:string,first:int,last:int,sentences:int>>"
 WORD = re.compile(r"\w+")
@@ -106,13 +142,13 @@ class Scanner:
             a, b = list(pieces(sentence))[-1]
             self.known.setdefault(normalised(sentence[a:b]), []).append(name)
         self.rules, self.gap = rules, gap
-        self.longest = max(map(len, self.known), default=0)
-        words = [set(k.split()) for k in self.known]
-        self.signs = self.cover(words)
+        # a text has a match only with a word of the longest sentence of some rule
+        telling = {max((normalised(sentences[n]) for n in sequence), key=len) for _, sequence in rules}
+        self.signs = self.cover([set(k.split()) for k in sorted(telling)])
 
     @staticmethod
     def cover(sentences: list[set[str]]) -> list[str]:
-        """A few words of which each known sentence has at least one, long ones first."""
+        """A few words of which each sentence has at least one, long ones first."""
         chosen: list[str] = []
         left = [s for s in sentences if s]
         while left:
@@ -138,9 +174,8 @@ class Scanner:
                 bounds += [(line_at + a, line_at + b) for a, b in pieces(line)]
             line_at += len(line) + 1
         for a, b in bounds:
-            if b - a < 4 * self.longest + 40:
-                for name in self.known.get(normalised(text[a:b]), ()):
-                    found.setdefault(name, set()).add((a, b))
+            for name in self.known.get(normalised(text[a:b]), ()):
+                found.setdefault(name, set()).add((a, b))
         return {name: sorted(places) for name, places in found.items()}
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, int]]:
@@ -149,15 +184,15 @@ class Scanner:
             return []
         found = []
         for licence, sequence in self.rules:
-            for first, end in places.get(sequence[0], ()):
-                for name in sequence[1:]:
-                    later = places.get(name, ())
-                    k = bisect_left(later, (end, -1))
-                    if k == len(later) or later[k][0] - end > self.gap:
-                        break
-                    end = later[k][1]
-                else:
-                    found.append((first, -end, licence, len(sequence)))
+            # from the last sentence back: places from which the rule can be ended, and where it then ends
+            reach = [(a, b, b) for a, b in places.get(sequence[-1], ())]
+            for name in reversed(sequence[:-1]):
+                later, reach = reach, []
+                for a, b in places.get(name, ()):
+                    k = bisect_left(later, (b, -1, -1))
+                    if k < len(later) and later[k][0] - b <= (TAG_GAP if name == "spdx-tag" else self.gap):
+                        reach.append((a, b, later[k][2]))
+            found += [(first, -end, licence, len(sequence)) for first, _, end in reach]
         kept, reach = [], -1
         for first, end, licence, n in sorted(set(found)):
             if -end > reach:
