@@ -10,7 +10,11 @@ The minimum cut separates content from boilerplate; blocks on the content side m
 * Blocks whose terminal capacity outweighs all their edges keep their side in some minimum cut, so
   they are settled first; the maximum flow runs over what is left.
 * Comments, declarations, the head, scripts, styles and the like have no text. A tag or comment cut
-  off at the end of the page is dropped; elements left open end with the page.
+  off at the end of the page is dropped; elements left open end with the page. Drawings, players and
+  choice lists (``SKIPPED``) are left out with what they hold if they are closed; of one that is not,
+  only the tag is. Formulas keep their text.
+* Time is linear in the page, however deep its elements are nested; only the flow over blocks that
+  are not settled takes longer.
 * Character references are decoded, white space in a block (line breaks included) becomes one space,
   blocks are trimmed, empty ones dropped, and the rest joined by line ends in page order.
 * A null or empty page has an empty text. Pages are independent of each other, so repeated rows get
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +37,8 @@ from pyspark.sql import functions as F
 ADDED = ("text", "n_chars")
 
 # Element names by what they mean for a page, and words in class and id attributes.
-SILENT = frozenset("script style noscript template iframe object svg math canvas audio video title textarea select".split())
+SILENT = frozenset("script style noscript iframe title textarea".split())
+SKIPPED = frozenset("template object svg canvas audio video select".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section "
@@ -53,6 +59,12 @@ OUT_WORDS = frozenset(
     "subscription toolbar widget widgets".split()
 )
 IN_WORDS = frozenset("article content entry main maincontent post story".split())
+# Parts of a class or id that say where or in what form something stands, not what it is.
+FORM_WORDS = frozenset(
+    "area articles bar block body bottom box button buttons col column container desktop fixed form group header icon icons id "
+    "inner item items large latest layer left link links list mobile module more news outer page panel popular posts readers right "
+    "row section site slot small sticky text title top unit user users wrap wrapper zone".split()
+)
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S
@@ -63,13 +75,25 @@ SPACE = re.compile(r"\s+")
 
 SETTLED = 1_000
 LIKELY = 300
+UNLIKELY = 20
 NEAR = 60
 
 
+@dataclass(slots=True)
+class Place:
+    """A container of the page, by its parent."""
+
+    tag: str
+    parent: Place | None
+    depth: int
+    bias: int
+    inside: bool
+
+
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[int, ...]
+    place: Place
     bias: int
     kind: str
     linked: int
@@ -95,18 +119,25 @@ def signal(tag: str, attributes: str, inside_main: bool) -> int:
         return -SETTLED
     if found.get("aria-hidden") == "true" or re.search(r"(^|\s)hidden(\s|=|$)", re.sub(ATTRIBUTE, " ", attributes)):
         return -SETTLED
-    parts = {p.lower() for p in NAME_PART.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-    if parts & OUT_WORDS:
+    names = [[p.lower() for p in NAME_PART.findall(n)] for n in f"{found.get('class', '')} {found.get('id', '')}".split()]
+    parts = {p for name in names for p in name}
+    if not parts & OUT_WORDS:
+        return LIKELY // 2 if parts & IN_WORDS else 0
+    # a name that is made of such words alone tells; one among others ("social-history") only hints
+    plain = OUT_WORDS | FORM_WORDS | IN_WORDS
+    if any(OUT_WORDS.intersection(name) and plain.issuperset(name) for name in names):
         return -LIKELY * 2
-    return LIKELY // 2 if parts & IN_WORDS else 0
+    return -UNLIKELY
 
 
 def page_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # tag, number, bias, inside main
+    here = Place("", None, 0, 0, False)
+    opened: dict[str, int] = {}
+    ends: dict[str, list[tuple[int, int]]] = {}
     held: list[str] = []
-    links = linked = numbers = at = 0
+    links = linked = at = 0
     kind = ""
 
     def close() -> None:
@@ -114,9 +145,17 @@ def page_blocks(page: str) -> list[Block]:
         if held:
             text = SPACE.sub(" ", html.unescape("".join(held))).strip()
             if text:
-                blocks.append(Block(text, tuple(s[1] for s in stack), stack[-1][2], kind, linked))
+                blocks.append(Block(text, here, here.bias, kind, linked))
         held, linked = [], 0
 
+    def skipped(tag: str, at: int) -> int:
+        """The end of an element that began before ``at``, or ``at`` where it is never closed."""
+        if tag not in ends:  # all tags of that name, once for the page
+            marks = re.finditer(rf"<(/?){re.escape(tag)}\b[^>]*(>|$)", page, re.I)
+            ends[tag] = matched([(m.start(), m.end(), m[1] == "/") for m in marks], tag != "select")
+        k = bisect_left(ends[tag], (at, -1))
+        return ends[tag][k][1] if k < len(ends[tag]) and ends[tag][k][0] == at else at
+
     end = len(page)
     while at < end:
         m = TOKEN.search(page, at)
@@ -139,6 +178,8 @@ def page_blocks(page: str) -> list[Block]:
         elif tag in SILENT and not closing and not m[3].endswith("/"):
             found = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.I).search(page, at)
             at = found.end() if found else end
+        elif tag in SKIPPED and not closing and not m[3].endswith("/"):
+            at = skipped(tag, at)
         elif tag == "head" and not closing:
             found = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
             at = found.start() if found else at
@@ -147,21 +188,23 @@ def page_blocks(page: str) -> list[Block]:
             kind = "" if closing else tag
             if tag in CONTAINERS or tag == "button":
                 if closing:
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if stack[depth][0] == tag:
-                            del stack[depth:]
-                            break
+                    if opened.get(tag):
+                        while (left := here.tag) and here.parent:
+                            here = here.parent
+                            opened[left] -= 1
+                            if left == tag:
+                                break
                 else:
-                    numbers += 1
-                    _, _, outer, inside = stack[-1]
-                    own = signal(tag, m[3], inside)
+                    outer = here.bias
+                    own = signal(tag, m[3], here.inside)
                     if outer <= -SETTLED or not own:
                         bias = outer
                     elif tag in MAIN or own < 0:
-                        bias = own
+                        bias = min(own, outer) if own == -UNLIKELY else own
                     else:
                         bias = outer if outer < 0 else max(outer, own)
-                    stack.append((tag, numbers, bias, inside or tag in MAIN))
+                    here = Place(tag, here, here.depth + 1, bias, here.inside or tag in MAIN)
+                    opened[tag] = opened.get(tag, 0) + 1
     close()
     return blocks
 
@@ -177,14 +220,30 @@ def content_score(block: Block) -> int:
     return score
 
 
+def matched(marks: list[tuple[int, int, bool]], nested: bool) -> list[tuple[int, int]]:
+    """(end of the opening tag, end of the closing tag) of the elements that are closed, in order;
+    an element that cannot hold one of its kind ends before the next."""
+    open_, found = [], []
+    for start, end, closing in marks:
+        if closing:
+            if open_:
+                found.append((open_.pop(), end))
+        else:
+            if not nested:
+                open_.clear()
+            open_.append(end)
+    return sorted(found)
+
+
 def smoothness(a: Block, b: Block) -> int:
-    """Weaker with the number of steps between the two containers in the tree."""
-    common = 0
-    for x, y in zip(a.path, b.path):  # noqa: B905
-        if x != y:
-            break
-        common += 1
-    return NEAR // (1 + len(a.path) + len(b.path) - 2 * common)
+    """Weaker with the number of steps between the two containers in the tree; nothing beyond NEAR."""
+    x, y, steps = a.place, b.place, 0
+    while x is not y and steps < NEAR:
+        if x.depth >= y.depth:
+            x, steps = x.parent, steps + 1
+        else:
+            y, steps = y.parent, steps + 1
+    return NEAR // (1 + steps) if x is y else 0
 
 
 def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -263,10 +322,10 @@ def main_text(page: str | None) -> str:
     for k, block in enumerate(blocks):
         if k:
             edges.append((k - 1, k, smoothness(blocks[k - 1], block)))
-        before = last_in.get(block.path)
+        before = last_in.get(id(block.place))
         if before is not None and before < k - 1:
             edges.append((before, k, smoothness(blocks[before], block)))
-        last_in[block.path] = k
+        last_in[id(block.place)] = k
     sides = minimum_cut([content_score(b) for b in blocks], edges)
     return "\n".join(b.text for b, inside in zip(blocks, sides, strict=True) if inside)
 

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import itertools
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -134,3 +135,89 @@ def test_minimum_cut():
 
         best = min(cost(side) for side in itertools.product([False, True], repeat=n))
         assert cost(mincut.minimum_cut(scores, edges)) == best
+
+
+def written(kind, block, *headers):
+    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{kind}>", *headers, f"Content-Length: {len(block)}"]
+    return ("WARC/1.0\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def elsewhere():
+    """An archive as other writers have it."""
+    http = "Content-Type:application/http;msgtype=response"
+    return [
+        written("warcinfo", b"software: x\r\n"),
+        written("request", b"GET / HTTP/1.1\r\nHost:a\r\n\r\n", "WARC-Concurrent-To:<response>"),
+        written("response", b"HTTP/1.1 200 OK\r\nServer:nginx\r\nSet-Cookie: a\r\nSet-Cookie: b: c\r\nodd\r\n\r\nbody\r\n\r\nmore", http),
+        written("revisit", b"HTTP/1.1 200 OK\r\nServer: nginx\r\n\r\n", http, "WARC-Payload-Digest: sha1:abc"),
+        written("revisit", b""),
+        written("response", b"20240101\r\n\r\na. 1 IN A 1.2.3.4", "Content-Type: text/dns", "WARC-Target-URI: dns:a"),
+        written("metadata", b"a: 1\nb:2: 3\n", "WARC-Concurrent-To: <response>"),
+    ]
+
+
+def test_archives_from_elsewhere(spark, tmp_path):
+    records = elsewhere()
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "each.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "notes.txt").write_text("no archive")
+    rows = warc.read_records(spark, str(tmp_path)).collect()
+    assert len(rows) == 3 * len(records)
+    kinds = Counter((r["record_type"], r["payload_bytes"], bytes(r["payload"]) if r["payload"] is not None else None) for r in rows)
+    assert kinds[("response", 12, b"body\r\n\r\nmore")] == kinds[("response", 29, b"20240101\r\n\r\na. 1 IN A 1.2.3.4")] == 3
+    assert kinds[("revisit", None, None)] == 6
+    fields = [r["fields"] for r in rows if r["payload"] is not None and bytes(r["payload"]).startswith(b"body")]
+    assert fields == [{"Server": "nginx", "Set-Cookie": "a, b: c"}] * 3
+    assert {r["payload_digest"] for r in rows if r["record_type"] == "revisit"} == {"ABC", None}
+    assert [r["fields"] for r in rows if r["record_type"] == "metadata"] == [{"a": "1", "b": "2: 3"}] * 3
+    (tmp_path / "each.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records)[:-9])
+    with pytest.raises(Exception):  # noqa: B017
+        warc.read_records(spark, str(tmp_path)).collect()
+
+
+LONG = "This is a sentence of an article that has a good number of words in it, as they have."
+
+
+@pytest.mark.parametrize("tag", ["select", "canvas", "svg", "video", "object", "template"])
+def test_elements_that_are_left_open_cost_their_tag_only(tag):
+    page = f"<body><article><p>{LONG}</p><{tag} class=x><p>{LONG} Two.</p></article><p>{LONG} Three.</p></body>"
+    assert f"{LONG} Two." in mincut.main_text(page)
+    closed = f"<body><article><p>{LONG}</p><{tag}><p>gone</p></{tag}><p>{LONG} Two.</p></article></body>"
+    assert mincut.main_text(closed) == f"{LONG}\n{LONG} Two."
+    twice = f"<body><article><{tag}><p>{LONG}</p><{tag}>gone</{tag}><p>{LONG} Two.</p></article></body>"
+    assert mincut.main_text(twice) == f"{LONG}\n{LONG} Two."
+
+
+def test_formulas_keep_their_text():
+    page = f"<article><p>{LONG} Here <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>"
+    assert mincut.main_text(page) == f"{LONG} Here x=1 holds."
+
+
+@pytest.mark.parametrize("name", ["social-history", "share-prices", "comment-on-a-law", "adHoc"])
+def test_articles_are_not_lost_by_a_part_of_a_name(name):
+    page = f'<body><main><div class="{name}"><p>{LONG}</p><p>{LONG} Two.</p></div></main><p>{LONG} Three.</p></body>'
+    assert f"{LONG}\n{LONG} Two." in mincut.main_text(page)
+
+
+@pytest.mark.parametrize("name", ["comments", "commentList", "user-comments", "ad-slot", "related_posts", "cookie-banner box", "newsletter-form"])
+def test_boilerplate_by_its_name(name):
+    page = f'<body><main><p>{LONG}</p><div class="{name}"><p>{LONG} Two.</p></div></main></body>'
+    assert mincut.main_text(page) == LONG
+
+
+def test_articles_without_an_article_element():
+    rng = random.Random(9)
+    for _ in range(20):
+        n = rng.randint(2, 6)
+        body = "".join(f"<{t}>{LONG} {k}.</{t}>" for k in range(n) for t in [rng.choice(["p", "div", "blockquote"])])
+        links = "".join(f"<li><a href=x>Link {k}</a></li>" for k in range(12))
+        page = f"<body><div class=top-bar><ul>{links}</ul></div><div>{body}</div><div><ul>{links}</ul></div><div id=footer>(c) {LONG}</div></body>"
+        assert mincut.main_text(page) == "\n".join(f"{LONG} {k}." for k in range(n))
+
+
+@pytest.mark.parametrize("opening", ["<div>x", "<div><p>word and word", "<section>", "<ul><li>a", "<select>x", "<svg>", "</div>"])
+def test_deep_and_broken_pages_take_linear_time(opening):
+    begun = time.perf_counter()
+    mincut.main_text(opening * 20_000 + "</section>" * 2_000)
+    assert time.perf_counter() - begun < 2

@@ -414,6 +414,84 @@ def test_pipeline_stages(spark, folder):
     assert kept[0] < len(rows) and kept[-1] > 0
 
 
+def licence_names(text, gap=2_000):
+    return [m[0] for m in licences.Scanner(licences.SENTENCES, licences.RULES, gap).scan(text)]
+
+
+def test_licences_whatever_stands_between_their_words():
+    assert licence_names(f"Released under{' ' * 1800}the MIT License.") == ["MIT"]
+    assert licence_names("// SPDX-License-Identifier: MPL-2.0\nint x;") == ["MPL-2.0"]
+    assert licence_names("SPDX-License-Identifier: nothing. " + "word " * 20 + "\nMIT\n") == []
+
+
+def test_rules_reach_any_later_sentence():
+    a, b, c = (licences.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary"))
+    fill = " " + "word " * 300 + ".\n"
+    assert licence_names(a + "\n" + b + fill + b + fill + c) == ["BSD-2-Clause"]
+    assert licence_names(a + "\n" + b + fill + fill + fill + c) == []
+
+
+def brute_rules(sequence, rules, gap):
+    """All chains, tried one by one, over (identifier, place) of sentences 10 long."""
+    found = set()
+    for licence, wanted in rules:
+        def go(k, end, first):
+            if k == len(wanted):
+                found.add((first, end, licence, len(wanted)))
+                return
+            for name, at in sequence:
+                if name == wanted[k] and (k == 0 or end <= at <= end + gap):
+                    go(k + 1, at + 10, at if k == 0 else first)
+        go(0, 0, 0)
+    kept, reach = [], -1
+    best = {}
+    for first, end, licence, n in found:
+        best[(first, licence, n)] = min(end, best.get((first, licence, n), end))
+    for first, end, licence, n in sorted((f, -e, l, n) for (f, l, n), e in best.items()):
+        if -end > reach:
+            kept.append((licence, first, -end, n))
+            reach = -end
+    return kept
+
+
+def test_rules_against_all_chains():
+    rng = np.random.default_rng(6)
+    rules = (("x", ("a", "b", "c")), ("y", ("b", "a")), ("z", ("c",)))
+    scanner = licences.Scanner({n: f"sentence {n}." for n in "abc"}, rules, 25)
+    for _ in range(200):
+        at, sequence = 0, []
+        for _ in range(rng.integers(1, 9)):
+            at += int(rng.integers(10, 40))
+            sequence.append(("abc"[rng.integers(0, 3)], at))
+        places = {n: [(p, p + 10) for m, p in sequence if m == n] for n in "abc"}
+        scanner.recognised = lambda text, places=places: {n: p for n, p in places.items() if p}
+        assert scanner.scan("text") == brute_rules(sequence, rules, 25)
+
+
+def test_raked_weights_meet_the_margins_as_plain_sweeps_do(spark):
+    rng = np.random.default_rng(3)
+    cells = [(a, b, int(rng.integers(1, 500))) for a in "pqr" for b in "uvwx" if rng.random() < 0.9]
+    table = spark.createDataFrame(cells, "m string, k string, tokens long")
+    targets = {"m": {"p": 0.2, "q": 0.5, "r": 0.3}, "k": {"u": 0.1, "v": 0.2, "w": 0.3, "x": 0.4}}
+    given = {n: spark.createDataFrame(list(t.items()), f"{n} string, share double") for n, t in targets.items()}
+    weights = {(a, b): n / sum(c[2] for c in cells) for a, b, n in cells}
+    for _ in range(400):
+        for place, name in enumerate(("m", "k")):
+            for value, share in targets[name].items():
+                now = sum(w for key, w in weights.items() if key[place] == value)
+                for key in weights:
+                    if key[place] == value:
+                        weights[key] *= share / now
+    for together in (mixing.TOGETHER, 0):
+        kept, mixing.TOGETHER = mixing.TOGETHER, together
+        try:
+            found = {(r["m"], r["k"]): r["weight"] for r in mixing.rake(table, ["m", "k"], given).collect()}
+        finally:
+            mixing.TOGETHER = kept
+        assert found.keys() == weights.keys()
+        assert max(abs(found[key] - weights[key]) for key in weights) < 1e-5
+
+
 @pytest.mark.parametrize("name", ["op2_jaccard_join", "op4_mixing_weights", "op5_suffix_array_dedup", "op6_licence_rules", "op7_language_backoff", "op8_positional_index", "op10_quality_rules"])
 def test_empty_tables(spark, nothing, name):
     assert queries.QUERIES[name](spark, nothing).count() == 0
