@@ -54,6 +54,13 @@ class Scratch:
         self.tables = []
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, so that few texts are held twice."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]

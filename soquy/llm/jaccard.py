@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soquy.llm.common import Scratch, chunks, mix, stored, text_bytes, words
+from soquy.llm.common import Scratch, chunks, mix, slices, stored, text_bytes, words
 
 ORDERS = 3
 CELLS = 1 << 20
@@ -75,7 +75,7 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
 
 def sets_of(batches: Iterator[pa.RecordBatch], size: int):
     """(batch, first row, n-grams, bounds) for chunks of the texts of all batches."""
-    for batch in batches:
+    for batch in slices(batches):
         texts = text_bytes(batch["text"])
         for first, end in chunks([len(t) for t in texts]):
             yield batch, first, *shingle_sets(texts[first:end], size)

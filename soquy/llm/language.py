@@ -31,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soquy.llm.common import Scratch
+from soquy.llm.common import Scratch, slices
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -68,7 +68,7 @@ def tally(counts: Counter) -> pa.RecordBatch:
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by_lang: dict[str, Counter] = {}
-    for batch in batches:
+    for batch in slices(batches):
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
             held = by_lang.setdefault(lang, Counter())
             held.update(WORD.findall(text.lower()))
@@ -236,7 +236,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(LanguageModel(**sent.value))
-        for batch in batches:
+        for batch in slices(batches):
             found = [scorer.predict(text) for text in batch[text_col].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch[c] for c in keep), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
