@@ -1,117 +1,283 @@
-"""Benchmark decontamination over a positional inverted index.
+"""Benchmark decontamination over a stored positional inverted index.
 
-The texts are dealt over the tasks; each task indexes its texts, a chunk at a time: the postings of
-a term are the positions of its occurrences, over all texts of the chunk. Windows of ``size``
-consecutive benchmark words are looked up by the posting list of their rarest term (by its count over
-all texts), shifted by its offset in the window; the further terms, up to the most frequent, are checked
-at their positions, and the search ends when no start is left. The index is not stored. What is left
-are exact phrase matches. ``proximity_matches`` looks for the ``rarest`` terms of
-an item within a given number of words, in any order.
+``PositionalIndex`` stores the postings of all terms of all texts: one row per term and segment (the
+texts of a task, about ``segment_bytes`` of them at a time) with the positions of its occurrences, dealt by
+term and sorted by it, so that Parquet finds a term without reading the others. A row of its own per
+segment says which text begins at which position. Texts leave one position free behind them, so
+consecutive positions never cross texts.
+
+A search joins each window of ``size`` consecutive benchmark words with the postings of its rarest
+term (by its count over all texts); in the segments that have it, the list is shifted by the term's
+offset and intersected with the shifted lists of the other terms, from the rarest on. What is left
+are exact phrase matches. ``proximity`` looks for the ``rarest`` terms of an item within a given
+number of words, in any order, on the same lists.
 
 * Words are runs of ASCII letters and digits and of all bytes outside ASCII; A-Z count as a-z. Null
-  has no words. A match never crosses texts.
-* An item of fewer words than a window, but not none, is one window.
-* The benchmark's windows are sent to all tasks in parts of about ``part_windows`` windows; the
-  texts pass through one part after the other. The driver holds all parts, so it bounds the benchmark.
+  has no words. A match never crosses texts. Terms are kept as 64-bit hashes.
+* An item of fewer words than a window, but not none, is one window. Items without id or text count
+  for nothing; an empty benchmark hits nothing.
+* Windows, counts and lists stay in Spark tables. A task holds the benchmark's lists of one segment
+  and the lookups of one part of about ``part_windows`` windows there.
 * Items with equal windows all count; a repeated item_id counts once. Every row of the texts gets
   its own result, repeated ones too; columns of the names in ``ADDED`` are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soquy.llm.common import chunks, merged, text_bytes, words
+from soquy.llm.common import Scratch, chunks, hidden, merged, slices, spans, text_bytes, words
 
 ADDED = ("n_words", "hit_starts", "hit_ends", "items")
 FAR = 1 << 40
 WORD_BYTES = np.array([b > 0x7F or chr(b).isalnum() for b in range(256)])
+SEGMENT_BYTES = 1 << 23
+GROUPED_SEGMENTS = 6
+"""The postings of a term in 2**6 segments of a task are stored side by side."""
+STARTS = 1 << 20
+"""Places that are looked at in one go."""
+POSTING = "segment long, term long, n int, positions array<int>, rows array<long>"
+
+
+def term_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of several texts as hashes, and the number of the text each belongs to."""
+    hashed, owners = [], []
+    for first, end in chunks([len(t) for t in texts]):
+        terms, _, _, owner = words(texts[first:end], WORD_BYTES)
+        hashed.append(terms.view(np.int64))
+        owners.append(owner + first)
+    return np.concatenate([np.zeros(0, np.int64), *hashed]), np.concatenate([np.zeros(0, np.int64), *owners])
+
+
+def segment_postings(segment: int, rows: list[int], terms: list[np.ndarray]) -> pa.RecordBatch:
+    """Posting lists of one segment, and the row that tells where each text begins; the last of its
+    positions is the end of the segment."""
+    firsts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in terms]))).astype(np.int32)
+    joined = np.concatenate(terms)
+    at = np.arange(len(joined)) + np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+    order = np.argsort(joined, kind="stable")
+    ordered = joined[order]
+    bounds = np.append(np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))), len(ordered))
+    lists = np.concatenate((bounds, [len(ordered) + len(firsts)])).astype(np.int32)
+    n = len(bounds) - 1
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(n + 1, segment)),
+            pa.array([*ordered[bounds[:-1]].tolist(), None], pa.int64()),
+            pa.array(np.append(np.diff(bounds), 0).astype(np.int32)),
+            pa.ListArray.from_arrays(lists, np.concatenate((at[order].astype(np.int32), firsts))),
+            pa.array([*[None] * n, rows], pa.list_(pa.int64())),
+        ],
+        names=["segment", "term", "n", "positions", "rows"],
+    )
 
 
-def benchmark_windows(items: list[tuple[str, bytes]], size: int) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """Distinct windows as rows of term hashes, their lengths, and the ids of the items of each.
-    A shorter row is filled with zeros."""
-    rows: dict[bytes, tuple[np.ndarray, set[str]]] = {}
-    hashed, _, _, owner = words([text for _, text in items], WORD_BYTES)
-    bounds = np.searchsorted(owner, np.arange(len(items) + 1))
-    for k, (item, _) in enumerate(items):
-        terms = hashed[bounds[k] : bounds[k + 1]]
-        if len(terms):
-            for at in range(max(1, len(terms) - size + 1)):
-                window = terms[at : at + size]
-                rows.setdefault(window.tobytes(), (window, set()))[1].add(item)
-    table, lengths = np.zeros((len(rows), size), np.uint64), np.zeros(len(rows), np.int64)
-    for k, (window, _) in enumerate(rows.values()):
-        table[k, : len(window)], lengths[k] = window, len(window)
-    return table, lengths, [sorted(ids) for _, ids in rows.values()]
-
-
-def term_counts(docs: DataFrame, text_col: str, terms: np.ndarray) -> np.ndarray:
-    """Occurrences of each of the sorted terms over all texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
-
+def _post(text_col: str, row: str, segment_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = sent.value, np.zeros(len(sent.value) + 1, np.int64)
-        for batch in batches:
+        number, rows, terms, held = TaskContext.get().partitionId() << 32, [], [], 0
+        for batch in slices(batches):
             texts = text_bytes(batch[text_col])
+            hashed, owner = term_hashes(texts)
+            bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+            for k, name in enumerate(batch[row].to_pylist()):
+                if bounds[k] == bounds[k + 1]:
+                    continue
+                if rows and held + len(texts[k]) > segment_bytes:
+                    yield segment_postings(number, rows, terms)
+                    number, rows, terms, held = number + 1, [], [], 0
+                rows.append(name)
+                terms.append(hashed[bounds[k] : bounds[k + 1]].copy())
+                held += len(texts[k])
+        if rows:
+            yield segment_postings(number, rows, terms)
+
+    return run
+
+
+def _count(text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts, counts = text_bytes(batch[text_col]), []
             for first, end in chunks([len(t) for t in texts]):
-                hashed = words(texts[first:end], WORD_BYTES)[0]
-                at = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
-                total[: len(known)] += np.bincount(at[known[at] == hashed], minlength=len(known))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
-
-    found = docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = np.zeros(len(terms), np.int64)
-    for row in found.collect():  # one row per benchmark term at most
-        counts[row["term"]] = row["n"]
-    return counts
-
-
-class Index:
-    """Positions of the terms of one chunk of texts, lists in one array ordered by term."""
-
-    def __init__(self, terms: np.ndarray, hashed: np.ndarray, owner: np.ndarray):
-        at = np.minimum(np.searchsorted(terms, hashed), len(terms) - 1)
-        self.term_at = np.where(terms[at] == hashed, at, -1)  # by position
-        self.owner = owner
-        listed = np.flatnonzero(self.term_at >= 0)
-        order = np.argsort(self.term_at[listed], kind="stable")
-        self.positions = listed[order]
-        self.bounds = np.searchsorted(self.term_at[self.positions], np.arange(len(terms) + 1))
-
-    def postings(self, term: int) -> np.ndarray:
-        return self.positions[self.bounds[term] : self.bounds[term + 1]]
-
-    def phrases(self, window_terms: np.ndarray, lengths: np.ndarray, by_rarity: np.ndarray):
-        """(window, first position) of every occurrence of every window.
-
-        Starts as the lists of the rarest terms, shifted to the window's start; each further round
-        keeps the starts that have the next rarest term at its place.
-        """
-        rarest = window_terms[np.arange(len(window_terms)), by_rarity[:, 0]]
+                starts, _ = spans(WORD_BYTES[np.frombuffer(b" ".join(texts[first:end]), np.uint8)])
+                ends = np.cumsum([len(t) + 1 for t in texts[first:end]])
+                counts.append(np.diff(np.searchsorted(starts, ends), prepend=0))
+            n = np.concatenate([np.zeros(0, np.int64), *counts])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "n_words"])
+
+    return run
+
+
+def benchmark_terms(benchmark: DataFrame, item_col: str, text_col: str, size: int | None) -> DataFrame:
+    """(item, terms): the distinct windows of each item, or without ``size`` its distinct terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashed, owner = term_hashes(text_bytes(batch["text"]))
+            bounds = np.searchsorted(owner, np.arange(len(batch) + 1))
+            for k, item in enumerate(batch["item"].to_pylist()):
+                terms = hashed[bounds[k] : bounds[k + 1]]
+                if not len(terms):
+                    continue
+                if size is None:
+                    rows = [np.unique(terms)]
+                else:
+                    rows = np.unique(np.lib.stride_tricks.sliding_window_view(terms, min(size, len(terms))), axis=0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([item] * len(rows), pa.string()), pa.array(list(rows), pa.list_(pa.int64()))], names=["item", "terms"]
+                )
+
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+    return items.dropna().mapInArrow(run, "item string, terms array<long>").distinct()
+
+
+class Lists:
+    """The posting lists of one segment, ordered by term, and its texts."""
+
+    def __init__(self, postings: pa.Table):
+        where = postings.filter(pc.is_valid(postings["rows"]))
+        self.rows, self.firsts = (pc.list_flatten(where[c]).to_numpy() for c in ("rows", "positions"))
+        listed = postings.filter(pc.is_null(postings["rows"])).sort_by("term")
+        self.terms = listed["term"].to_numpy()
+        self.positions = pc.list_flatten(listed["positions"]).to_numpy().astype(np.int64)
+        sizes = pc.list_value_length(listed["positions"]).to_numpy()
+        self.bounds = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        self.keys = (np.repeat(np.arange(len(sizes)), sizes) << 32) + self.positions
+
+    def ranks(self, terms: np.ndarray) -> np.ndarray:
+        """Place of each term among those that have a list, or -1."""
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, -1) if len(self.terms) else np.full(len(terms), -1)
+
+    def postings(self, rank: int) -> np.ndarray:
+        return self.positions[self.bounds[rank] : self.bounds[rank + 1]]
+
+    def holds(self, ranks: np.ndarray, positions: np.ndarray) -> np.ndarray:
+        """Whether each position is in the list of its term."""
+        wanted = (ranks << 32) + positions
+        return self.keys[np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)] == wanted
+
+    def phrases(self, ranks: np.ndarray, offsets: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, first position) of every occurrence of windows whose terms [bounds[w], bounds[w + 1])
+        stand in the order of rarity: the rarest term's list, shifted, is intersected with the
+        shifted list of each further term. About ``STARTS`` places at a time."""
+        lengths, first = np.diff(bounds), bounds[:-1]
+        missing = np.concatenate(([0], np.cumsum(ranks < 0)))
+        known = np.flatnonzero(missing[bounds[1:]] == missing[first])
+        rarest = ranks[first[known]]
         counts = self.bounds[rarest + 1] - self.bounds[rarest]
-        window = np.repeat(np.arange(len(window_terms)), counts)
-        first = np.repeat(self.bounds[rarest], counts) + np.arange(len(window)) - np.repeat(np.cumsum(counts) - counts, counts)
-        start = self.positions[first] - by_rarity[window, 0]
-        last = start + lengths[window] - 1
-        fits = (start >= 0) & (last < len(self.owner))
-        window, start, last = window[fits], start[fits], last[fits]
-        same = self.owner[start] == self.owner[last]
-        window, start = window[same], start[same]
-        for k in range(1, window_terms.shape[1]):
-            offset = by_rarity[window, k]
-            used = k < lengths[window]
-            listed = self.term_at[np.minimum(start + offset, len(self.term_at) - 1)] == window_terms[window, offset]
-            window, start = window[listed | ~used], start[listed | ~used]
-            if not len(window):
-                break
-        return window, start
+        for at, end in chunks(counts.tolist(), STARTS):
+            some, n = known[at:end], counts[at:end]
+            window = np.repeat(some, n)
+            place = np.repeat(self.bounds[rarest[at:end]], n) + np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
+            start = self.positions[place] - offsets[first[window]]
+            window, start = window[start >= 0], start[start >= 0]
+            for k in range(1, int(lengths.max())):
+                term = np.minimum(first[window] + k, len(ranks) - 1)
+                left = (k >= lengths[window]) | self.holds(ranks[term], start + offsets[term])
+                window, start = window[left], start[left]
+                if not len(window):
+                    break
+            yield window, start
+
+
+class PositionalIndex:
+    """Stored postings of the texts of a table whose rows have a number each in ``row_col``."""
+
+    def __init__(
+        self, texts: DataFrame, scratch: Scratch, text_col: str = "text", row_col: str = "row", segment_bytes: int = SEGMENT_BYTES
+    ):
+        posted = texts.select(row_col, text_col).mapInArrow(_post(text_col, row_col, segment_bytes), POSTING)
+        group = F.shiftright("segment", GROUPED_SEGMENTS)
+        self.scratch = scratch
+        self.postings = scratch.stored(posted.repartition("term", group).sortWithinPartitions("term", "segment"))
+
+    def counts(self, terms: DataFrame) -> DataFrame:
+        """(term, total): occurrences of the distinct terms of ``terms`` that occur at all."""
+        listed = self.postings.filter(F.col("rows").isNull()).select("term", "n")
+        return listed.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("total"))
+
+    def by_rarity(self, asked: DataFrame, most: int | None = None) -> DataFrame:
+        """(w, terms, offsets): the terms of each ``asked`` row (w, terms), the rarest first, without
+        rows that have a term which occurs nowhere. ``most`` cuts the lists."""
+        exploded = asked.select("w", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term"))
+        met = exploded.join(self.counts(exploded), "term").groupBy("w", "length")
+        whole = met.agg(F.sort_array(F.collect_list(F.struct("total", "offset", "term"))).alias("plan"))
+        plan = F.col("plan") if most is None else F.slice("plan", 1, most)
+        chosen = whole.filter(F.size("plan") == F.col("length")).select("w", plan.alias("plan"))
+        return self.scratch.stored(chosen.select("w", F.col("plan.term").alias("terms"), F.col("plan.offset").alias("offsets")))
+
+    def by_segment(self, asked: DataFrame, parts: int, search: Callable[[pa.Table, Lists], pa.Table], schema: str) -> DataFrame:
+        """``search`` over the lists of every segment, with the rows of ``asked`` (see ``by_rarity``) whose
+        rarest term has a list there; a part of the rows at a time."""
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("w"), F.lit(parts)))
+        listed = self.postings.filter(F.col("rows").isNull())
+        rarest = asked.withColumn("term", F.col("terms")[0])
+        lookups = listed.select("term", "segment").join(rarest, "term").drop("term")
+        used = asked.select("part", F.explode("terms").alias("term")).distinct()
+        places = self.postings.filter(F.col("rows").isNotNull())
+        lists = listed.join(used, "term").unionByName(places.withColumn("part", F.explode(F.expr(f"sequence(0L, {parts - 1}L)"))))
+        lists = lists.select(F.col("segment").alias("at"), F.col("part").alias("of"), "term", "positions", "rows")
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            return search(left, Lists(right)) if len(left) else empty
+
+        empty = search(pa.table({"w": pa.array([], pa.int64()), "terms": NO_LIST, "offsets": NO_LIST}), Lists(NO_POSTINGS))
+        return lookups.groupBy("segment", "part").cogroup(lists.groupBy("at", "of")).applyInArrow(run, schema)
+
+
+NO_LIST = pa.array([], pa.list_(pa.int64()))
+NO_POSTINGS = pa.table({"term": pa.array([], pa.int64()), "positions": NO_LIST, "rows": NO_LIST})
+
+
+def lists_of(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of a column one after the other, and their bounds."""
+    sizes = pc.list_value_length(table[name]).to_numpy()
+    return pc.list_flatten(table[name]).to_numpy(), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+
+def find_phrases(asked: pa.Table, lists: Lists) -> pa.Table:
+    """A row for each text that is hit: its row number, the merged ranges of words hit, and the windows."""
+    terms, bounds = lists_of(asked, "terms")
+    offsets, _ = lists_of(asked, "offsets")
+    names, lengths = asked["w"].to_numpy(), np.diff(bounds)
+    found = list(lists.phrases(lists.ranks(terms), offsets, bounds)) if len(asked) else []
+    window = np.concatenate([np.zeros(0, np.int64), *(w for w, _ in found)])
+    start = np.concatenate([np.zeros(0, np.int64), *(s for _, s in found)])
+    order = np.argsort(start, kind="stable")
+    window, start = window[order], start[order]
+    text = np.searchsorted(lists.firsts, start, side="right") - 1
+    rows = []
+    for k in np.unique(text):
+        a, b = np.searchsorted(text, [k, k + 1])
+        own = start[a:b] - lists.firsts[k]
+        starts, ends = merged(own, own + lengths[window[a:b]])
+        rows.append((lists.rows[k], starts, ends, np.unique(names[window[a:b]])))
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["row", "starts", "ends", "windows"])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ranges = [merged(np.array(s), np.array(e)) for s, e in zip(batch["starts"].to_pylist(), batch["ends"].to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [batch["row"], *(pa.array([r[k] for r in ranges], pa.list_(pa.int32())) for k in (0, 1))], names=["row", "starts", "ends"]
+        )
+
+
+def numbered_texts(docs: DataFrame, scratch: Scratch, text_col: str, row: str, keep: list[str]) -> DataFrame:
+    """The rows, stored with a number each and their number of words."""
+    numbered = docs.select(*keep, F.monotonically_increasing_id().alias(row))
+    schema = numbered.withColumn("n_words", F.lit(None).cast("long")).schema
+    return scratch.stored(numbered.mapInArrow(_count(text_col), schema))
 
 
 def match_phrases(
@@ -121,71 +287,30 @@ def match_phrases(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    part_windows: int = 500_000,
+    part_windows: int = 200_000,
+    segment_bytes: int = SEGMENT_BYTES,
 ) -> DataFrame:
     """All rows with n_words, the merged word ranges hit (hit_starts, hit_ends) and the ids of the
     items (as strings, sorted) that have a window there."""
     keep = [c for c in docs.columns if c not in ADDED]
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t"))
-    items = items.dropna()
-    parts, rows, held = [], [], 0
-    for row in items.toLocalIterator():  # a partition at a time
-        rows.append((row["i"], row["t"].encode()))
-        held += len(row["t"]) // 2 + 1  # no more windows than that
-        if held > part_windows:
-            parts.append(benchmark_windows(rows, size))
-            rows, held = [], 0
-    parts.append(benchmark_windows(rows, size))
-    out = docs.select(
-        *keep,
-        F.lit(None).cast("long").alias("n_words"),
-        F.expr("cast(array() as array<int>)").alias("hit_starts"),
-        F.expr("cast(array() as array<int>)").alias("hit_ends"),
-        F.expr("cast(array() as array<string>)").alias("items"),
-    )
-    schema = out.schema
-    for table, lengths, ids in parts:
-        terms = np.unique(table[np.arange(size)[None, :] < lengths[:, None]]) if len(table) else np.zeros(1, np.uint64)
-        counts = term_counts(docs, text_col, terms)
-        window_terms = np.minimum(np.searchsorted(terms, table), len(terms) - 1)
-        rarity = np.where(np.arange(size)[None, :] < lengths[:, None], counts[window_terms], np.iinfo(np.int64).max)
-        by_rarity = np.argsort(rarity, axis=1, kind="stable")
-        sent = docs.sparkSession.sparkContext.broadcast((terms, window_terms, lengths, by_rarity, ids))
-        out = out.mapInArrow(_scan(sent, text_col, keep, schema), schema)
-    return out
-
-
-def _scan(sent, text_col: str, keep: list[str], schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, window_terms, lengths, by_rarity, ids = sent.value
-        kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
-        for batch in batches:
-            texts = text_bytes(batch[text_col])
-            before = list(zip(*(batch[c].to_pylist() for c in ADDED[1:]), strict=True))
-            found: list[tuple] = []
-            for first, end in chunks([len(t) for t in texts]):
-                hashed, _, _, owner = words(texts[first:end], WORD_BYTES)
-                bounds = np.searchsorted(owner, np.arange(end - first + 1))
-                window = start = np.zeros(0, np.int64)
-                if len(hashed) and len(window_terms):
-                    window, start = Index(terms, hashed, owner).phrases(window_terms, lengths, by_rarity)
-                order = np.argsort(start, kind="stable")
-                window, start = window[order], start[order]
-                at = np.searchsorted(start, bounds)
-                for k in range(end - first):
-                    w, s = window[at[k] : at[k + 1]], start[at[k] : at[k + 1]] - bounds[k]
-                    starts, ends, items = before[first + k]
-                    if len(w):
-                        starts, ends = merged(np.concatenate([starts, s]), np.concatenate([ends, s + lengths[w]]))
-                        items = sorted({*items, *(i for x in np.unique(w) for i in ids[x])})
-                    found.append((bounds[k + 1] - bounds[k], starts, ends, items))
-            added = list(zip(*found, strict=True)) if found else [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [*(batch[c] for c in keep), *(pa.array([x if np.isscalar(x) else list(x) for x in c], t) for c, t in zip(added, kinds, strict=True))],
-                names=[*keep, *ADDED],
-            )
-
-    return run
+    (row,) = hidden(docs, "row")
+    held, scratch = Scratch(), Scratch()
+    texts = numbered_texts(docs, held, text_col, row, keep)
+    owners = scratch.stored(benchmark_terms(benchmark, item_col, item_text_col, size))
+    windows = scratch.stored(owners.select("terms").distinct().withColumn("w", F.monotonically_increasing_id()))
+    index = PositionalIndex(texts, scratch, text_col, row, segment_bytes)
+    parts = max(1, -(-windows.count() // part_windows))
+    schema = "row long, starts array<int>, ends array<int>, windows array<long>"
+    hits = scratch.stored(index.by_segment(index.by_rarity(windows), parts, find_phrases, schema))
+    one_row = hits.groupBy("row").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")))
+    ranges = one_row.mapInArrow(_merge, "row long, starts array<int>, ends array<int>")
+    items = owners.join(windows, "terms").select("w", "item")
+    named = hits.select("row", F.explode("windows").alias("w")).join(items, "w").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found = held.stored(ranges.join(named, "row").withColumnsRenamed({"row": row, "starts": "hit_starts", "ends": "hit_ends"}))
+    scratch.clear()
+    nothing = {"hit_starts": "cast(array() as array<int>)", "hit_ends": "cast(array() as array<int>)", "items": "cast(array() as array<string>)"}
+    joined = texts.join(found, row, "left")
+    return joined.select(*keep, "n_words", *(F.coalesce(c, F.expr(none)).alias(c) for c, none in nothing.items()))
 
 
 def hit_count() -> Column:
@@ -225,45 +350,40 @@ def nearest_windows(anchor: np.ndarray, others: list[np.ndarray], first: np.ndar
     return low, high
 
 
+def find_near(within: int):
+    def search(asked: pa.Table, lists: Lists) -> pa.Table:
+        terms, bounds = lists_of(asked, "terms")
+        ranks, rows = lists.ranks(terms), []
+        for k, w in enumerate(asked["w"].to_pylist()):
+            own = ranks[bounds[k] : bounds[k + 1]]
+            if (own < 0).any():
+                continue
+            anchor = lists.postings(own[0])
+            text = np.searchsorted(lists.firsts, anchor, side="right") - 1
+            low, high = nearest_windows(anchor, [lists.postings(t) for t in own[1:]], lists.firsts[text], lists.firsts[text + 1])
+            fits = high - low < within
+            rows += zip(lists.rows[text[fits]], [w] * fits.sum(), (low - lists.firsts[text])[fits], (high - lists.firsts[text])[fits], strict=True)
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        return pa.table([pa.array(list(c), pa.int64()) for c in columns], names=["row", "w", "first", "last"])
+
+    return search
+
+
 def proximity_matches(
     docs: DataFrame, benchmark: DataFrame, within: int = 30, rarest: int = 5, text_col: str = "text",
-    id_col: str = "doc_id", item_col: str = "item_id", item_text_col: str = "text",
+    id_col: str = "doc_id", item_col: str = "item_id", item_text_col: str = "text", part_items: int = 50_000,
 ) -> DataFrame:
     """(id, item, first, last): places where the ``rarest`` distinct terms of an item stand within
     ``within`` words of each other, in any order; one row for each such place of the rarest term, with
-    the narrowest window around it.
-    For benchmarks that fit one part; items of fewer distinct terms use all they have."""
-    items = [(r["i"], r["t"].encode()) for r in benchmark.select(
-        F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).dropna().collect()]
-    hashed, _, _, owner = words([t for _, t in items], WORD_BYTES)
-    terms = np.unique(hashed) if len(hashed) else np.zeros(1, np.uint64)
-    counts = term_counts(docs, text_col, terms)
-    wanted = []
-    for k, (item, _) in enumerate(items):
-        own = np.unique(np.searchsorted(terms, hashed[owner == k]))
-        if len(own):
-            wanted.append((item, own[np.argsort(counts[own], kind="stable")][:rarest]))
-    sent = docs.sparkSession.sparkContext.broadcast((terms, wanted))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, wanted = sent.value
-        for batch in batches:
-            texts, names, rows = text_bytes(batch[text_col]), batch[id_col].to_pylist(), []
-            for first, end in chunks([len(t) for t in texts]):
-                hashed, _, _, owner = words(texts[first:end], WORD_BYTES)
-                if not len(hashed):
-                    continue
-                index, bounds = Index(terms, hashed, owner), np.searchsorted(owner, np.arange(end - first + 1))
-                for item, own in wanted:
-                    anchor = index.postings(own[0])
-                    low, high = nearest_windows(anchor, [index.postings(t) for t in own[1:]], bounds[owner[anchor]], bounds[owner[anchor] + 1])
-                    fits = high - low < within
-                    for a, b in zip(low[fits], high[fits], strict=True):
-                        d = owner[a]
-                        rows.append((names[first + d], item, int(a - bounds[d]), int(b - bounds[d])))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = [batch.schema.field(id_col).type, pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "item", "first", "last"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, item string, first long, last long")
+    the narrowest window around it. Items of fewer distinct terms use all they have; an item with a
+    term that no text has is nowhere."""
+    held, scratch = Scratch(), Scratch()
+    texts = numbered_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), scratch, "text", "row", ["id", "text"])
+    items = scratch.stored(benchmark_terms(benchmark, item_col, item_text_col, None).withColumn("w", F.monotonically_increasing_id()))
+    index = PositionalIndex(texts, scratch)
+    parts = max(1, -(-items.count() // part_items))
+    near = index.by_segment(index.by_rarity(items, rarest), parts, find_near(within), "row long, w long, first long, last long")
+    named = near.join(texts.select("row", "id"), "row").join(items.select("w", "item"), "w")
+    found = held.stored(named.select("id", "item", "first", "last"))
+    scratch.clear()
+    return found

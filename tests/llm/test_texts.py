@@ -183,6 +183,45 @@ def test_decontamination(spark, folder):
     parts = contamination.match_phrases(docs, bench, part_windows=3).withColumn("n_hit", contamination.hit_count())
     assert bag(parts.select("doc_id", "n_words", "n_hit").collect()) == Counter({k: v for k, v in _shorter(expected).items()})
     assert set(DOCS.names) <= set(parts.columns)
+    small = contamination.match_phrases(docs, bench, segment_bytes=3_000).withColumn("n_hit", contamination.hit_count())
+    assert bag(small.select("doc_id", "n_words", "n_hit").collect()) == _shorter(expected)
+    none = contamination.match_phrases(docs.limit(0), bench).collect()
+    assert none == [] and contamination.match_phrases(docs, bench.limit(0)).filter("size(items) > 0").count() == 0
+
+
+def test_positional_index(spark, folder):
+    """Stored lists against the words of each text; ranges of hits that overlap, and repeated items in parts."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    scratch = contamination.Scratch()
+    texts = contamination.numbered_texts(docs, scratch, "text", "at", ["doc_id", "text"])
+    index = contamination.PositionalIndex(texts, scratch, "text", "at", segment_bytes=3_000)
+    stored, segments = index.postings.collect(), defaultdict(dict)
+    for r in stored:
+        if r["rows"] is not None:
+            segments[r["segment"]]["texts"] = (r["rows"], r["positions"])
+        else:
+            assert r["n"] == len(r["positions"])
+            segments[r["segment"]].update({p: r["term"] for p in r["positions"]})
+    assert len(segments) > 3
+    found = {}
+    for lists in segments.values():
+        rows, firsts = lists.pop("texts")
+        for row, first, end in zip(rows, firsts, firsts[1:], strict=False):
+            assert end - 1 not in lists
+            found[row] = [lists.pop(p) for p in range(first, end - 1)]
+        assert not lists
+    for r in texts.collect():
+        hashed, _ = contamination.term_hashes([(r["text"] or "").encode()])
+        assert found.get(r["at"], []) == hashed.tolist() and r["n_words"] == len(hashed)
+    rows = [(1, "a b c d e f"), (2, "b c"), (3, "c"), (4, "x a b"), (5, "c d")]
+    items = [("i", "a b c d"), ("i", "a b c d"), ("i", "d e f"), ("j", "c d"), (None, "a"), ("k", None), ("l", "..."), ("m", "zz a b")]
+    small = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for part in (1, 100):
+        got = contamination.match_phrases(small, bench, size=3, part_windows=part).orderBy("doc_id").collect()
+        assert [(r["hit_starts"], r["hit_ends"], r["items"]) for r in got] == [
+            ([0], [6], ["i", "j"]), ([], [], []), ([], [], []), ([], [], []), ([0], [2], ["j"])
+        ]
 
 
 def _shorter(rows):
