@@ -1,10 +1,10 @@
 """Benchmark decontamination over a stored positional inverted index.
 
 ``PositionalIndex`` stores the postings of all terms of all texts: one row per term and segment (the
-texts of a task, about ``segment_bytes`` of them at a time) with the positions of its occurrences, dealt by
-term and sorted by it, so that Parquet finds a term without reading the others. A row of its own per
-segment says which text begins at which position. Texts leave one position free behind them, so
-consecutive positions never cross texts.
+texts of a task, about ``segment_bytes`` of them at a time) with the positions of its occurrences. Each
+task writes its own segments, sorted by term, so that Parquet finds the pages of a term without the
+others and a frequent term is never in one place. A row of its own per segment says which text begins at
+which position. Texts leave one position free behind them, so consecutive positions never cross texts.
 
 A search joins each window of ``size`` consecutive benchmark words with the postings of its rarest
 term (by its count over all texts); in the segments that have it, the list is shifted by the term's
@@ -38,9 +38,8 @@ from soquy.llm.common import Scratch, chunks, hidden, merged, slices, spans, tex
 ADDED = ("n_words", "hit_starts", "hit_ends", "items")
 FAR = 1 << 40
 WORD_BYTES = np.array([b > 0x7F or chr(b).isalnum() for b in range(256)])
-SEGMENT_BYTES = 1 << 23
-GROUPED_SEGMENTS = 6
-"""The postings of a term in 2**6 segments of a task are stored side by side."""
+SEGMENT_BYTES = 1 << 25
+POSTED_ROWS = 20_000
 STARTS = 1 << 20
 """Places that are looked at in one go."""
 POSTING = "segment long, term long, n int, positions array<int>, rows array<long>"
@@ -90,13 +89,13 @@ def _post(text_col: str, row: str, segment_bytes: int):
                 if bounds[k] == bounds[k + 1]:
                     continue
                 if rows and held + len(texts[k]) > segment_bytes:
-                    yield segment_postings(number, rows, terms)
+                    yield from slices([segment_postings(number, rows, terms)], POSTED_ROWS)
                     number, rows, terms, held = number + 1, [], [], 0
                 rows.append(name)
                 terms.append(hashed[bounds[k] : bounds[k + 1]].copy())
                 held += len(texts[k])
         if rows:
-            yield segment_postings(number, rows, terms)
+            yield from slices([segment_postings(number, rows, terms)], POSTED_ROWS)
 
     return run
 
@@ -195,9 +194,8 @@ class PositionalIndex:
         self, texts: DataFrame, scratch: Scratch, text_col: str = "text", row_col: str = "row", segment_bytes: int = SEGMENT_BYTES
     ):
         posted = texts.select(row_col, text_col).mapInArrow(_post(text_col, row_col, segment_bytes), POSTING)
-        group = F.shiftright("segment", GROUPED_SEGMENTS)
         self.scratch = scratch
-        self.postings = scratch.stored(posted.repartition("term", group).sortWithinPartitions("term", "segment"))
+        self.postings = scratch.stored(posted)
 
     def counts(self, terms: DataFrame) -> DataFrame:
         """(term, total): occurrences of the distinct terms of ``terms`` that occur at all."""
