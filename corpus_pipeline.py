@@ -31,6 +31,7 @@ from soquy.llm.common import stored
 
 REPEATED_BYTES = 200
 MIX_SEED = 17
+SEGMENT_BYTES = 1 << 23  # of the index of stage 4: workers that earlier stages have filled hold less
 
 
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
@@ -90,7 +91,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @apart
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination.match_phrases(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = contamination.match_phrases(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), segment_bytes=SEGMENT_BYTES)
     return found.withColumn("n_hit", contamination.hit_count()).filter(~contamination.is_contaminated()).select(*docs.columns)
 
 
