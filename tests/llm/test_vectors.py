@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from soquy.llm import queries
-from soquy.llm.neighbours import footrule_gains, nearest_neighbours, nearest_orders
+from soquy.llm.neighbours import first_rows, footrule_gains, nearest_neighbours, nearest_orders, pivots_of, usable
 
 SCHEMA = "vec_id long, embedding array<float>, id string, v string"
 
@@ -14,8 +14,9 @@ def table(spark, rows):
     return spark.createDataFrame([(i, v, "i", "v") for i, v in rows], SCHEMA)
 
 
-def test_recall_on_the_given_vectors(spark):
-    folder = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_on_the_given_vectors(spark, size):
+    folder = f"/root/testdata/{size}"
     rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
     ids = np.array([r["vec_id"] for r in rows])
     v = np.array([r["embedding"] for r in rows], np.float64)
@@ -52,6 +53,33 @@ def test_blocks_find_what_one_block_finds(spark):
     assert run() == run(block_rows=40, query_rows=2)
 
 
+def brute_force(rows, k):
+    """(query, rank, vector, score) of rows of two components, equal queries once."""
+    out = []
+    for q in sorted({i for i, _ in rows if i % 20 == 0}):
+        asked = {tuple(v) for i, v in rows if i == q}
+        met = [(-sum(x * y for x, y in zip(v, w, strict=True)), i) for v in asked for i, w in rows if i != q]
+        out += [(q, rank, i, -score) for rank, (score, i) in enumerate(sorted(met)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("blocks", [{}, {"block_rows": 7, "query_rows": 2}])
+def test_whole_index_is_brute_force(spark, blocks):
+    """Every file read and everything reranked: copies, repeated ids and ties as in brute force."""
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in rng.integers(-3, 4, 2)]) for k in range(1, 90)]
+    rows = [(k, v) for k, v in rows if any(v)]
+    rows += [(k, [3.0, 2.0]) for k in range(100, 190)] + [(40, [3.0, 2.0])] * 9 + [(7, [3.0, 2.0])] * 9
+    found = nearest_neighbours(table(spark, rows), F.col("id") % 20 == 0, k=5, pivots=10, asked=10, rerank=1.0, **blocks)
+    assert sorted(tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect()) == brute_force(rows, 5)
+
+
+def test_one_vector_in_most_rows_leaves_other_pivots(spark):
+    rows = [(k, [1.0, 2.0]) for k in range(400)] + [(400 + k, [float(k), -1.0]) for k in range(1, 30)]
+    assert len(pivots_of(usable(table(spark, rows), "vec_id", "embedding"), 16)) == 16
+    assert first_rows(usable(table(spark, rows), "vec_id", "embedding"), 3).count() == 4 + 29
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(0, [1.0])], [(1, [1.0]), (2, [2.0])]])
 def test_nothing_to_find(spark, rows):
     assert nearest_neighbours(table(spark, rows), F.col("id") % 20 == 0).count() == 0
