@@ -8,8 +8,9 @@ exact inner product, and the best of all files are merged by a top-k per query.
 meets in several files counts in the one whose pivot is nearest to the query.
 
 A file of more than ``block_rows`` vectors is split into blocks, and its queries into blocks of
-``query_rows``, so a task holds one block of each whatever the size of the file. Until files are split,
-a vector moves ``posted`` times and a query ``asked`` times, so the shuffle is in proportion to the rows.
+``query_rows``, so a task holds one block of each whatever the size of the file; it compares ``SLICE``
+queries at a time. Until files are split (at about a million rows with the defaults), a vector moves
+``posted`` times and a query ``asked`` times, so the shuffle is in proportion to the rows.
 
 * Pivots: at most ``pivots`` distinct vectors, the smallest by a hash of their components: a bounded,
   documented sample. Every vector is indexed.
@@ -39,6 +40,7 @@ from soquy.llm.common import stored
 
 RESULT = "query_id long, rank int, vec_id long, score double"
 FOUND = "query_id long, vec_id long, score double"
+SLICE = 256
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -125,9 +127,18 @@ def blocks_of(posts: DataFrame, n_pivots: int, rows: int) -> list[int]:
 def search_file(pivot: int, queries: pd.DataFrame, vectors: pd.DataFrame, n_pivots: int, k: int, posted: int, depth: int, rerank: float) -> pd.DataFrame:
     """The best ``k`` of one block of a pivot's file for each of one block of the queries that read it."""
     vectors = vectors.sort_values("id", kind="stable")
-    q, v = (np.stack(side["v"].to_list()).astype(np.float64) for side in (queries, vectors))
-    q_order, order = (np.stack(side["nearest"].to_list()) for side in (queries, vectors))
-    q_ids, ids = queries["id"].to_numpy(), vectors["id"].to_numpy()
+    v, order, ids = components(vectors), np.stack(vectors["nearest"].to_list()), vectors["id"].to_numpy()
+    parts = (queries[at : at + SLICE] for at in range(0, len(queries), SLICE))
+    return pd.concat([search_slice(pivot, part, v, order, ids, n_pivots, k, posted, depth, rerank) for part in parts])
+
+
+def components(rows: pd.DataFrame) -> np.ndarray:
+    return np.stack(rows["v"].to_list()).astype(np.float64)
+
+
+def search_slice(pivot: int, queries: pd.DataFrame, v, order, ids, n_pivots: int, k: int, posted: int, depth: int, rerank: float) -> pd.DataFrame:
+    """The best ``k`` of the vectors ``v``, in the order of their ids, for each of a few queries."""
+    q, q_order, q_ids = components(queries), np.stack(queries["nearest"].to_list()), queries["id"].to_numpy()
     place = np.full((len(q), n_pivots), n_pivots, np.int16)
     np.put_along_axis(place, q_order.astype(np.int64), np.arange(q_order.shape[1], dtype=np.int16)[None, :], axis=1)
     first = place[:, order[:, 0]]
@@ -158,8 +169,8 @@ def nearest_neighbours(
     asked: int = 44,
     depth: int = 32,
     rerank: float = 0.5,
-    block_rows: int = 8192,
-    query_rows: int = 512,
+    block_rows: int = 16_384,
+    query_rows: int = 16_384,
 ) -> DataFrame:
     """The ``k`` nearest vectors of each query: query_id, rank (from 1), vec_id, score.
 
