@@ -144,18 +144,21 @@ def search_slice(pivot: int, queries: pd.DataFrame, v, order, ids, n_pivots: int
     first = place[:, order[:, 0]]
     for c in range(1, min(posted, order.shape[1])):
         np.minimum(first, place[:, order[:, c]], out=first)
-    mine = first == place[:, pivot][:, None]  # in no file that is nearer to the query
+    mine = (first == place[:, pivot][:, None]) & (ids != q_ids[:, None])  # in no file nearer to the query
     wanted = max(4 * k, int(np.ceil(rerank * len(ids))))
-    gains = footrule_gains(q_order[:, :depth], order[:, :depth], n_pivots) if wanted < len(ids) else None
-    out = []
-    for row in range(len(q)):
-        of = np.flatnonzero(mine[row] & (ids != q_ids[row]))
-        if len(of) > wanted:
-            of = np.sort(of[np.argpartition(-gains[row, of], wanted - 1)[:wanted]])
-        score = np.einsum("ij,j->i", v[of], q[row])
-        best = np.argsort(-score, kind="stable")[:k]
-        out.append((np.full(len(best), q_ids[row]), ids[of[best]], score[best]))
-    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+    if wanted < len(ids):
+        gains = np.where(mine, footrule_gains(q_order[:, :depth], order[:, :depth], n_pivots), -1)
+        mine &= gains >= np.partition(gains, len(ids) - wanted, axis=1)[:, len(ids) - wanted, None]
+    # matrix products find what can be among the best; the score is summed up alike for equal vectors
+    rough = np.where(mine, q @ v.T, -np.inf)
+    near = np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max() * q.shape[1] * 1e-15
+    least = -np.partition(-rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1] - near
+    rows, of = np.nonzero(mine & ~(rough < least[:, None]))
+    score = np.einsum("ij,ij->i", v[of], q[rows])
+    best = np.lexsort((of, -score, rows))
+    rank = np.arange(len(best)) - np.searchsorted(rows, rows[best])  # rows come in order
+    rows, of, score = (x[best[rank < k]] for x in (rows, of, score))
+    return pd.DataFrame({"query_id": q_ids[rows], "vec_id": ids[of], "score": score})
 
 
 def nearest_neighbours(
