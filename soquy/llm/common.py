@@ -5,8 +5,10 @@ Everything here works on whole batches of texts with numpy; Spark deals the batc
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,25 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Returns to the system what this process has freed; workers are used again by later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A task function over batches that gives memory back before it begins and once it has ended."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]

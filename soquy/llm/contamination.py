@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soquy.llm.common import Scratch, chunks, hidden, merged, slices, spans, text_bytes, words
+from soquy.llm.common import Scratch, chunks, hidden, lean, merged, slices, spans, text_bytes, words
 
 ADDED = ("n_words", "hit_starts", "hit_ends", "items")
 FAR = 1 << 40
@@ -193,7 +193,7 @@ class PositionalIndex:
     def __init__(
         self, texts: DataFrame, scratch: Scratch, text_col: str = "text", row_col: str = "row", segment_bytes: int = SEGMENT_BYTES
     ):
-        posted = texts.select(row_col, text_col).mapInArrow(_post(text_col, row_col, segment_bytes), POSTING)
+        posted = texts.select(row_col, text_col).mapInArrow(lean(_post(text_col, row_col, segment_bytes)), POSTING)
         self.scratch = scratch
         self.postings = scratch.stored(posted)
 
@@ -275,7 +275,7 @@ def numbered_texts(docs: DataFrame, scratch: Scratch, text_col: str, row: str, k
     """The rows, stored with a number each and their number of words."""
     numbered = docs.select(*keep, F.monotonically_increasing_id().alias(row))
     schema = numbered.withColumn("n_words", F.lit(None).cast("long")).schema
-    return scratch.stored(numbered.mapInArrow(_count(text_col), schema))
+    return scratch.stored(numbered.mapInArrow(lean(_count(text_col)), schema))
 
 
 def match_phrases(
@@ -301,7 +301,7 @@ def match_phrases(
     schema = "row long, starts array<int>, ends array<int>, windows array<long>"
     hits = scratch.stored(index.by_segment(index.by_rarity(windows), parts, find_phrases, schema))
     one_row = hits.groupBy("row").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")))
-    ranges = one_row.mapInArrow(_merge, "row long, starts array<int>, ends array<int>")
+    ranges = one_row.mapInArrow(lean(_merge), "row long, starts array<int>, ends array<int>")
     items = owners.join(windows, "terms").select("w", "item")
     named = hits.select("row", F.explode("windows").alias("w")).join(items, "w").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
     found = held.stored(ranges.join(named, "row").withColumnsRenamed({"row": row, "starts": "hit_starts", "ends": "hit_ends"}))

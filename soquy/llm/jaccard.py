@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soquy.llm.common import Scratch, chunks, mix, slices, stored, text_bytes, words
+from soquy.llm.common import Scratch, chunks, lean, mix, slices, stored, text_bytes, words
 
 ORDERS = 3
 CELLS = 1 << 20
@@ -101,7 +101,7 @@ def counters(docs: DataFrame, size: int) -> np.ndarray:
         return pa.table({"block": parts["block"][:1], "cells": pa.array([total.tobytes()])})
 
     schema = "block int, cells binary"
-    found = docs.mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).collect()
+    found = docs.mapInArrow(lean(count), schema).groupBy("block").applyInArrow(add, schema).collect()
     cells = np.zeros((CELLS // BLOCK, BLOCK), np.int64)
     for row in found:  # 256 rows
         cells[row["block"]] = np.frombuffer(row["cells"], "<i8")
@@ -173,7 +173,7 @@ def signatures(docs: DataFrame, keep: list[str], size: int, percent: int, level)
 
     kinds = {"node": "long", "n": "long", "prefix": "array<long>", "parity": "binary"}
     schema = docs.select(*keep, *(F.lit(None).cast(t).alias(c) for c, t in kinds.items())).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def whole_sets(texts: DataFrame, size: int, percent: int, level, marks) -> DataFrame:
@@ -199,7 +199,7 @@ def whole_sets(texts: DataFrame, size: int, percent: int, level, marks) -> DataF
                 )
 
     return texts.mapInArrow(
-        run, "node long, n long, grams array<long>, second array<int>, third array<int>"
+        lean(run), "node long, n long, grams array<long>, second array<int>, third array<int>"
     )
 
 
@@ -225,7 +225,7 @@ def marks_of(keys: DataFrame, key: str):
 
     schema = "block int, cells binary"
     marks = np.zeros((FILTER_CELLS // BLOCK, BLOCK), bool)
-    for row in keys.select(key).mapInArrow(mark, schema).groupBy("block").applyInArrow(either, schema).collect():
+    for row in keys.select(key).mapInArrow(lean(mark), schema).groupBy("block").applyInArrow(either, schema).collect():
         marks[row["block"]] = np.frombuffer(row["cells"], np.uint8)
     return keys.sparkSession.sparkContext.broadcast(np.packbits(marks.ravel()))
 
@@ -384,7 +384,7 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, nodes: DataFrame, percent:
     )
     found = dealt.groupBy("bucket").applyInArrow(compare_classes(percent), f"{PAIRS}, late boolean")
     found = scratch.stored(found.distinct())
-    late = with_parities(found.filter("late"), nodes).mapInArrow(near_enough(percent), PAIRS)
+    late = with_parities(found.filter("late"), nodes).mapInArrow(lean(near_enough(percent)), PAIRS)
     return found.filter("not late").select("a", "b", "n").union(late)
 
 
@@ -420,7 +420,7 @@ def near_duplicates(
         return found
 
     stars = shared.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    links = linked(scratch.stored(with_parities(stars, nodes).mapInArrow(near_enough(percent), PAIRS)))
+    links = linked(scratch.stored(with_parities(stars, nodes).mapInArrow(lean(near_enough(percent)), PAIRS)))
     roots = classes(links, scratch)
     further = linked(scratch.stored(cross_pairs(shared, roots, nodes, percent, scratch=scratch)))
     if not further.isEmpty():  # the classes so far are stars already

@@ -31,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soquy.llm.common import Scratch, slices
+from soquy.llm.common import Scratch, lean, slices
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -70,12 +70,19 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by_lang: dict[str, Counter] = {}
     for batch in slices(batches):
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            held = by_lang.setdefault(lang, Counter())
-            held.update(WORD.findall(text.lower()))
-            if len(held) > FLUSH:
-                yield tally(Counter({(lang, word): n for word, n in held.items()}))
-                held.clear()
-    yield tally(Counter({(lang, word): n for lang, held in by_lang.items() for word, n in held.items()}))
+            by_lang.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+        if sum(map(len, by_lang.values())) > FLUSH:
+            while by_lang:
+                yield tally_of(*by_lang.popitem())
+    while by_lang:
+        yield tally_of(*by_lang.popitem())
+
+
+def tally_of(lang: str, held: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(held), pa.string()), pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())],
+        names=["lang", "key", "n"],
+    )
 
 
 def count_grams(longest: int):
@@ -158,10 +165,10 @@ def train(
     """A model of all rows that have a text and a language."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     schema = "lang string, key string, n long"
-    counted = rows.mapInArrow(count_words, schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(lean(count_words), schema).groupBy("lang", "key").agg(F.sum("n").alias("n"))
     scratch = Scratch()
     words = scratch.stored(counted)
-    grams = scratch.stored(words.mapInArrow(count_grams(longest), schema).groupBy("lang", "key").agg(F.sum("n").alias("n")))
+    grams = scratch.stored(words.mapInArrow(lean(count_grams(longest)), schema).groupBy("lang", "key").agg(F.sum("n").alias("n")))
     kept = [
         most_frequent(counts, n, part)
         .select("key", F.map_keys("by_lang").alias("langs"), F.map_values("by_lang").alias("ns"))
@@ -191,15 +198,15 @@ def train(
 
 
 class Scorer:
-    """A model with the scores of unseen words met so far (about ``FLUSH`` of them at most)."""
+    """A model with the scores of the words met so far (about ``FLUSH`` of them at most)."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
         self.forget()
 
     def forget(self) -> None:
-        self.rows, self.used = dict(self.model.words), len(self.model.scores)
-        self.table = np.concatenate([self.model.scores, np.empty_like(self.model.scores, shape=(4096, len(self.model.languages)))])
+        self.rows: dict[str, int] = {}
+        self.table = np.empty((4096, len(self.model.languages)))
 
     def unseen(self, word: str) -> np.ndarray:
         for size in range(self.model.longest, 0, -1):
@@ -209,18 +216,19 @@ class Scorer:
         return self.model.scores[-1]
 
     def row_of(self, word: str) -> int:
-        if self.used == len(self.table):
+        row = len(self.rows)
+        if row == len(self.table):
             self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[self.used] = self.unseen(word)
-        self.rows[word] = self.used
-        self.used += 1
-        return self.used - 1
+        known = self.model.words.get(word)
+        self.table[row] = self.unseen(word) if known is None else self.model.scores[known]
+        self.rows[word] = row
+        return row
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall(text.lower()) if text else []
         if not words or not self.model.languages or not has_letter(words):
             return UNKNOWN, 0.0
-        if self.used > len(self.model.scores) + FLUSH:
+        if len(self.rows) > FLUSH:
             self.forget()
         known = self.rows.get
         rows = [k if (k := known(w)) is not None else self.row_of(w) for w in words]
@@ -244,4 +252,4 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             )
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("lang_score", "double")
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(lean(run), schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soquy.llm.common import BASE_INVERSE, Scratch, chunks, hidden, merged, mix, powers, prefix_hashes, spans
+from soquy.llm.common import BASE_INVERSE, Scratch, chunks, hidden, lean, merged, mix, powers, prefix_hashes, spans
 from soquy.llm.common import stored, text_bytes
 
 ADDED = ("span_starts", "span_ends")
@@ -319,7 +319,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text", b
     # copies have the same rows here, and are counted on the mappers
     scratch = Scratch()
     once = scratch.stored(
-        texts.mapInArrow(find_anchors(length), ANCHORS)
+        texts.mapInArrow(lean(find_anchors(length)), ANCHORS)
         .groupBy("key", "run", "first", "last", "place")
         .agg(F.count("*").alias("copies"))
     )
@@ -337,7 +337,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text", b
     pieces = (
         texts.join(per_text.select(F.col("key").alias("of_key"), "found"), F.col("key") == F.col("of_key"))
         .select("key", "text", "found")
-        .mapInArrow(cut_pieces(length, n_buckets), PIECES)
+        .mapInArrow(lean(cut_pieces(length, n_buckets)), PIECES)
     )
     spans_found = pieces.groupBy("bucket").applyInArrow(sort_bucket(length), "key binary, start int, end int")
     found = stored(spans_found.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("found")))
@@ -359,7 +359,7 @@ def with_spans(docs: DataFrame, length: int = 400, text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *columns], names=[*keep, *ADDED])
 
     out = docs.select(*keep, *(F.expr("cast(array() as array<int>)").alias(c) for c in ADDED))
-    return joined.select(*keep, ranges_col).mapInArrow(merge, out.schema)
+    return joined.select(*keep, ranges_col).mapInArrow(lean(merge), out.schema)
 
 
 def ranges(found: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
