@@ -285,15 +285,12 @@ def _whole_documents(rows: DataFrame, path: str, per_document: int = WHOLE_DOCUM
     """Rows as documents of many records, one a file and a record a line; their number grows with the
     rows."""
     n = max(1, -(-rows.count() // per_document))
-    dealt = rows.withColumn("d", F.pmod(F.xxhash64(*rows.columns), F.lit(n)))
-    record = F.to_json(F.struct(*rows.columns))
-    lines = dealt.select("d", F.lit(1).alias("o"), record.alias("value"))
-    lines = lines.withColumn("value", F.concat(F.expr("if(row_number() OVER (PARTITION BY d ORDER BY value) = 1, '', ',')"), "value"))
-    ends = dealt.select("d").distinct()
-    head, tail = (ends.select("d", F.lit(o).alias("o"), F.lit(text).alias("value")) for o, text in ((0, '{"status": "{", "data": ['), (2, "]}")))
-    # the record without a comma is the first: '{' comes behind ','
-    order = [F.col("d"), F.col("o"), F.desc("value")]
-    lines.union(head).union(tail).repartition("d").sortWithinPartitions(*order).drop("o").write.partitionBy("d").text(path)
+    dealt = rows.select(F.pmod(F.xxhash64(*rows.columns), F.lit(n)).alias("d"), F.to_json(F.struct(*rows.columns)).alias("record"))
+    of_document = "OVER (PARTITION BY d ORDER BY record)"
+    # the ends come with the first and the last record, so that nothing has to be brought beside them
+    lines = dealt.selectExpr("*", f"row_number() {of_document} AS place", f"lead(record) {of_document} IS NULL AS last")
+    text = """concat(if(place = 1, '{"status": "{", "data": [\\n', ','), record, if(last, '\\n]}', '')) AS value"""
+    lines.sortWithinPartitions("d", "place").selectExpr("d", text).write.partitionBy("d").text(path)
 
 
 def _whole_envelopes(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.errors import PySparkException
 
+from soquy import registry
 from soquy.operators.dims import new_members, storage_changes, upsert_storage
 from soquy.operators.joins import attach_coarse, likely_among
 from soquy.operators.present import page_after, store_pages
@@ -303,3 +304,24 @@ def test_only_keys_with_an_amount_are_shuffled(spark):
     assert below.index("Aggregate") < below.index("getbit")  # rows are passed over before the distinct
     none = likely_among(fine, coarse.limit(0), ["invoice"])
     assert none.count() == 0
+
+
+def test_each_written_document_is_one_file(spark, tmp_path):
+    """Its first and last line must not end up in files of their own, however tasks are put together."""
+    rows = spark.range(2_000).selectExpr("CAST(id AS STRING) AS hfe_invoiceno", "concat(sha2(id || 'a', 512), sha2(id || 'b', 512)) AS thungan")
+    rows = rows.union(rows.limit(100)).union(rows.selectExpr("CAST(NULL AS STRING)", "thungan").limit(3))
+    options = {"coalescePartitions.parallelismFirst": "false", "coalescePartitions.minPartitionSize": "1k", "advisoryPartitionSizeInBytes": "64k"}
+    options = {f"spark.sql.adaptive.{name}": value for name, value in options.items()}
+    for name, value in options.items():
+        spark.conf.set(name, value)
+    try:
+        registry._whole_documents(rows, str(tmp_path / "w"), per_document=300)
+    finally:
+        for name in options:
+            spark.conf.unset(name)
+    found = []
+    for folder in (tmp_path / "w").glob("d=*"):
+        (file,) = folder.glob("*.txt")
+        assert file.read_text().startswith('{"status": "{", "data": [\n{')
+        found += [(r.get("hfe_invoiceno"), r["thungan"]) for r in json.loads(file.read_text())["data"]]
+    assert sorted(found, key=repr) == sorted(map(tuple, rows.collect()), key=repr)
