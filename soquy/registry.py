@@ -141,10 +141,16 @@ def _envelopes(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(F.array(record).alias("data"))).alias("value"), *kept)
 
 
+def _store_envelopes(lines: DataFrame, path: str) -> None:
+    """Envelopes of one line each as compressed text: every record repeats the names of its columns."""
+    kept = [PERIOD_COLUMN] if PERIOD_COLUMN in lines.columns else []
+    lines.write.partitionBy(*kept).option("compression", "gzip").text(path)
+
+
 def _envelope_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Receivables written as envelopes, one document per line, and summed from there."""
     root = work_dir(spark)
-    _envelopes(StarTables(spark, folder).fact("ar", *ALWAYS)).write.text(root)
+    _store_envelopes(_envelopes(StarTables(spark, folder).fact("ar", *ALWAYS)), root)
     rows = read_envelope(spark, root, FACTS["ar"], multi_line=False)
     tables = FrameTables(spark, {"ar": rows})
     return as_plain(receivables.detail_exemption(tables, *ALWAYS))
@@ -155,9 +161,7 @@ def _landed_envelopes(spark: SparkSession, folder: str) -> DataFrame:
     root = work_dir(spark)
     t = StarTables(spark, folder)
     slips = _envelopes(_with_report_date(t, "inv_export_pdt", "receiptdate"))
-    slips.hint("rebalance", PERIOD_COLUMN).write.partitionBy(PERIOD_COLUMN).text(
-        f"{root}/inv_export_pdt"
-    )
+    _store_envelopes(slips.hint("rebalance", PERIOD_COLUMN), f"{root}/inv_export_pdt")
     tables = EnvelopeTables(spark, root, multi_line=False)
     return as_plain(inventory.inventory_export_requisition(tables, *YEAR))
 
@@ -334,7 +338,7 @@ def _fine_envelopes(spark: SparkSession, folder: str) -> DataFrame:
     fine = rows.withColumn("patpaid", F.expr("CAST(patpaid + 0.0125 AS STRING)"))
     fine = fine.withColumn("kcb_class", F.expr("concat(kcb_class, '.0')"))
     documents = _documents_of_many(fine.select(*fields))
-    documents.select(F.to_json(F.struct("data")).alias("value")).write.text(root)
+    _store_envelopes(documents.select(F.to_json(F.struct("data")).alias("value")), root)
     back = read_envelope(spark, root, FACTS["ar"])
     sums = back.groupBy("kcb_class").agg(F.sum("patpaid").alias("patpaid"), F.count("*").alias("n"))
     return as_plain(sums)
