@@ -18,6 +18,7 @@ from soquy.operators.sums import (
     Measure,
     Source,
     aggregate,
+    drop_null_keys,
     kind_rows,
     kinds_as_columns,
     sum_by,
@@ -112,7 +113,8 @@ _LEDGER_MEASURES = [
     Measure("revenue_by_adjust_otherpaid", "otherpaid", (ADJUSTED,)),
     ADVANCE,
 ]
-_MEASURES = [*_LEDGER_MEASURES, Measure("deduction", "amount", ("deduction",))]
+DEDUCTION = "deduction"
+_MEASURES = [*_LEDGER_MEASURES, Measure("deduction", "amount", (DEDUCTION,))]
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -153,7 +155,7 @@ def _reconcile(
     per_invoice = sum_by(deduction, coarse, ["revenue"])
     owners = kind_rows(sources, fine).select(*fine)
     attached = attach_coarse(owners, per_invoice, coarse, mode, deduction)
-    deducted = attached.selectExpr(*keys, f"'deduction' AS {KIND}", "revenue AS amount")
+    deducted = attached.selectExpr(*keys, f"'{DEDUCTION}' AS {KIND}", "revenue AS amount")
     sums = union_padded(
         sum_kinds(kind_rows(sources, keys), keys, list(RECEIVABLE_AMOUNTS)),
         sum_kinds(deducted, keys, ["amount"]),
@@ -168,30 +170,55 @@ def _reconcile_once(
     keys: list[str],
     fine: list[str],
     coarse: list[str],
-    mode: str,
 ) -> DataFrame:
-    """As ``_reconcile``, for keys nearly as fine as the rows: every fact is read once.
+    """As ``_reconcile`` with ``compat``, for keys nearly as fine as the rows: every fact is read once.
 
     The measures are summed at ``fine`` at once, the deductions meet these sums, and both are summed
     to ``keys``. Summing by kind first would hardly make fewer rows, and a second read of the facts
     for the keys alone costs more than the wider rows in the join.
     """
-    if mode not in ("compat", "exact"):
-        raise ValueError("mode must be compat or exact")
     wanted = [*coarse, "revenue"]
     deduction = _keyed(tables.fact("deduction", from_date, to_date, columns=wanted))
     per_invoice = sum_by(deduction, coarse, ["revenue"])
     rows = kind_rows(ledger_sources(tables, from_date, to_date), fine)
     sums = aggregate(rows, fine, [m.sql() for m in _LEDGER_MEASURES])
     both = sums.join(per_invoice, coarse, "full")
-    owed = "revenue"
-    if mode == "exact":
-        rest = ", ".join(c for c in fine if c not in coarse)
-        place = f"row_number() OVER (PARTITION BY {', '.join(coarse)} ORDER BY {rest})"
-        both = both.withColumn("place", F.expr(place))
-        owed = "CASE WHEN place = 1 THEN revenue END"
     totals = [total(m.name) for m in _LEDGER_MEASURES]
-    return aggregate(both, keys, [*totals, f"coalesce(sum({owed}), 0) AS deduction"])
+    return aggregate(both, keys, [*totals, "coalesce(sum(revenue), 0) AS deduction"])
+
+
+def _reconcile_exactly(
+    tables,
+    from_date: str,
+    to_date: str,
+    keys: list[str],
+    fine: list[str],
+    coarse: list[str],
+    order: Sequence[str] = (),
+) -> DataFrame:
+    """As ``_reconcile`` with ``exact``, for keys nearly as fine as the rows: every fact is read once.
+
+    The deductions are one more kind of rows, at ``coarse`` and with nulls for the rest of ``fine``.
+    Rows are summed by kind, narrow as they are, and a deduction then goes to the smallest of the fine
+    keys it meets, if any; there is no join, and the wide aggregate comes last. With ``order``, the
+    keys in the order of the report, narrow rows are dealt by ranges of it, and the report is sorted
+    where it is summed.
+    """
+    rest = [c for c in fine if c not in coarse]
+    wanted = [*coarse, "revenue"]
+    deduction = drop_null_keys(_keyed(tables.fact("deduction", from_date, to_date, columns=wanted)), coarse)
+    keyless = deduction.selectExpr(*wanted, *(f"CAST(NULL AS STRING) AS {c}" for c in rest))
+    owed = kind_rows([Source(keyless, f"'{DEDUCTION}'", {"amount": "revenue"})], fine, keep_null_keys=True)
+    ledger = kind_rows(ledger_sources(tables, from_date, to_date), fine)
+    sums = sum_kinds(union_padded(ledger, owed), fine, list(RECEIVABLE_AMOUNTS))
+    is_owed = f"{KIND} = '{DEDUCTION}'"
+    smallest = f"min(CASE WHEN NOT {is_owed} THEN struct({', '.join(rest)}) END)"
+    met = sums.withColumn("smallest", F.expr(f"{smallest} OVER (PARTITION BY {', '.join(coarse)})"))
+    placed = {c: F.expr(f"CASE WHEN {is_owed} THEN smallest.{c} ELSE {c} END") for c in rest}
+    dealt = met.withColumns(placed).select(*keys, KIND, *RECEIVABLE_AMOUNTS)
+    if order:
+        dealt = dealt.repartitionByRange(*(F.asc_nulls_last(c) for c in order))
+    return aggregate(dealt, keys, [m.sql() for m in _MEASURES])
 
 
 def summary_reconciliation(
@@ -226,12 +253,20 @@ def detail_reconciliation(
     """Per document, cashier and payment method."""
     keys = ["hfe_docno_1", "thungan", "hfe_payment_method"]
     coarse = ["hfe_docno_1", "hfe_invoiceno"]
-    sums = _reconcile_once(tables, from_date, to_date, keys, [*coarse, *keys[1:]], coarse, mode)
+    order = ["hfe_payment_method", "thungan"]
+    period, fine = (from_date, to_date), [*coarse, *keys[1:]]
+    if mode == "exact":
+        ranges = dict.fromkeys([*order, *keys]) if ordered else ()
+        sums = _reconcile_exactly(tables, *period, keys, fine, coarse, tuple(ranges))
+    elif mode == "compat":
+        sums = _reconcile_once(tables, *period, keys, fine, coarse)
+    else:
+        raise ValueError("mode must be compat or exact")
     checked = reconcile_checks(sums, DETAIL_TOLERANCE)
     chosen = filter_optional(
         checked, thungan=cashier, hfe_payment_method=method, comparison_criteria_4=status
     )
-    return order_report(chosen, ["hfe_payment_method", "thungan"], ordered, keys)
+    return order_report(chosen, order, ordered, keys)
 
 
 def summary_reconciliation_print(

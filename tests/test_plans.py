@@ -12,7 +12,7 @@ from soquy.registry import ALWAYS, QUERIES
 from soquy.sources.schemas import FACTS
 from soquy.sources.sinks import write_fact
 from soquy.sources.star import StarTables
-from soquy.sources.tables import ParquetTables
+from soquy.sources.tables import FrameTables, ParquetTables
 
 
 def initial_plan(df):
@@ -149,6 +149,31 @@ def test_detail_reconciliation_reads_each_landed_fact_once(ledger):
         assert initial_plan(df).count("FileScan parquet") == 5
 
 
+def test_exact_detail_reconciliation_shuffles_its_wide_rows_never(ledger):
+    """Neither a join nor an order brings rows with all measures to another task."""
+    plan = initial_plan(reconcile.detail_reconciliation(ledger, "2024-03-01", "2024-03-31", mode="exact"))
+    assert "Join" not in plan and plan.count("Exchange ") == 3
+    assert plan.count("rangepartitioning") == 1
+
+
+def test_exact_detail_reconciliation_gives_a_deduction_to_one_row(spark):
+    """The smallest cashier and method of its invoice; without any, a row without both."""
+    owner = {"hfe_docno_1": "D", "hfe_invoiceno": "1", "hfe_amount": 5}
+    deposits = [{**owner, "thungan": c, "hfe_payment_method": m} for c, m in (("B", "CK"), ("A", "TM"), ("A", "CK"), ("A", "CK"), (None, "TM"))]
+    deductions = [("D", "1", 7), ("D", "1", None), ("D", "2", 3), (None, "1", 9), ("E", "3", None)]
+    fields = ["receipt", "refund", "ar"]
+    frames = {n: spark.createDataFrame([], FACTS[n]) for n in fields}
+    frames["deposit"] = spark.createDataFrame(deposits, "hfe_docno_1 string, hfe_invoiceno string, hfe_amount int, thungan string, hfe_payment_method string")
+    frames["deposit"] = frames["deposit"].withColumn("hfe_amount", frames["deposit"].hfe_amount.cast("decimal(28,6)"))
+    owed = spark.createDataFrame(deductions, "hfe_docno_1 string, hfe_invoiceno string, revenue int")
+    frames["deduction"] = owed.withColumn("revenue", owed.revenue.cast("decimal(28,6)"))
+    rows = reconcile.detail_reconciliation(FrameTables(spark, frames), *ALWAYS, mode="exact").collect()
+    found = [(r.hfe_docno_1, r.thungan, r.hfe_payment_method, int(r.deposit_amount), int(r.deduction)) for r in rows]
+    assert found == [
+        ("D", "A", "CK", 10, 7), ("D", "B", "CK", 5, 0), ("D", "A", "TM", 5, 0), ("D", None, None, 0, 3), ("E", None, None, 0, 0),
+    ]
+
+
 def test_exam_revenue_by_patient_shuffles_once(ledger):
     df = exam.exam_revenue_by_patient(ledger, "2024-03-01", "2024-03-31", ordered=False)
     assert initial_plan(df).count("Exchange hashpartitioning") == 1
