@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soquy.llm import contamination, jaccard, language, mixing, suffixes
-from soquy.llm.common import stored
+from soquy.llm.common import lean, slices, stored
 
 REPEATED_BYTES = 200
 MIX_SEED = 17
@@ -75,7 +75,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = suffixes.with_spans(docs, REPEATED_BYTES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for text, starts, ends in zip(*(batch[c].to_pylist() for c in ("text", *suffixes.ADDED)), strict=True):
                 texts.append(suffixes.kept_text(text, starts, ends))
@@ -86,7 +86,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
             yield pa.RecordBatch.from_arrays([new.get(c, batch[c]) for c in names], names=names)
 
     names = docs.columns
-    return found.mapInArrow(cut, docs.schema)
+    return found.mapInArrow(lean(cut), docs.schema)
 
 
 @apart

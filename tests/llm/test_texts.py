@@ -4,10 +4,12 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import DOCS, documents, texts
 from pyspark.sql import functions as F
@@ -151,6 +153,44 @@ def test_kept_text_keeps_whole_characters():
     assert suffixes.kept_text(None, [], []) is None
 
 
+def held_at_most(run) -> float:
+    """MB of Python and numpy that the call holds at a time."""
+    tracemalloc.start()
+    run()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most / 1e6
+
+
+def test_a_task_holds_few_of_its_pieces():
+    """5,000 texts of 10,000 bytes and four pieces, all in one batch."""
+    raws = [hashlib.shake_128(b"%d" % k).hexdigest(5_000) for k in range(5_000)]
+    ranges = [{"run": at, "first": at, "last": at + 160, "place": at + 160, "copies": 1, "places": 2} for at in range(0, 640, 160)]
+    kind = pa.list_(pa.struct([(c, pa.int64() if c == "run" else pa.int32()) for c in ranges[0]]))
+    columns = [pa.array([raw[:16].encode() for raw in raws]), pa.array(raws), pa.array([ranges] * len(raws), kind)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["key", "text", "found"])
+    pieces = []
+
+    def run():
+        for part in suffixes.cut_pieces(200, 7)(iter([batch])):
+            pieces.append(part.num_rows)
+
+    assert held_at_most(run) < 50
+    assert sum(pieces) == 20_000
+
+
+def test_a_bucket_is_sorted_in_little_memory():
+    """4 MB without repeats but for the first half of two pieces."""
+    rng = np.random.default_rng(5)
+    pieces = [rng.integers(0, 256, 40_000, dtype=np.uint8).tobytes() for _ in range(100)]
+    pieces[4] = pieces[3][:20_000] + pieces[4][20_000:]
+    found = []
+    assert held_at_most(lambda: found.extend(suffixes.repeated_in_bucket(pieces, np.zeros(100, np.int64), 200))) < 100
+    assert [len(x) for x in found] == [39_801] * 100
+    assert [int(x.sum()) for x in found] == [19_801 if k in (3, 4) else 0 for k in range(100)]
+    assert found[3][:19_801].all() and found[4][:19_801].all()
+
+
 def brute_matches(doc_texts, items, size):
     word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     cut = lambda t: word.findall((t or "").encode().lower())
