@@ -286,29 +286,38 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.col("n_a") + F.col("n") - shared)).select("a", "b")
 
 
+def both_ways(first: list[Column], second: list[Column]) -> Column:
+    """Two rows in the place of one; a union would work out the rows before it twice."""
+    return F.inline(F.array(F.struct(*first), F.struct(*second)))
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    up, down = ([F.col(c).alias("node"), F.lit(int(c == "u")).alias("up"), F.lit(int(c == "v")).alias("down")] for c in "uv")
+    ends = edges.select(both_ways(up, down)).groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return not ends.filter("up > 1 or (up > 0 and down > 0)").agg(F.count("*")).first()[0]
+
+
 def classes(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root): for every linked node but the smallest of its class, that smallest node.
 
     Large and small stars in turn: each round hangs the neighbours of a node on the smallest of
-    them, until nothing changes.
+    them, until all classes are stars. What a step needs twice is stored: the driver keeps the plan
+    and the tasks of every query, and tasks are as many as partitions, however few the links.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    before, scratch = None, scratch or Scratch()
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(
-            flipped("u").alias("k"), F.least("u", "m").alias("m")
-        )
-        large = both.join(low, flipped("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u != v")
+    scratch = scratch or Scratch()
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
+    edges = scratch.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    while not are_stars(edges):
+        both = edges.select(both_ways([u, v], [v.alias("u"), u.alias("v")]))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(flipped("u").alias("k"), F.least("u", "m").alias("m"))
+        large = both.join(low, flipped("u") == F.col("k")).filter("v > u").select(v.alias("u"), m.alias("v"))
+        large = scratch.stored(large.filter("u != v"))
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(flipped("u").alias("k"), "m")
         met = large.join(low, flipped("u") == F.col("k"))
-        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v")))
+        small = met.select(both_ways([v.alias("u"), m.alias("v")], [u, m.alias("v")]))
         edges = scratch.stored(small.filter("u != v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+    return edges.select(u.alias("node"), v.alias("root"))
 
 
 def compare_classes(percent: int):

@@ -17,7 +17,8 @@ target shares on every margin. The rarest cell then sets the size of the sample.
 
 * Only the cell table (distinct combinations of values) is raked; documents meet it in one join. A
   cell table of at most ``TOGETHER`` rows is brought into one partition once, where no step of the
-  sweeps moves it again; a larger one is shuffled by each margin in turn. Both give the same weights.
+  targets and sweeps moves it again, so these are queries of one task however many partitions the
+  session has; a larger one is shuffled by each margin in turn. Both give the same weights.
 * A target is a share per value. Values without a target share keep weight 0 and are never drawn;
   targets of values without tokens are left out and the rest is rescaled to 1. Null is a value of
   its own. By default the target of a value is its natural share to the power ``temperature``.
@@ -63,6 +64,18 @@ def one_number(df: DataFrame, column: Column) -> float:
     return float(df.agg(column).first()[0] or 1.0)
 
 
+def kept(df: DataFrame, together: bool) -> DataFrame:
+    """The stored rows, in one partition if they are to stay together."""
+    return stored(df.coalesce(1)).coalesce(1) if together else stored(df)
+
+
+def gathered(cells: DataFrame) -> tuple[DataFrame, bool]:
+    """The stored cells, in one partition if they are few enough, and whether they are."""
+    cells = stored(cells)
+    together = cells.count() <= TOGETHER
+    return (kept(cells, True) if together else cells), together
+
+
 def natural_targets(cells: DataFrame, margin: str, temperature: float) -> DataFrame:
     """(margin, share): shares of tokens to the power of the temperature, scaled to 1."""
     sums = cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), temperature).alias("raw"))
@@ -99,6 +112,7 @@ def rake(
 ) -> DataFrame:
     """Cells (margins, tokens) with ``weight``, whose sums by each margin are the target shares. With
     ``sample`` the weights add up to that and none is above its cell's share of the tokens."""
+    cells, together = gathered(cells)
     total = one_number(cells, F.sum("tokens"))
     room = F.col("tokens") / total
     held = cells.withColumn("weight", room)
@@ -106,22 +120,20 @@ def rake(
         wanted = targets[margin].select(F.col(margin).alias("_value"), F.col("share").alias(f"_to_{margin}"))
         held = held.join(wanted, F.col(margin).eqNullSafe(F.col("_value")), "left").drop("_value")
         held = held.fillna(0.0, [f"_to_{margin}"])
-    held = stored(held)
+    held = kept(held, together)
     for margin in margins:  # targets of the values that are there, to 1
         values = held.groupBy(margin).agg(F.first(f"_to_{margin}").alias("share"))
         present = values.agg(F.sum("share").alias("n")).select(F.when(F.col("n") > 0, F.col("n")).otherwise(1.0)).scalar()
         held = held.withColumn(f"_to_{margin}", F.col(f"_to_{margin}") / present)
-    held = stored(held)
-    together = held.count() <= TOGETHER
+    held = kept(held, together)
     if sample is not None:
         for margin in margins:
             values = held.groupBy(margin).agg(F.sum(room).alias("room"), F.first(f"_to_{margin}").alias("share"))
             at_most = F.sum(room).over(Window.partitionBy(margin))
-            wanted = level(stored(values), "room", "share", sample) * F.col(f"_to_{margin}")
+            wanted = level(kept(values, together), "room", "share", sample) * F.col(f"_to_{margin}")
             held = held.withColumn(f"_to_{margin}", F.least(at_most, wanted))
-        held = stored(held)
+        held = kept(held, together)
     for _ in range(rounds):
-        held = held.coalesce(1) if together else held
         for k in range(sweeps):
             if k == sweeps - 1:
                 held = held.withColumn("_before", F.col("weight"))
@@ -133,7 +145,7 @@ def rake(
         for margin in margins:
             now = F.sum("weight").over(Window.partitionBy(margin))
             off = off.withColumn(f"_off_{margin}", F.abs(now - F.col(f"_to_{margin}")))
-        off = stored(off)
+        off = kept(off, together)
         worst = F.max(F.greatest(*(F.col(f"_off_{m}") for m in margins), F.lit(0.0)))
         moved = F.max(F.abs(F.col("weight") - F.col("_before")) / room)
         worst, moved = off.agg(worst, moved).first()
@@ -167,7 +179,7 @@ def mix_sources(
     tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit("\\S+")), F.lit(0)).cast("long")
     rows = docs.select(*keep, *(c.alias(n) for n, c in zip(names, margins.values(), strict=True)), tokens.alias("mix_tokens"))
     # the shares of cells need the counts only, so the texts are not written again
-    cells = stored(rows.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens")).filter("tokens > 0"))
+    cells, _ = gathered(rows.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens")).filter("tokens > 0"))
     wanted = {}
     for name, column in zip(margins, names, strict=True):
         given = (targets or {}).get(name)

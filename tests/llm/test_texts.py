@@ -15,7 +15,7 @@ from cases import DOCS, documents, texts
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from soquy.llm import contamination, jaccard, language, licences, mixing, quality, queries, suffixes
+from soquy.llm import common, contamination, jaccard, language, licences, mixing, quality, queries, suffixes
 
 
 @pytest.fixture(scope="module")
@@ -571,6 +571,40 @@ def test_raked_weights_meet_the_margins_as_plain_sweeps_do(spark):
         assert max(abs(found[key] - weights[key]) for key in weights) < 1e-5
 
 
+def tasks_of(spark, run) -> int:
+    """Tasks of all that is run, over 64 shuffle partitions that are not coalesced."""
+    group, conf = f"tasks-{id(run)}", {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        run()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    return sum(x.numCompletedTasks for s in stages if (x := tracker.getStageInfo(s)))
+
+
+def test_classes_that_are_stars_take_no_rounds(spark):
+    links = common.stored(spark.createDataFrame([(k % 7, k) for k in range(7, 300)], "a long, b long"))
+    found = []
+    assert tasks_of(spark, lambda: found.extend(jaccard.classes(links).collect())) < 500
+    assert sorted(tuple(r) for r in found) == sorted((k, k % 7) for k in range(7, 300))
+
+
+def test_raking_few_cells_takes_tasks_for_no_partitions(spark):
+    cells = common.stored(spark.range(60).selectExpr("id % 6 AS m", "id div 6 AS k", "id + 1 AS tokens"))
+    given = {x: mixing.natural_targets(cells, x, 0.7).localCheckpoint() for x in ("m", "k")}
+    found = []
+    run = lambda: found.extend(mixing.rake(cells, ["m", "k"], given, sample=0.5).collect())
+    assert tasks_of(spark, run) < 250
+    assert sum(r["weight"] for r in found) == pytest.approx(0.5)
+
+
 @pytest.mark.parametrize("name", ["op2_jaccard_join", "op4_mixing_weights", "op5_suffix_array_dedup", "op6_licence_rules", "op7_language_backoff", "op8_positional_index", "op10_quality_rules"])
 def test_empty_tables(spark, nothing, name):
     assert queries.QUERIES[name](spark, nothing).count() == 0
